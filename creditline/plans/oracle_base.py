@@ -7,7 +7,7 @@ operators, so an equal result is a real cross-check.  Every oracle query is
 
 from __future__ import annotations
 
-from creditline.functions.columns import CHANNEL_ALIASES, PAID_CHANNELS
+from creditline.functions.columns import _HART_P, _HART_Q, CHANNEL_ALIASES, PAID_CHANNELS
 from creditline.sources.adapter import (
     DUP_ID_OFFSET,
     DUP_MODULUS,
@@ -161,3 +161,24 @@ def with_ctes(*extra: str, lookback_days: int | None = 90) -> str:
     parts = [ADAPTER_CTES.strip(), STAGING_CTES.strip(), pairs_cte("pairs", lookback_days).strip()]
     parts += [e.strip() for e in extra]
     return "WITH " + ",\n".join(parts) + "\n"
+
+
+def _horner_sql(x: str, coeffs) -> str:
+    acc = repr(coeffs[0])
+    for c in coeffs[1:]:
+        acc = f"({acc} * {x} + {c!r})"
+    return acc
+
+
+def norm_tail_sql(x: str) -> str:
+    """1 - Phi(|x|), Hart / West (2005), same constants as the Column version."""
+    a = f"abs(CAST({x} AS DOUBLE))"
+    e = f"exp(-{a} * {a} / 2.0)"
+    cf = f"({a} + 0.65)"
+    for k in (4.0, 3.0, 2.0, 1.0):
+        cf = f"({a} + {k!r} / {cf})"
+    return (
+        f"CASE WHEN {a} > 37.0 THEN 0.0 WHEN {a} < 7.07106781186547 "
+        f"THEN {e} * {_horner_sql(a, _HART_P)} / {_horner_sql(a, _HART_Q)} "
+        f"ELSE {e} / {cf} / 2.506628274631 END"
+    )
