@@ -118,23 +118,23 @@ def attribute(
 
     u = Window.partitionBy(*unit)
     rows = (
-        rows.withColumn("N", F.sum("n").over(u))
-        .withColumn("SW", F.sum("sw").over(u))
-        .withColumn("F1", F.min("first").over(u))
-        .withColumn("L1", F.max("last").over(u))
+        rows.withColumn("_N", F.sum("n").over(u))
+        .withColumn("_SW", F.sum("sw").over(u))
+        .withColumn("_F1", F.min("first").over(u))
+        .withColumn("_L1", F.max("last").over(u))
     )
     zero = F.lit(0).cast("decimal(18,2)")
-    is_first = F.col("first") == F.col("F1")
-    is_last = F.col("last") == F.col("L1")
-    first_part = F.when(is_first, F.col("F1.v")).otherwise(zero)
-    last_part = F.when(is_last, F.col("L1.v")).otherwise(zero)
+    is_first = F.col("first") == F.col("_F1")
+    is_last = F.col("last") == F.col("_L1")
+    first_part = F.when(is_first, F.col("_F1.v")).otherwise(zero)
+    last_part = F.when(is_last, F.col("_L1.v")).otherwise(zero)
     pf, pl = position
     pm = 1.0 - pf - pl
-    n_total = F.col("N").cast("double")
+    n_total = F.col("_N").cast("double")
     fp, lp, svn_d = first_part.cast("double"), last_part.cast("double"), F.col("svn").cast("double")
     pos = (
-        F.when(F.col("N") == 1, svn_d)
-        .when(F.col("N") == 2, F.lit(0.5) * (fp + lp))
+        F.when(F.col("_N") == 1, svn_d)
+        .when(F.col("_N") == 2, F.lit(0.5) * (fp + lp))
         .otherwise(F.lit(pf) * fp + F.lit(pl) * lp + F.lit(pm) * (svn_d - fp - lp) / (n_total - F.lit(2.0)))
     )
     credits = rows.select(
@@ -144,7 +144,7 @@ def attribute(
         first_part.alias("ft"),
         last_part.alias("lt"),
         (svn_d / n_total).alias("li"),
-        F.try_divide(F.col("svw"), F.col("SW")).alias("td"),
+        F.try_divide(F.col("svw"), F.col("_SW")).alias("td"),
         pos.alias("pb"),
     )
 
@@ -311,3 +311,20 @@ def roas_consistency(comparison: DataFrame) -> DataFrame:
         *[F.round(F.sum(F.col("total_spend_usd") * F.col(f"{m}_roas")), 2).alias(f"{m}_implied_revenue") for m in FOUR_MODELS],
         *[F.round(F.sum(f"{m}_revenue"), 2).alias(f"{m}_revenue") for m in FOUR_MODELS],
     )
+
+
+def assisted_conversions(pairs: DataFrame, credit_key: str = "channel") -> DataFrame:
+    """Per key: orders it closed (last touch) and orders it assisted, i.e. had a
+    touch strictly before the closing touch (G16).  Same bounded-window plan as
+    ``attribute``: aggregate per (order, key), then a window per order."""
+    ok = _order_key()
+    g = pairs.groupBy("conversion_id", credit_key).agg(F.min(ok).alias("fk"), F.max(ok).alias("lk"))
+    g = g.withColumn("_LK", F.max("lk").over(Window.partitionBy("conversion_id")))
+    assisted = F.col("fk") < F.col("_LK")
+    closed = F.col("lk") == F.col("_LK")
+    return g.groupBy(credit_key).agg(
+        F.count(F.lit(1)).alias("touched_conversions"),
+        F.count_if(closed).alias("closed_conversions"),
+        F.count_if(assisted).alias("assisted_conversions"),
+        F.count_if(assisted & ~closed).alias("assist_only_conversions"),
+    )

@@ -119,3 +119,58 @@ def near_duplicates_removed(
     prev = F.coalesce(F.col("_prev_us"), F.col("_bucket_last_us"))
     keep = prev.isNull() | ((F.col("_us") - prev) > F.lit(int(within_seconds * 1_000_000)))
     return x.filter(keep).select(*df.columns)
+
+
+def journey_steps(pairs: DataFrame, bucket_hours: int = 1) -> DataFrame:
+    """Per eligible pair: position in the order's journey, previous / next channel
+    and hours since the previous touch (F11, F6).
+
+    ``lag``/``lead`` run per (conversion, time bucket); only the first and last
+    touch of each bucket (at most 2 x buckets-per-window rows per order, a bound
+    independent of traffic) go through a per-order window that links buckets and
+    accumulates position offsets.  No window ever holds a whole heavy journey."""
+    from creditline.functions.columns import days_between, order_key
+
+    x = pairs.select(
+        "user_id", "conversion_id", "event_id", "channel", "touchpoint_ts",
+        order_key("touchpoint_ts", "event_id").alias("_k"),
+        F.floor(F.unix_micros(F.col("touchpoint_ts").cast("timestamp")) / F.lit(bucket_hours * 3_600_000_000)).cast("long").alias("_b"),
+    )
+    w_in = Window.partitionBy("conversion_id", "_b").orderBy("_k")
+    w_all = Window.partitionBy("conversion_id", "_b")
+    x = (
+        x.withColumn("_rn", F.row_number().over(w_in))
+        .withColumn("_cnt", F.count(F.lit(1)).over(w_all))
+        .withColumn("_pch", F.lag("channel").over(w_in))
+        .withColumn("_pts", F.lag("touchpoint_ts").over(w_in))
+        .withColumn("_nch", F.lead("channel").over(w_in))
+    )
+    edges = x.filter((F.col("_rn") == 1) | (F.col("_rn") == F.col("_cnt"))).select(
+        "conversion_id", "_b", "_k", "_rn", "_cnt", "channel", "touchpoint_ts"
+    )
+    w_b = Window.partitionBy("conversion_id").orderBy("_k")
+    firsts = F.when(F.col("_rn") == 1, F.col("_cnt")).otherwise(F.lit(0))
+    edges = (
+        edges.withColumn("_bpch", F.lag("channel").over(w_b))
+        .withColumn("_bpts", F.lag("touchpoint_ts").over(w_b))
+        .withColumn("_bnch", F.lead("channel").over(w_b))
+        .withColumn("_off", F.coalesce(F.sum(firsts).over(w_b.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .withColumn("_tot", F.sum(firsts).over(Window.partitionBy("conversion_id")))
+    )
+    head = edges.filter(F.col("_rn") == 1).select("conversion_id", "_b", "_bpch", "_bpts", "_off", "_tot")
+    tail = edges.filter(F.col("_rn") == F.col("_cnt")).select("conversion_id", "_b", "_bnch")
+    y = x.join(head, ["conversion_id", "_b"], "left").join(tail, ["conversion_id", "_b"], "left")
+    first_in_bucket = F.col("_rn") == 1
+    prev_ts = F.when(first_in_bucket, F.col("_bpts")).otherwise(F.col("_pts"))
+    return y.select(
+        "conversion_id",
+        "user_id",
+        "event_id",
+        "channel",
+        "touchpoint_ts",
+        (F.col("_off") + F.col("_rn")).cast("long").alias("position"),
+        F.col("_tot").cast("long").alias("journey_touches"),
+        F.when(first_in_bucket, F.col("_bpch")).otherwise(F.col("_pch")).alias("prev_channel"),
+        F.when(F.col("_rn") == F.col("_cnt"), F.col("_bnch")).otherwise(F.col("_nch")).alias("next_channel"),
+        F.round(days_between(prev_ts, F.col("touchpoint_ts")) * 24.0, 6).alias("hours_since_prev"),
+    )

@@ -146,11 +146,12 @@ deduped AS (
 """
 
 
-def pairs_cte(name: str = "pairs", lookback_days: int | None = 90) -> str:
+def pairs_cte(name: str = "pairs", lookback_days: int | None = 90, extra_cols: tuple[str, ...] = ()) -> str:
     window = "" if lookback_days is None else f" AND t.event_timestamp >= c.converted_at - INTERVAL {int(lookback_days)} DAY"
+    extra = "".join(f" t.{c}," for c in extra_cols)
     return f"""
 {name} AS (
-  SELECT t.user_id, t.event_id, t.channel, t.dma_code, t.event_timestamp AS touchpoint_ts,
+  SELECT t.user_id, t.event_id, t.channel, t.dma_code,{extra} t.event_timestamp AS touchpoint_ts,
          c.conversion_id, c.converted_at AS conversion_ts, c.order_value_usd
   FROM deduped t JOIN stg_conversions c ON t.user_id = c.user_id
   WHERE t.event_timestamp <= c.converted_at{window}

@@ -85,6 +85,7 @@ def credits_sql(
     position: tuple[float, float] = (0.4, 0.4),
     pairs: str = "pairs",
     name: str = "credits",
+    key: str = "channel",
 ) -> str:
     """Window-function formulation of every model (the SQL-mart style)."""
     unit = "conversion_id" if scope == "conversion" else "user_id"
@@ -104,7 +105,7 @@ def credits_sql(
 ),
 {name}_seq2 AS (SELECT *, SUM(w) OVER (PARTITION BY {unit}) AS sw FROM {name}_seq),
 {name} AS (
-  SELECT channel,
+  SELECT {key},
     COUNT(*) AS touches,
     COUNT(DISTINCT conversion_id) AS attributed_conversions,
     COUNT(DISTINCT user_id) AS attributed_users,
@@ -119,7 +120,7 @@ def credits_sql(
     SUM(CAST(order_value_usd AS DOUBLE) * CASE WHEN n_touches = 1 THEN 1.0 WHEN n_touches = 2 THEN 0.5
         WHEN rn_first = 1 THEN {pf!r} WHEN rn_last = 1 THEN {pl!r} ELSE {pm!r} / (n_touches - 2) END)
       AS position_based_revenue
-  FROM {name}_seq2 GROUP BY channel
+  FROM {name}_seq2 GROUP BY {key}
 )"""
 
 
@@ -279,3 +280,29 @@ def q_roas_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_roas_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = Pipeline(spark, sf_dir)
     return roas_consistency(attribution_comparison(p.credits(), p.spend))
+
+
+_CREDIT_COUNTS = ("touches", "attributed_conversions", "attributed_users", "first_touch_conversions",
+                  "first_touch_users", "last_touch_conversions", "last_touch_users")
+_CREDIT_REVS = ("first_touch", "last_touch", "linear", "time_decay", "position_based")
+
+
+def _credits_full_sql(name: str = "credits") -> str:
+    return "SELECT channel, " + ", ".join(
+        [f"CAST({c} AS BIGINT) AS {c}" for c in _CREDIT_COUNTS]
+        + [f"{_r2(m + '_revenue')} AS {m}_revenue" for m in _CREDIT_REVS]) + f" FROM {name}"
+
+
+def _credits_full(df: DataFrame) -> DataFrame:
+    return df.select("channel", *[F.col(c).cast("long").alias(c) for c in _CREDIT_COUNTS],
+                     *[money(F.col(f"{m}_revenue")).alias(f"{m}_revenue") for m in _CREDIT_REVS])
+
+
+@register("attribution_credits", with_ctes(credits_sql()) + _credits_full_sql())
+def q_credits_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _credits_full(Pipeline(spark, sf_dir).credits())
+
+
+@register("attribution_credits_user_scope", with_ctes(credits_sql(scope="user")) + _credits_full_sql())
+def q_credits_full_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _credits_full(Pipeline(spark, sf_dir).credits(scope="user"))
