@@ -117,11 +117,12 @@ def attribute(
         )
 
     u = Window.partitionBy(*unit)
-    rows = (
-        rows.withColumn("_N", F.sum("n").over(u))
-        .withColumn("_SW", F.sum("sw").over(u))
-        .withColumn("_F1", F.min("first").over(u))
-        .withColumn("_L1", F.max("last").over(u))
+    rows = rows.select(
+        "*",
+        F.sum("n").over(u).alias("_N"),
+        F.sum("sw").over(u).alias("_SW"),
+        F.min("first").over(u).alias("_F1"),
+        F.max("last").over(u).alias("_L1"),
     )
     zero = F.lit(0).cast("decimal(18,2)")
     is_first = F.col("first") == F.col("_F1")

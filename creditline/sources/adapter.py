@@ -44,8 +44,23 @@ class MarketingInputs:
     holdout_markets: DataFrame
 
 
+_READS: dict[tuple[str, str], DataFrame] = {}
+_INPUTS: dict[tuple[str, str], "MarketingInputs"] = {}
+
+
+def _session_key(spark: SparkSession) -> str:
+    return f"{spark.sparkContext.applicationId}/{id(spark._jsparkSession)}"
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Parquet scan of one driver table.  The (lazy) relation is reused per
+    session and path, so repeated plans skip file listing and footer reads."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (_session_key(spark), path)
+    df = _READS.get(key)
+    if df is None:
+        df = _READS[key] = spark.read.parquet(path)
+    return df
 
 
 def _window_filter(ts: Column) -> Column:
@@ -154,6 +169,14 @@ def holdout_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def marketing_inputs(spark: SparkSession, sf_dir: str) -> MarketingInputs:
+    """Lazy input plans for one dataset directory (memoised per session; no data is cached)."""
+    key = (_session_key(spark), sf_dir.rstrip("/"))
+    if key not in _INPUTS:
+        _INPUTS[key] = _build_inputs(spark, sf_dir)
+    return _INPUTS[key]
+
+
+def _build_inputs(spark: SparkSession, sf_dir: str) -> MarketingInputs:
     base = _base(spark, sf_dir)
     return MarketingInputs(
         raw_touchpoints=raw_touchpoints(base),
