@@ -205,3 +205,13 @@ def order_key(ts: Column | str, event_id: Column | str) -> Column:
     micros = F.unix_micros(col_of(ts).cast("timestamp")).cast("decimal(38,0)")
     eid = col_of(event_id).cast("decimal(20,0)") + F.lit(Decimal(2**63)).cast("decimal(20,0)")
     return (micros * F.lit(Decimal(10**20)).cast("decimal(38,0)") + eid).cast("decimal(38,0)")
+
+
+def order_key_for(df, ts: str = "touchpoint_ts", event_id: str = "event_id") -> Column:
+    """Order key for ``df``: the packed DECIMAL for integral ids (hash aggregate);
+    a (ts, event_id) struct for string ids such as UUIDs (same order, sort aggregate)."""
+    from pyspark.sql.types import IntegralType
+
+    if isinstance(df.schema[event_id].dataType, IntegralType):
+        return order_key(ts, event_id)
+    return F.struct(col_of(ts).alias("ts"), col_of(event_id).alias("id"))

@@ -46,10 +46,10 @@ MODEL_LABELS = {
 }
 
 
-def _order_key() -> Column:
-    from creditline.functions.columns import order_key
+def _order_key(df: DataFrame) -> Column:
+    from creditline.functions.columns import order_key_for
 
-    return order_key("touchpoint_ts", "event_id")
+    return order_key_for(df, "touchpoint_ts", "event_id")
 
 
 def attribute(
@@ -87,7 +87,7 @@ def attribute(
         raise ValueError("anchor must be 'conversion' or 'last_touch'")
 
     w = decay_weight(days_between(F.col("touchpoint_ts"), anchor_ts), half_life_days)
-    ok = _order_key()
+    ok = _order_key(p)
     g = p.groupBy(*by, "user_id", "conversion_id", key).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(w).alias("sw"),
@@ -318,7 +318,7 @@ def assisted_conversions(pairs: DataFrame, credit_key: str = "channel") -> DataF
     """Per key: orders it closed (last touch) and orders it assisted, i.e. had a
     touch strictly before the closing touch (G16).  Same bounded-window plan as
     ``attribute``: aggregate per (order, key), then a window per order."""
-    ok = _order_key()
+    ok = _order_key(pairs)
     g = pairs.groupBy("conversion_id", credit_key).agg(F.min(ok).alias("fk"), F.max(ok).alias("lk"))
     g = g.withColumn("_LK", F.max("lk").over(Window.partitionBy("conversion_id")))
     assisted = F.col("fk") < F.col("_LK")

@@ -129,11 +129,11 @@ def journey_steps(pairs: DataFrame, bucket_hours: int = 1) -> DataFrame:
     touch of each bucket (at most 2 x buckets-per-window rows per order, a bound
     independent of traffic) go through a per-order window that links buckets and
     accumulates position offsets.  No window ever holds a whole heavy journey."""
-    from creditline.functions.columns import days_between, order_key
+    from creditline.functions.columns import days_between, order_key_for
 
     x = pairs.select(
         "user_id", "conversion_id", "event_id", "channel", "touchpoint_ts",
-        order_key("touchpoint_ts", "event_id").alias("_k"),
+        order_key_for(pairs, "touchpoint_ts", "event_id").alias("_k"),
         F.floor(F.unix_micros(F.col("touchpoint_ts").cast("timestamp")) / F.lit(bucket_hours * 3_600_000_000)).cast("long").alias("_b"),
     )
     w_in = Window.partitionBy("conversion_id", "_b").orderBy("_k")
