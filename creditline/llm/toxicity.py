@@ -1,8 +1,8 @@
 """Toxicity severity by cumulative-link ordinal regression on sparse text features.
 
 Features of a text are its distinct lower-cased words and the prefixes of 3 to 7
-letters of longer words.  With x the number of distinct words that carry each
-feature, the model is ``P(grade > k) = sigmoid(w . x - threshold_k)``: all
+letters of longer words.  With x the sum, over the distinct words that carry a
+feature, of the bit length of their number of occurrences, the model is ``P(grade > k) = sigmoid(w . x - threshold_k)``: all
 grades share the weights w, and the thresholds ascend.  As w . x is a sum over
 distinct words, a task remembers each word's share and a whole text of any
 length costs one look-up a word; features without evidence weigh nothing, so
@@ -10,12 +10,14 @@ that length alone never adds up to toxicity.
 
 The model is fitted on a bounded sample of labelled rows (MAX_LABELLED, those
 with the smallest hash of their id); every document is scored.  Labels are
-binary, so the grade of a toxic example is its density of telling words:
-1 below GRADE_DENSITY[0] per 100 distinct words, 2 below GRADE_DENSITY[1], else 3.
+binary, so the grade of a toxic example is taken from its number of distinct
+telling words (words with a selected feature): 1 below GRADE_WORDS[0], 2 below
+GRADE_WORDS[1], else 3.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,9 +34,9 @@ MAX_LABELLED = 12_000
 MAX_CANDIDATES = 30_000
 MAX_FEATURES = 4_096
 MIN_DOCS = 5
-MIN_CHI2 = 15.0
+MIN_CHI2 = 30.0
 MIN_LIFT = 4.0
-GRADE_DENSITY = (2.0, 6.0)
+GRADE_WORDS = (3, 6)
 REJECT = 0.5
 RESULT = "doc_id bigint, severity double, p_toxic double, grade int, toxic boolean"
 
@@ -43,6 +45,11 @@ def features(word: str) -> list[str]:
     return [word, *(f"^{word[:k]}" for k in range(3, min(8, len(word))))]
 
 
+def words_with(at: list[int], word_of: list[int], chosen: np.ndarray) -> int:
+    """Number of distinct words with a chosen feature."""
+    return len({w for f, w in zip(at, word_of, strict=True) if chosen[f]})
+
+
 def select(x: list[np.ndarray], toxic: np.ndarray, n_features: int) -> np.ndarray:
     """Features that mark toxic texts: chi-squared and lift above their bounds, the strongest first."""
     def count(rows: np.ndarray) -> np.ndarray:
@@ -61,7 +68,7 @@ def select(x: list[np.ndarray], toxic: np.ndarray, n_features: int) -> np.ndarra
 
 
 def fit(x: list[np.ndarray], grade: np.ndarray, n_features: int, n_grades: int = 4,
-        steps: int = 400, rate: float = 0.05, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+        steps: int = 2000, rate: float = 0.05, ridge: float = 2e-6) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ascending thresholds by full-batch Adam on the log-likelihood.
 
     ``x[i]`` lists the features of row i with repeats."""
@@ -125,8 +132,9 @@ class _WordScores(dict):
     def of(self, text: str) -> float:
         if len(self) > CACHE_WORDS:
             self.clear()
-        # repeats count once; summed in a fixed order, so equal texts score alike
-        return float(sum(sorted(filter(None, map(self.__getitem__, set(words_of(text)))))))
+        words = words_of(text)
+        telling = sorted(w for w in set(words) if self[w])
+        return float(sum(self[w] * words.count(w).bit_length() for w in telling))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
@@ -152,24 +160,28 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
 
     def list_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = [set(words_of(t)) for t in b.column(1).to_pylist()]
-            at = [sorted(number[f] for w in ws for f in features(w) if f in number) for ws in words]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(at, pa.list_(pa.int32())),
-                                              pa.array([len(w) for w in words], pa.int32())],
-                                             names=["toxic", "doc_id", "at", "words"])
+            rows = []
+            for t in b.column(1).to_pylist():
+                counts = sorted(Counter(words_of(t)).items())
+                rows.append([(number[f], i) for i, (w, n) in enumerate(counts) for f in features(w) if f in number
+                             for _ in range(n.bit_length())])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(2), *(pa.array([[p[k] for p in r] for r in rows], pa.list_(pa.int32())) for k in (0, 1))],
+                names=["toxic", "doc_id", "at", "word"])
 
-    found = sample.select("toxic", "text", "doc_id").mapInArrow(list_numbers, "toxic boolean, doc_id bigint, at array<int>, words int")
+    found = sample.select("toxic", "text", "doc_id").mapInArrow(list_numbers, "toxic boolean, doc_id bigint, at array<int>, word array<int>")
     table = found.toArrow().sort_by("doc_id") if rows else None
     if table is None or table.num_rows == 0:
         return Model({}, np.array([1.0, 2.0, 3.0]))
     toxic = table["toxic"].to_numpy()
-    x = [np.array(r, np.int64) for r in table["at"].to_pylist()]
+    at, word = table["at"].to_pylist(), table["word"].to_pylist()
+    x = [np.array(r, np.int64) for r in at]
     chosen = select(x, toxic, len(names))
     place = np.full(len(names), -1)
     place[chosen] = np.arange(len(chosen))
+    telling = np.array([words_with(a, w, place >= 0) for a, w in zip(at, word, strict=True)])
     x = [p[p >= 0] for p in (place[r] for r in x)]
-    density = np.array([len(r) for r in x]) * 100 / np.maximum(table["words"].to_numpy(), 1)
-    grade = np.where(toxic, 1 + np.searchsorted(np.array(GRADE_DENSITY), density, "right"), 0)
+    grade = np.where(toxic, 1 + np.searchsorted(np.array(GRADE_WORDS), telling, "right"), 0)
     w, thresholds = fit(x, grade, len(chosen))
     return Model({names[c]: float(v) for c, v in zip(chosen, w, strict=True)}, thresholds)
 
