@@ -45,21 +45,12 @@ def features(word: str) -> list[str]:
     return [word, *(f"^{word[:k]}" for k in range(3, min(8, len(word))))]
 
 
-def words_with(at: list[int], word_of: list[int], chosen: np.ndarray) -> int:
-    """Number of distinct words with a chosen feature."""
-    return len({w for f, w in zip(at, word_of, strict=True) if chosen[f]})
-
-
-def select(x: list[np.ndarray], toxic: np.ndarray, n_features: int) -> np.ndarray:
-    """Features that mark toxic texts: chi-squared and lift above their bounds, the strongest first."""
-    def count(rows: np.ndarray) -> np.ndarray:
-        at = np.flatnonzero(rows)
-        return np.bincount(np.concatenate([np.unique(x[i]) for i in at] or [np.empty(0, np.int64)]), minlength=n_features)
-
-    n1, n0 = int(toxic.sum()), int((~toxic).sum())
-    a, b = count(toxic).astype(float), count(~toxic).astype(float)
-    if not n1 or not n0 or not n_features:
+def select(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Features that mark toxic texts, the strongest first: chi-squared and lift
+    above their bounds, from their numbers of toxic (a of n1) and clean (b of n0) texts."""
+    if not n1 or not n0 or not len(a):
         return np.empty(0, np.int64)
+    a, b = a.astype(float), b.astype(float)
     c, d, n = n1 - a, n0 - b, n1 + n0
     chi2 = n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * n1 * n0, 1e-9)
     lift = ((a + 0.5) / (n1 + 1)) / ((b + 0.5) / (n0 + 1))
@@ -155,35 +146,44 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
 
     counts = sample.where("toxic").select("text").mapInArrow(list_features, "feature string").groupBy("feature").count()
     rows = counts.where(F.col("count") >= MIN_DOCS).orderBy(F.desc("count"), "feature").limit(MAX_CANDIDATES).collect()
-    names = [r["feature"] for r in rows]
+    candidates = {r["feature"]: i for i, r in enumerate(rows)}
+
+    def count_clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(candidates), np.int64)
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                found = {f for w in set(words_of(text)) for f in features(w)}
+                n[[candidates[f] for f in found if f in candidates]] += 1
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["feature", "n"])
+
+    sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    clean = np.zeros(len(rows), np.int64)
+    for r in sample.where("not toxic").select("text").mapInArrow(count_clean, "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).collect():
+        clean[r["feature"]] = r["n"]
+    chosen = select(np.array([r["count"] for r in rows]), clean, sizes.get(True, 0), sizes.get(False, 0))
+    if not len(chosen):
+        return Model({}, np.array([1.0, 2.0, 3.0]))
+    names = [rows[c]["feature"] for c in chosen]
     number = {f: i for i, f in enumerate(names)}
 
     def list_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
+            at, telling = [], []
             for t in b.column(1).to_pylist():
-                counts = sorted(Counter(words_of(t)).items())
-                rows.append([(number[f], i) for i, (w, n) in enumerate(counts) for f in features(w) if f in number
-                             for _ in range(n.bit_length())])
+                found = [([number[f] for f in features(w) if f in number], n) for w, n in sorted(Counter(words_of(t)).items())]
+                at.append([f for fs, n in found for f in fs * n.bit_length()])
+                telling.append(sum(bool(fs) for fs, _ in found))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), *(pa.array([[p[k] for p in r] for r in rows], pa.list_(pa.int32())) for k in (0, 1))],
-                names=["toxic", "doc_id", "at", "word"])
-
-    found = sample.select("toxic", "text", "doc_id").mapInArrow(list_numbers, "toxic boolean, doc_id bigint, at array<int>, word array<int>")
-    table = found.toArrow().sort_by("doc_id") if rows else None
-    if table is None or table.num_rows == 0:
-        return Model({}, np.array([1.0, 2.0, 3.0]))
-    toxic = table["toxic"].to_numpy()
-    at, word = table["at"].to_pylist(), table["word"].to_pylist()
-    x = [np.array(r, np.int64) for r in at]
-    chosen = select(x, toxic, len(names))
-    place = np.full(len(names), -1)
-    place[chosen] = np.arange(len(chosen))
-    telling = np.array([words_with(a, w, place >= 0) for a, w in zip(at, word, strict=True)])
-    x = [p[p >= 0] for p in (place[r] for r in x)]
-    grade = np.where(toxic, 1 + np.searchsorted(np.array(GRADE_WORDS), telling, "right"), 0)
-    w, thresholds = fit(x, grade, len(chosen))
-    return Model({names[c]: float(v) for c, v in zip(chosen, w, strict=True)}, thresholds)
+                [b.column(0), b.column(2), pa.array(at, pa.list_(pa.int32())), pa.array(telling, pa.int32())],
+                names=["toxic", "doc_id", "at", "telling"])
+
+    found = sample.select("toxic", "text", "doc_id").mapInArrow(list_numbers, "toxic boolean, doc_id bigint, at array<int>, telling int")
+    table = found.toArrow().sort_by("doc_id")
+    x = [np.array(r, np.int64) for r in table["at"].to_pylist()]
+    grade = np.where(table["toxic"].to_numpy(), 1 + np.searchsorted(np.array(GRADE_WORDS), table["telling"].to_numpy(), "right"), 0)
+    w, thresholds = fit(x, grade, len(names))
+    return Model(dict(zip(names, map(float, w), strict=True)), thresholds)
 
 
 def score(docs: DataFrame, model: Model, reject: float = REJECT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
