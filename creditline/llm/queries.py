@@ -5,15 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from creditline.llm.attribution import token_counts
 from creditline.llm.common import read_table
 from creditline.llm.decontam import contaminated
+from creditline.llm.htmltext import extract
+from creditline.llm.knn import SQL as KNN_SQL
+from creditline.llm.knn import voronoi_topk
 from creditline.llm.linededup import line_dedup
 from creditline.llm.packing import digest, pack
+from creditline.llm.pii import pseudonymise
+from creditline.llm.quality import quality_scores
 from creditline.llm.simhash import simhash_components
 from creditline.llm.toxicity import score, train
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read_table(spark, sf_dir, "pages"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return score(docs, train(docs, read_table(spark, sf_dir, "labels")))
@@ -27,6 +38,25 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_table(spark, sf_dir, "documents"), size=4, bits=4)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.crc32(F.col("doc_id").cast("string")) % 3
+    scores = quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), train_on=fold != 1)
+    return scores.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(read_table(spark, sf_dir, "documents")).withColumn("n_tokens", F.col("n_tokens").cast("bigint"))
+
+
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voronoi_topk(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(read_table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(pack(read_table(spark, sf_dir, "documents")))
 
@@ -36,6 +66,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_toxicity, op3_line_dedup, op4_simhash, op9_packing, op10_decontamination)
+    f.__name__: f
+    for f in (op1_html_text, op2_toxicity, op3_line_dedup, op4_simhash, op5_quality, op6_token_counts, op7_topk,
+              op8_surrogates, op9_packing, op10_decontamination)
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op7_topk": KNN_SQL}
