@@ -9,7 +9,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,17 +45,106 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
-class WordHash(dict):
-    """Word -> XXH64, remembered per worker up to CACHE_WORDS entries."""
-
-    def __missing__(self, word: str) -> int:
-        v = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return v
-
-    def of(self, words: list[str]) -> np.ndarray:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_ODD_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes that are hashed at once.
+HASH_BYTES = 1 << 20
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    if len(_POWERS[0]) < n:
+        size = 1 << max(n, HASH_BYTES).bit_length()
+        for i, base in enumerate((_ODD, _ODD_INVERSE)):
+            _POWERS[i] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, base)]))
+    return _POWERS
+
+
+def _hash_block(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of the words of a piece of text: differences of prefix sums
+    of a polynomial in the bytes, modulo 2^64."""
+    b = np.frombuffer(data, np.uint8)
+    space = np.concatenate([[True], _SPACE[b], [True]])
+    starts = np.flatnonzero(space[:-1] & ~space[1:])
+    ends = np.flatnonzero(~space[:-1] & space[1:])
+    up, down = _powers(len(b) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)])])
+    return starts, mix((sums[ends] - sums[starts]) * down[starts])
+
+
+def hash_words(texts: list[bytes]) -> list[np.ndarray]:
+    """Hashes of the words (between ASCII white space) of each text, short texts together."""
+    out: list[np.ndarray] = []
+    at = 0
+    while at < len(texts):
+        if len(texts[at]) > HASH_BYTES:
+            parts, pos, data = [], 0, texts[at]
+            while pos < len(data):
+                cut = len(data)
+                if cut - pos > HASH_BYTES:
+                    cut = max(data.rfind(c, pos, pos + HASH_BYTES) for c in (b" ", b"\n"))
+                    if cut <= pos:
+                        cut = min((x for x in (data.find(c, pos + 1) for c in (b" ", b"\n")) if x > 0), default=len(data))
+                parts.append(_hash_block(data[pos:cut])[1])
+                pos = cut
+            out.append(np.concatenate(parts))
+            at += 1
+            continue
+        group, size = [], 0
+        while at < len(texts) and size + len(texts[at]) <= HASH_BYTES:
+            group.append(texts[at])
+            size += len(texts[at]) + 1
+            at += 1
+        starts, hashes = _hash_block(b"\n".join(group))
+        ends = np.cumsum([len(t) + 1 for t in group])
+        out.extend(np.split(hashes, np.searchsorted(starts, ends[:-1])))
+    return out
+
+
+#: Bits of an id filter: 2^26 bits, 8 MB, whatever the number of ids.
+FILTER_BITS = 26
+
+
+class IdFilter:
+    """A bitmap of hashed ids of fixed size: tells ids that are surely not in a
+    set from ids that may be.  Its use saves shuffles and changes no result."""
+
+    def __init__(self, ids: DataFrame, column: str):
+        h = F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS))
+        places = ids.select(F.shiftright(h, 16).cast("int").alias("segment"), h.bitwiseAND(0xFFFF).cast("int").alias("place"))
+
+        def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found: dict[int, np.ndarray] = {}
+            for b in batches:
+                segment, place = b.column(0).to_numpy(), b.column(1).to_numpy()
+                for s in np.unique(segment).tolist():
+                    found.setdefault(s, np.zeros(1 << 16, bool))[place[segment == s]] = True
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(found), pa.int32()), pa.array([np.packbits(v).tobytes() for v in found.values()], pa.binary())],
+                names=["segment", "bits"])
+
+        bits = np.zeros(1 << FILTER_BITS >> 3, np.uint8)
+        for r in places.repartition("segment").mapInArrow(fill, "segment int, bits binary").toArrow().to_pylist():
+            bits[r["segment"] << 13 : (r["segment"] + 1) << 13] = np.frombuffer(r["bits"], np.uint8)
+        self.bits = ids.sparkSession.sparkContext.broadcast(bits)
+
+    def split(self, df: DataFrame, column: str, maybe: bool) -> DataFrame:
+        """Rows whose id may be in the set, or those whose id is not (a null id never is)."""
+        bits, schema = self.bits, df.schema
+        mark = f"mark_{uuid.uuid4().hex}"
+
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                h = b.column(b.num_columns - 1).to_numpy(zero_copy_only=False)
+                known = ~np.isnan(h) if h.dtype.kind == "f" else np.ones(len(h), bool)
+                h = np.where(known, h, 0).astype(np.int64)
+                hit = known & ((bits.value[h >> 3] >> (7 - (h & 7)).astype(np.uint8) & 1) == 1)
+                yield b.drop_columns([mark]).filter(pa.array(hit == maybe))
+
+        h = F.when(F.col(column).isNotNull(), F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS)))
+        return df.withColumn(mark, h).mapInArrow(keep, schema)
 
 
 def mix(h: np.ndarray) -> np.ndarray:

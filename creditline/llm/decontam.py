@@ -25,35 +25,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditline.llm.common import WordHash, shingles
+from creditline.llm.common import hash_words, shingles
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 40
 BLOCK_ITEMS = 4096
 BLOCK_SHINGLES = 4_000_000
-#: Documents of a batch are searched together up to this many words.
-GROUP_WORDS = 400_000
+#: Documents of a batch are searched together up to this many bytes.
+GROUP_BYTES = 2_000_000
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 RESULT = "doc_id bigint, item_id bigint, containment double, matched bigint, item_shingles bigint"
 
 _ODD = (np.random.default_rng(20).integers(0, 1 << 62, BANDS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-_PUNCT = str.maketrans({c: " " for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"})
+_PUNCT = bytes.maketrans(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", b" " * 32)
+
+
+def plain(text: str) -> bytes:
+    """Lower-cased text with ASCII punctuation as white space."""
+    return text.lower().encode("utf-8", "surrogatepass").translate(_PUNCT)
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-cased words; ASCII punctuation separates words like white space."""
-    return text.lower().translate(_PUNCT).split()
+    """Lower-cased words; ASCII punctuation and white space separate them."""
+    return [w.decode("utf-8", "surrogatepass") for w in plain(text).split()]
 
 
 class Items:
     """A block of benchmark items: shingle sets, and their MinHash values by shingle length and size class."""
 
     def __init__(self, items: list[tuple[int | None, str]]):
-        hashes = WordHash()
         self.ids, self.sets, index = [], [], {}
         for item_id, text in items:
-            w = hashes.of(words_of(text))
+            w = hash_words([plain(text)])[0]
             if not len(w):
                 continue
             s = np.unique(shingles(w, SHINGLE))
@@ -151,15 +155,16 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found, hashes = Items(shared.value), WordHash()
+            found = Items(shared.value)
             for b in batches:
                 ids, texts = b.column(0).to_pylist(), b.column(1)
                 at = 0
                 while at < b.num_rows:
-                    words, n = [], 0
-                    while at + len(words) < b.num_rows and n < GROUP_WORDS:
-                        words.append(hashes.of(words_of(texts[at + len(words)].as_py() or "")))
-                        n += len(words[-1])
+                    group, n = [], 0
+                    while at + len(group) < b.num_rows and n < GROUP_BYTES:
+                        group.append(plain(texts[at + len(group)].as_py() or ""))
+                        n += len(group[-1])
+                    words = hash_words(group)
                     rows = [
                         (ids[at + d], found.ids[i], m / len(found.sets[i]), m, len(found.sets[i]))
                         for d, i, m in found.search(words, threshold)

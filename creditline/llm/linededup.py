@@ -3,7 +3,7 @@
 Texts differ in where they break lines, and a shared passage may start in the
 middle of one.  So documents are re-flowed into content-defined lines: of every
 WINDOW successive runs of LINE words the one with the smallest hash starts a
-line (winnowing).  Two texts that share LINE + WINDOW - 1 = 37 or more words in
+line (winnowing).  Two texts that share LINE + WINDOW - 1 = 49 or more words in
 a row thus share a line hash, wherever their own line breaks are.
 
 A line hash is rare enough to link documents if it stands at most once in each;
@@ -27,14 +27,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditline.llm.common import WordHash, shingles, stored
+from creditline.llm.common import IdFilter, hash_words, shingles, stored
 
 LINE = 8
-WINDOW = 30
+WINDOW = 42
 MIN_WORDS = 50
-_WORD = re.compile(r"\S+")
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
-RESULT = "doc_id bigint, row bigint, text string, words_removed bigint, blocks_removed bigint, partners array<bigint>"
+RESULT = "doc_id bigint, text string, words_removed bigint, blocks_removed bigint, partners array<bigint>"
 
 
 def line_starts(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,11 +142,14 @@ def patience(a: Lines, b: Lines) -> list[tuple[int, int, int]]:
 def common_blocks(a: Lines, b: Lines, min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
     """Word ranges of ``b`` that blocks of at least ``min_words`` words aligned with ``a`` cover.
 
-    What is left of ``b`` is aligned again until nothing more is found, so that
-    passages in another order than in ``a`` are found as well."""
-    gone = np.zeros(len(b.words), bool)
+    What is left of ``b`` is aligned again as long as a line of it stands in ``a``,
+    so that passages in another order than in ``a`` are found as well."""
+    if np.array_equal(a.words, b.words):
+        return [(0, len(b.words))] if len(b.words) >= min_words else []
+    gone = np.zeros(len(b.words) + 1, bool)
+    shared = b.at[np.isin(b.hash, a.hash)]
     rest, place = b, np.arange(len(b.words))
-    while len(rest.words) >= min_words:
+    while len(rest.words) >= min_words and not (gone[shared] | gone[shared + LINE - 1]).all():
         found = [(q, n) for _, q, n in patience(a, rest) if n >= min_words]
         if not found:
             break
@@ -162,7 +165,7 @@ def common_blocks(a: Lines, b: Lines, min_words: int = MIN_WORDS) -> list[tuple[
             words = np.insert(words, joint + 1, _TOP - joint.astype(np.uint64))
             place = np.insert(place, joint + 1, place[joint])
         rest = Lines(words)
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], gone]).astype(np.int8)))
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
@@ -190,98 +193,123 @@ def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text",
                keep: Sequence[str] = ()) -> DataFrame:
-    """One row per input row: doc_id, row, text (without what earlier documents
-    hold), words_removed, blocks_removed, partners (earlier documents that it
-    was aligned with and lost words to, ascending), kept (a struct of the
-    columns named in ``keep``, c0, c1, ... in their order).
+    """One row per input row: doc_id, text (without what earlier documents hold),
+    words_removed, blocks_removed, partners (earlier documents that it was aligned
+    with and lost words to, ascending), kept (a struct of the columns named in
+    ``keep``, c0, c1, ... in their order).
 
     "Earlier" is a smaller doc_id; rows with equal ids are not compared with
     one another, rows with a null id are returned as they are.  A null text is
     returned as null; an empty text or one of fewer than ``min_words`` words has
     no blocks.  Texts without deletions come back unchanged.  An empty table
     gives an empty result; columns other than id and text are not read.
+
+    Only documents that may have a partner, and texts that may be one, are
+    shuffled; bitmaps of a fixed size tell them apart from the rest.
     """
     if min_words < LINE + WINDOW - 1:
         raise ValueError(f"min_words must be at least {LINE + WINDOW - 1}")
     cols = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
-                       F.monotonically_increasing_id().alias("row"),
                        F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)] or [F.lit(True).alias("none")]).alias("kept"))
     kept_type = cols.schema["kept"].dataType.simpleString()
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, press = WordHash(), zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            for i in range(0, b.num_rows, 1000):
-                c = b.slice(i, 1000)
-                texts = c.column(1).to_pylist()
-                lines = []
-                for t in texts:
-                    h = np.sort(line_starts(hashes.of((t or "").split()))[1])
-                    lines.append(h[np.concatenate([h[1:] != h[:-1], [True]])[: len(h)]].view(np.int64))
-                z = [None if t is None else press.compress(t.encode("utf-8", "surrogatepass")) for t in texts]
+            for i in range(0, b.num_rows, 500):
+                c = b.slice(i, 500)
+                texts = [None if t is None else t.encode("utf-8", "surrogatepass") for t in c.column(1).to_pylist()]
+                lines = [np.unique(line_starts(w)[1]).view(np.int64) for w in hash_words([t or b"" for t in texts])]
+                z = [None if t is None else press.compress(t) for t in texts]
                 yield pa.RecordBatch.from_arrays(
-                    [c.column(0), c.column(2), c.column(3), pa.array(z, pa.binary()), pa.array(lines, pa.list_(pa.int64()))],
-                    names=["doc_id", "row", "kept", "z", "lines"])
+                    [c.column(0), c.column(2), pa.array(z, pa.binary()), pa.array(lines, pa.list_(pa.int64()))],
+                    names=["doc_id", "kept", "z", "lines"])
 
-    table = stored(cols.mapInArrow(split, f"doc_id bigint, row bigint, kept {kept_type}, z binary, lines array<bigint>"), "lines")
-    lines = table.where("doc_id is not null").select("doc_id", "row", F.explode("lines").alias("line"))
+    table = stored(cols.mapInArrow(split, f"doc_id bigint, kept {kept_type}, z binary, lines array<bigint>"), "lines")
+    lines = table.where("doc_id is not null").select("doc_id", F.explode("lines").alias("line"))
     first = (
-        lines.groupBy("line")
-        .agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.min_by("row", "doc_id").alias("first_row"))
-        .where("first_doc < last_doc").drop("last_doc")
-    )
-    pairs = (
-        lines.join(first, "line").where("doc_id > first_doc")
-        .select("row", F.col("first_row"), F.col("first_doc")).distinct()
+        lines.groupBy("line").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+        .where("first < last").drop("last")
     )
-    holders = table.select(F.col("row").alias("first_row"), "z")
-    partners = pairs.join(holders, "first_row").select("row", F.col("first_doc").alias("doc_id"), "z", F.lit(1).alias("part"),
-                                                         F.lit(None).cast(kept_type).alias("kept"))
-    both = table.select("row", "doc_id", "z", F.lit(0).alias("part"), "kept").unionByName(partners)
-    both = both.repartition("row").sortWithinPartitions("row", "part", "doc_id")
-
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, press = WordHash(), zstandard.ZstdDecompressor()
-
-        def text_of(z: bytes | None) -> str | None:
-            return None if z is None else press.decompress(z).decode("utf-8", "surrogatepass")
-
-        state: dict = {}
-
-        def done() -> tuple:
-            ranges = _merged(state["ranges"])
-            text = delete_ranges(state["text"], ranges) if ranges else state["text"]
-            return (state["doc_id"], state["row"], text, sum(b - a for a, b in ranges), len(ranges), state["partners"], state["kept"])
-
-        out: list[tuple] = []
-        for batch in batches:
-            rows, ids, zs, parts, kept = (batch.column(n) for n in ("row", "doc_id", "z", "part", "kept"))
-            for i in range(batch.num_rows):
-                if parts[i].as_py() == 0:
-                    if state:
-                        out.append(done())
-                    state = {"doc_id": ids[i].as_py(), "row": rows[i].as_py(), "text": text_of(zs[i].as_py()),
-                             "kept": kept[i].as_py(), "ranges": [], "partners": [], "lines": None}
-                elif state["lines"] is None or len(state["lines"].words):
-                    if state["lines"] is None:
-                        state["lines"] = Lines(hashes.of((state["text"] or "").split()))
-                    other = Lines(hashes.of((text_of(zs[i].as_py()) or "").split()))
-                    ranges = common_blocks(other, state["lines"], min_words)
-                    if ranges:
-                        state["ranges"] += ranges
-                        state["partners"].append(ids[i].as_py())
-                if len(out) >= 1000:
-                    yield _batch(out, kept.type)
-                    out = []
-        if state:
-            out.append(done())
-        if out:
-            yield _batch(out, kept.type)
-
-    return both.mapInArrow(align, f"{RESULT}, kept {kept_type}")
+    pairs = stored(lines.join(first, "line").where("doc_id > first").select("doc_id", "first").distinct(), "pairs")
+    earlier, later = IdFilter(pairs, "first"), IdFilter(pairs, "doc_id")
+    holders = earlier.split(table.select(F.col("doc_id").alias("first"), "z"), "first", True)
+    partners = pairs.join(holders, "first").select(
+        "doc_id", "first", "z", F.lit(None).cast(kept_type).alias("kept"))
+    own = table.select("doc_id", F.lit(None).cast("bigint").alias("first"), "z", "kept")
+    aligned = later.split(own, "doc_id", True).unionByName(partners)
+    aligned = aligned.repartition("doc_id").sortWithinPartitions("doc_id", F.col("first").asc_nulls_first())
+    result = f"{RESULT}, kept {kept_type}"
+    alone = later.split(own, "doc_id", False).mapInArrow(_unchanged, result)
+    return aligned.mapInArrow(lambda it: _align(it, min_words), result).unionByName(alone)
+
+
+def _text(z: bytes | None, press: zstandard.ZstdDecompressor) -> bytes | None:
+    return None if z is None else press.decompress(z)
+
+
+def _unchanged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    press = zstandard.ZstdDecompressor()
+    for b in batches:
+        for i in range(0, b.num_rows, 1000):
+            c = b.slice(i, 1000)
+            texts = pa.array([_text(z, press) for z in c.column(2).to_pylist()], pa.binary())
+            none = pa.array(np.zeros(c.num_rows, np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [c.column(0), texts.cast(pa.string()), none, none, pa.array([[]] * c.num_rows, pa.list_(pa.int64())), c.column(3)],
+                names=["doc_id", "text", "words_removed", "blocks_removed", "partners", "kept"])
+
+
+def _align(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by doc_id, a document's own rows before its partners'."""
+    press = zstandard.ZstdDecompressor()
+    own: list[dict] = []  # rows of the current id: one, unless rows repeat an id
+    out: list[tuple] = []
+
+    def done() -> None:
+        for d in own:
+            ranges = _merged(d["ranges"])
+            text = delete_ranges(d["text"].decode("utf-8", "surrogatepass"), ranges) if ranges else d["text"]
+            out.append((d["doc_id"], text.decode("utf-8", "surrogatepass") if isinstance(text, bytes) else text,
+                        sum(b - a for a, b in ranges), len(ranges), d["partners"], d["kept"]))
+
+    kind = pa.null()
+    for batch in batches:
+        kind = batch.column(3).type
+        ids, firsts, zs, kept = (c.to_pylist() for c in batch.columns)
+        for i, doc_id in enumerate(ids):
+            if firsts[i] is None:
+                if own and own[0]["doc_id"] != doc_id:
+                    done()
+                    own.clear()
+                own.append({"doc_id": doc_id, "text": _text(zs[i], press), "kept": kept[i], "ranges": [], "partners": [], "lines": None})
+                continue
+            other = None
+            for d in own:
+                if d["doc_id"] != doc_id or len(d["text"] or b"") < min_words:
+                    continue
+                text = _text(zs[i], press) or b""
+                if text == d["text"]:
+                    n = len(text.split())
+                    ranges = [(0, n)] if n >= min_words else []
+                else:
+                    if d["lines"] is None:
+                        d["lines"] = Lines(hash_words([d["text"]])[0])
+                    other = other or Lines(hash_words([text])[0])
+                    ranges = common_blocks(other, d["lines"], min_words)
+                if ranges:
+                    d["ranges"] += ranges
+                    if firsts[i] not in d["partners"]:
+                        d["partners"].append(firsts[i])
+            if len(out) >= 1000:
+                yield _batch(out, kind)
+                out.clear()
+    done()
+    if out:
+        yield _batch(out, kind)
 
 
 def _batch(rows: list[tuple], kept: pa.DataType) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), kept)
-    names = ["doc_id", "row", "text", "words_removed", "blocks_removed", "partners", "kept"]
+    types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), kept)
+    names = ["doc_id", "text", "words_removed", "blocks_removed", "partners", "kept"]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)

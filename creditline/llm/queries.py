@@ -31,7 +31,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(read_table(spark, sf_dir, "documents")).drop("row", "kept")
+    return line_dedup(read_table(spark, sf_dir, "documents")).drop("kept")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creditline.llm.common import CACHE_WORDS, stored
-from creditline.llm.decontam import words_of
+from creditline.llm.decontam import plain, words_of
 
 MAX_LABELLED = 12_000
 #: Features counted in the sample; of them at most MAX_FEATURES get a weight.
@@ -116,14 +116,14 @@ class _WordScores(dict):
     def __init__(self, model: Model):
         self.model = model
 
-    def __missing__(self, word: str) -> float:
-        v = self[word] = self.model.word(word)
+    def __missing__(self, word: bytes) -> float:
+        v = self[word] = self.model.word(word.decode("utf-8", "surrogatepass"))
         return v
 
     def of(self, text: str) -> float:
         if len(self) > CACHE_WORDS:
             self.clear()
-        words = words_of(text)
+        words = plain(text).split()
         telling = sorted(w for w in set(words) if self[w])
         return float(sum(self[w] * words.count(w).bit_length() for w in telling))
 
