@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
-# Fixed values that must equal the reference's for identical results.
+# Fixed values, which must be as they are for identical results.
 # Canonical channel -> accepted aliases (compared after LOWER(TRIM(x))).
 CHANNEL_ALIASES: dict[str, tuple[str, ...]] = {
     "Meta_Paid_Social": ("meta_paid_social", "meta", "facebook"),
@@ -22,6 +22,18 @@ CHANNEL_ALIASES: dict[str, tuple[str, ...]] = {
     "Google_Organic": ("google_organic", "organic search", "organic"),
     "Email_CRM": ("email_crm", "email", "crm"),
 }
+# The shorter alias map of the cleaning guide; other channels become INITCAP.
+GUIDE_ALIASES: dict[str, tuple[str, ...]] = {
+    "Meta_Paid_Social": ("meta_paid_social", "meta", "facebook"),
+    "Google_Search": ("google_search", "google", "google paid search"),
+    "TikTok_Ads": ("tiktok_ads", "tiktok", "tik tok"),
+}
+# Aliases of the spend feed.
+SPEND_ALIASES: dict[str, tuple[str, ...]] = {
+    "Meta_Paid_Social": ("meta_paid_social",),
+    "Google_Paid_Search": ("google_paid_search",),
+    "TikTok_Ads": ("tiktok_ads",),
+}
 # Canonical paid channels (the ones with ad spend).
 PAID_CHANNELS: tuple[str, ...] = ("Meta_Paid_Social", "Google_Paid_Search", "TikTok_Ads")
 # Dashboard display names: exact raw value (after lower/strip) -> label; others dropped.
@@ -99,9 +111,24 @@ def mapped_value(c: Column | str, mapping: Mapping[str, str], default: Column |
     return expr.otherwise(fallback) if expr is not None else fallback
 
 
+def wall_micros(ts: Column | str) -> Column:
+    """Microseconds of a wall-clock timestamp since 1970-01-01 00:00 on the same
+    wall clock.  No time zone is involved, so hours that a zone skips or repeats
+    keep their order and distance."""
+    t = col_of(ts).cast("timestamp_ntz")
+    second = F.unix_date(t.cast("date")).cast("long") * 86_400 + F.hour(t) * 3_600 + F.minute(t) * 60
+    return second * 1_000_000 + (F.extract(F.lit("SECOND"), t) * 1_000_000).cast("long")
+
+
+def trunc_second(ts: Column | str) -> Column:
+    """Wall-clock timestamp without its fraction of a second."""
+    t = col_of(ts).cast("timestamp_ntz")
+    return t - F.make_dt_interval(secs=F.extract(F.lit("SECOND"), t) % 1)
+
+
 def days_between(start: Column | str, end: Column | str) -> Column:
-    """(end - start) in fractional days, microsecond exact (like EXTRACT(EPOCH ...)/86400)."""
-    return F.timestamp_diff("MICROSECOND", col_of(start), col_of(end)).cast("double") / F.lit(MICROS_PER_DAY)
+    """(end - start) in fractional days of the wall clock, microsecond exact."""
+    return (wall_micros(end) - wall_micros(start)).cast("double") / F.lit(MICROS_PER_DAY)
 
 
 def decay_weight(days: Column, half_life_days: float = HALF_LIFE_DAYS) -> Column:
@@ -200,9 +227,9 @@ def order_key(ts: Column | str, event_id: Column | str) -> Column:
 
     ``min``/``max`` over a struct force a sort-based aggregate; a decimal key
     keeps first/last-touch selection in a hash aggregate with map-side combine.
-    key = unix_micros(ts) * 1e20 + (event_id + 2^63); |unix_micros| < 2.6e17.
+    key = wall_micros(ts) * 1e20 + (event_id + 2^63); |wall_micros| < 2.6e17.
     """
-    micros = F.unix_micros(col_of(ts).cast("timestamp")).cast("decimal(38,0)")
+    micros = wall_micros(ts).cast("decimal(38,0)")
     eid = col_of(event_id).cast("decimal(20,0)") + F.lit(Decimal(2**63)).cast("decimal(20,0)")
     return (micros * F.lit(Decimal(10**20)).cast("decimal(38,0)") + eid).cast("decimal(38,0)")
 

@@ -29,12 +29,17 @@ from creditline.functions.columns import (
     PAID_CHANNELS,
     PLATFORM_AOV,
     days_between,
-    decay_weight,
     money,
+    order_key_for,
     roas_band,
     safe_ratio,
+    wall_micros,
 )
 
+#: Weights span at most this many half-lives in one sum of doubles.
+MAX_HALF_LIVES = 1000
+BLOCK_HALF_LIVES = 500
+
 MODELS = ("first_touch", "last_touch", "linear", "time_decay", "position_based")
 FOUR_MODELS = ("first_touch", "last_touch", "linear", "time_decay")
 MODEL_LABELS = {
@@ -47,8 +52,6 @@ MODEL_LABELS = {
 
 
 def _order_key(df: DataFrame) -> Column:
-    from creditline.functions.columns import order_key_for
-
     return order_key_for(df, "touchpoint_ts", "event_id")
 
 
@@ -60,9 +63,14 @@ def attribute(
     position: tuple[float, float] = (0.4, 0.4),
     credit_key: str = "channel",
     by: Sequence[str] = (),
+    max_age_days: float | None = None,
 ) -> DataFrame:
     """Credit table: one row per (by, credit_key) with every model's revenue.
 
+    ``max_age_days`` states the lookback of the pairs: within MAX_HALF_LIVES
+    half-lives no weight can underflow, and one aggregate is enough.  Without it
+    the weights are summed by blocks of half-lives; the credits are the same.
+
     Columns: by..., credit_key, touches, attributed_conversions, attributed_users,
     first_touch_conversions, first_touch_users, last_touch_conversions,
     last_touch_users, first_touch_revenue, last_touch_revenue (exact DECIMAL),
@@ -74,28 +82,37 @@ def attribute(
     key = credit_key
     unit = [*by, "conversion_id"] if scope == "conversion" else [*by, "user_id"]
 
-    p = pairs
-    if anchor == "conversion":
-        anchor_ts = F.col("conversion_ts")
-    elif anchor == "last_touch":
-        # anchor = latest touch of the unit: an aggregate joined back (skew-safe),
-        # not a window over an unbounded unit.
-        last = pairs.groupBy(*unit).agg(F.max("touchpoint_ts").alias("_anchor_ts"))
-        p = pairs.join(last, unit)
-        anchor_ts = F.col("_anchor_ts")
-    else:
+    if anchor not in ("conversion", "last_touch"):
         raise ValueError("anchor must be 'conversion' or 'last_touch'")
-
-    w = decay_weight(days_between(F.col("touchpoint_ts"), anchor_ts), half_life_days)
-    ok = _order_key(p)
-    g = p.groupBy(*by, "user_id", "conversion_id", key).agg(
+    # Shares within a unit do not change when all its weights are scaled alike, so
+    # every order's weights are taken relative to its conversion.
+    age = days_between(F.col("touchpoint_ts"), F.col("conversion_ts")) / F.lit(float(half_life_days))
+    ok = _order_key(pairs)
+    bounded = max_age_days is not None and max_age_days / half_life_days <= MAX_HALF_LIVES
+    block = F.lit(0).cast("long") if bounded else F.floor(age / BLOCK_HALF_LIVES).cast("long")
+    order_keys = [*by, "user_id", "conversion_id", key]
+    p = pairs if bounded else pairs.withColumn("_block", block)
+    g = p.groupBy(*order_keys, *([] if bounded else ["_block"])).agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(w).alias("sw"),
+        F.sum(F.pow(F.lit(2.0), block * BLOCK_HALF_LIVES - age)).alias("sw"),
         F.min(ok).alias("fk"),
         F.max(ok).alias("lk"),
         F.max("order_value_usd").alias("value"),
+        F.max("conversion_ts").alias("conv_ts"),
     )
+    if not bounded:
+        # weights of old touches are summed relative to their own block of half-lives
+        # and scaled to the youngest block of the unit, so they cannot all underflow
+        scale_to = unit if anchor == "conversion" else [*by, "conversion_id"]
+        youngest = g.groupBy(*scale_to).agg(F.min("_block").alias("_youngest"))
+        g = g.join(youngest, scale_to)
+        scaled = F.col("sw") * F.pow(F.lit(2.0), (F.col("_youngest") - F.col("_block")) * BLOCK_HALF_LIVES)
+        g = g.groupBy(*order_keys).agg(
+            F.sum("n").alias("n"), F.sum(scaled).alias("sw"), F.min("fk").alias("fk"), F.max("lk").alias("lk"),
+            F.max("value").alias("value"), F.max("conv_ts").alias("conv_ts"), F.max("_youngest").alias("_youngest"),
+        )
 
+    u = Window.partitionBy(*unit)
     if scope == "conversion":
         rows = g.select(
             *by, "user_id", "conversion_id", key, "n", "sw",
@@ -106,7 +123,17 @@ def attribute(
             F.lit(1).cast("long").alias("n_conv"),
         )
     else:
-        rows = g.groupBy(*by, "user_id", key).agg(
+        span: list[str] = []
+        if anchor == "last_touch":
+            # one anchor for all orders of the user: each order's weights move from its
+            # conversion to the end of its block of half-lives, later to the user's last block
+            at = wall_micros("conv_ts").cast("double") / F.lit(86_400e6 * half_life_days)
+            if not bounded:
+                at = at - F.col("_youngest") * BLOCK_HALF_LIVES
+            g = g.withColumn("_span", F.floor(at / BLOCK_HALF_LIVES).cast("long"))
+            g = g.withColumn("sw", F.col("sw") * F.pow(F.lit(2.0), at - (F.col("_span") + 1) * BLOCK_HALF_LIVES))
+            span = ["_span"]
+        rows = g.groupBy(*by, "user_id", key, *span).agg(
             F.sum("n").alias("n"),
             F.sum("sw").alias("sw"),
             F.sum(F.col("value") * F.col("n")).alias("svn"),
@@ -115,8 +142,11 @@ def attribute(
             F.max(F.struct(F.col("lk").alias("k"), F.col("conversion_id").alias("c"), F.col("value").alias("v"))).alias("last"),
             F.count(F.lit(1)).alias("n_conv"),
         )
+        if span:
+            scale = F.pow(F.lit(2.0), (F.col("_span") - F.max("_span").over(u)) * BLOCK_HALF_LIVES)
+            rows = rows.withColumn("_scale", scale).withColumns(
+                {"sw": F.col("sw") * F.col("_scale"), "svw": F.col("svw") * F.col("_scale")}).drop("_scale", "_span")
 
-    u = Window.partitionBy(*unit)
     rows = rows.select(
         "*",
         F.sum("n").over(u).alias("_N"),
@@ -276,17 +306,19 @@ def model_share(
     model: str = "time_decay",
     channels: Sequence[str] | None = PAID_CHANNELS,
     credit_key: str = "channel",
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """One model's revenue share among the given keys, 1 decimal.
 
-    The total is a one-row aggregate cross-joined back (broadcast of one row)."""
+    The total is a one-row aggregate (per ``by`` key one row) joined back."""
     c = credits
     if channels is not None:
         c = c.filter(F.col(credit_key).isin(*channels))
     rev = F.col(f"{model}_revenue").cast("double")
-    c = c.select(credit_key, rev.alias("revenue"), F.col("attributed_conversions").cast("long").alias("total_conversions"))
-    total = c.agg(F.sum("revenue").alias("_total"))
-    return c.crossJoin(F.broadcast(total)).select(
+    c = c.select(*by, credit_key, rev.alias("revenue"), F.col("attributed_conversions").cast("long").alias("total_conversions"))
+    total = c.groupBy(*by).agg(F.sum("revenue").alias("_total"))
+    return _with_totals(c, total, by).select(
+        *by,
         credit_key,
         money(F.col("revenue")).alias("attributed_revenue"),
         "total_conversions",
@@ -294,12 +326,17 @@ def model_share(
     )
 
 
-def model_share_all(credits: DataFrame, credit_key: str = "channel") -> DataFrame:
+def _with_totals(rows: DataFrame, totals: DataFrame, by: Sequence[str]) -> DataFrame:
+    return rows.join(totals, list(by)) if by else rows.crossJoin(F.broadcast(totals))
+
+
+def model_share_all(credits: DataFrame, credit_key: str = "channel", by: Sequence[str] = ()) -> DataFrame:
     """Percent share of each key under all four models."""
     revs = {m: F.col(f"{m}_revenue").cast("double") for m in FOUR_MODELS}
-    c = credits.select(credit_key, *[revs[m].alias(m) for m in FOUR_MODELS])
-    totals = c.agg(*[F.sum(m).alias(f"_t_{m}") for m in FOUR_MODELS])
-    return c.crossJoin(F.broadcast(totals)).select(
+    c = credits.select(*by, credit_key, *[revs[m].alias(m) for m in FOUR_MODELS])
+    totals = c.groupBy(*by).agg(*[F.sum(m).alias(f"_t_{m}") for m in FOUR_MODELS])
+    return _with_totals(c, totals, by).select(
+        *by,
         credit_key,
         *[money(F.col(m)).alias(f"{m}_revenue") for m in FOUR_MODELS],
         *[F.round(safe_ratio(F.col(m) * 100.0, F.col(f"_t_{m}")), 1).alias(f"{m}_pct") for m in FOUR_MODELS],
@@ -314,18 +351,34 @@ def roas_consistency(comparison: DataFrame) -> DataFrame:
     )
 
 
-def assisted_conversions(pairs: DataFrame, credit_key: str = "channel") -> DataFrame:
+def assisted_conversions(pairs: DataFrame, credit_key: str = "channel", by: Sequence[str] = ()) -> DataFrame:
     """Per key: orders it closed (last touch) and orders it assisted, i.e. had a
     touch strictly before the closing touch (G16).  Same bounded-window plan as
     ``attribute``: aggregate per (order, key), then a window per order."""
     ok = _order_key(pairs)
-    g = pairs.groupBy("conversion_id", credit_key).agg(F.min(ok).alias("fk"), F.max(ok).alias("lk"))
-    g = g.withColumn("_LK", F.max("lk").over(Window.partitionBy("conversion_id")))
+    g = pairs.groupBy(*by, "conversion_id", credit_key).agg(F.min(ok).alias("fk"), F.max(ok).alias("lk"))
+    g = g.withColumn("_LK", F.max("lk").over(Window.partitionBy(*by, "conversion_id")))
     assisted = F.col("fk") < F.col("_LK")
     closed = F.col("lk") == F.col("_LK")
-    return g.groupBy(credit_key).agg(
+    return g.groupBy(*by, credit_key).agg(
         F.count(F.lit(1)).alias("touched_conversions"),
         F.count_if(closed).alias("closed_conversions"),
         F.count_if(assisted).alias("assisted_conversions"),
         F.count_if(assisted & ~closed).alias("assist_only_conversions"),
     )
+
+
+def new_to_brand(touches: DataFrame, channel: str = "channel", by: Sequence[str] = ()) -> DataFrame:
+    """Per channel: users it touched and users without any earlier visit, whose
+    first touch of all was in the channel (G16).
+
+    First touches come from a hash aggregate per (user, channel) and a window per
+    user over at most one row per channel."""
+    ok = order_key_for(touches, "event_timestamp", "event_id")
+    g = touches.filter(F.col("user_id").isNotNull()).groupBy(*by, "user_id", channel).agg(F.min(ok).alias("_k"))
+    first = F.col("_k") == F.min("_k").over(Window.partitionBy(*by, "user_id"))
+    return g.withColumn("_new", first).groupBy(*by, channel).agg(
+        F.count(F.lit(1)).alias("touched_users"),
+        F.count_if("_new").alias("new_to_brand_users"),
+        F.round(safe_ratio(F.count_if("_new") * 100.0, F.count(F.lit(1))), 2).alias("new_to_brand_pct"),
+    )

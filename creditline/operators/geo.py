@@ -8,6 +8,7 @@ operator into one grouped job over many experiments (campaigns, advertisers).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from datetime import date, timedelta
 
@@ -42,11 +43,16 @@ def geo_groups(
     end_inclusive_day: bool = True,
     include_empty: bool = False,
     by: Sequence[str] = (),
+    population_join: str = "left",
 ) -> DataFrame:
     """Per-market table: arm, window conversions, revenue, population, rate (H2, H3).
 
-    Default: only markets with a window conversion (as the reference); with
-    ``include_empty`` every market of ``population`` appears, with 0 conversions."""
+    Default: only markets with a window conversion; with ``include_empty`` every
+    market of ``population`` appears for every ``by`` key that has conversions in
+    the window, with 0 conversions.  ``population_join='inner'`` drops markets
+    without a population (D6), ``'left'`` keeps them with a NULL rate (D5)."""
+    if population_join not in ("left", "inner"):
+        raise ValueError("population_join must be 'left' or 'inner'")
     win = conversions.filter(window_filter(F.col("converted_at"), start, end, end_inclusive_day))
     agg = win.groupBy(*by, "dma_code").agg(
         F.count(F.lit(1)).alias("conversions"),
@@ -54,9 +60,15 @@ def geo_groups(
     )
     ctrl = control_markets.select("dma_code", F.lit(True).alias("_ctrl")).distinct()
     if include_empty:
-        base = population.join(agg, "dma_code", "left").fillna({"conversions": 0})
+        # the result itself has one row per key and market
+        markets = agg.select(*by).distinct().crossJoin(population) if by else population
+        held = agg.select(*[F.col(b).alias(f"_agg_{b}") for b in by], F.col("dma_code").alias("_agg_dma"), "conversions", "revenue_usd")
+        same = F.col("dma_code") == F.col("_agg_dma")
+        for b in by:
+            same = same & F.col(b).eqNullSafe(F.col(f"_agg_{b}"))
+        base = markets.join(held, same, "left").fillna({"conversions": 0})
     else:
-        base = agg.join(population, "dma_code", "left")
+        base = agg.join(population, "dma_code", population_join)
     base = base.join(ctrl, "dma_code", "left")
     return base.select(
         *by,
@@ -103,11 +115,16 @@ def geo_incrementality(
     spend_total: DataFrame,
     aov: float | None = None,
     by: Sequence[str] = (),
+    on_zero: str = "limit",
 ) -> DataFrame:
     """Baseline, expected, incremental conversions, iCAC, iROAS, lift.
 
-    ``aov=None`` uses the treatment arm's own revenue per conversion (reference);
-    a number reproduces the README variant where the caller supplies it."""
+    ``aov=None`` uses the treatment arm's own revenue per conversion; a number is
+    used as given.  ``on_zero`` says what iCAC without incremental conversions and
+    iROAS without spend are: 'limit' (infinity and 0) or 'nan' (both NaN)."""
+    if on_zero not in ("limit", "nan"):
+        raise ValueError("on_zero must be 'limit' or 'nan'")
+    no_cac, no_roas = (float("inf"), 0.0) if on_zero == "limit" else (float("nan"), float("nan"))
     a = _arm_sums(groups, by)
     j = a.join(spend_total, list(by), "left") if by else a.crossJoin(spend_total)
     baseline = safe_ratio(F.col("cv_c"), F.col("n_c"))
@@ -127,8 +144,8 @@ def geo_incrementality(
         F.round(incremental, 0).alias("incremental_conversions"),
         F.round(inc_rev, 2).alias("incremental_revenue_usd"),
         F.round(sp, 2).alias("treatment_spend_usd"),
-        F.when(incremental > 0, F.round(sp / incremental, 2)).otherwise(F.lit(float("inf"))).alias("incremental_cac_usd"),
-        F.when(sp > 0, F.round(inc_rev / sp, 2)).otherwise(F.lit(0.0)).alias("incremental_roas"),
+        F.when(incremental > 0, F.round(sp / incremental, 2)).otherwise(F.lit(no_cac)).alias("incremental_cac_usd"),
+        F.when(sp > 0, F.round(inc_rev / sp, 2)).otherwise(F.lit(no_roas)).alias("incremental_roas"),
         F.round(F.lit(100.0) - lift, 1).alias("organic_share_pct"),
         F.round(lift, 1).alias("incremental_lift_pct"),
         F.round(safe_ratio(expected * 100.0, F.col("cv_t")), 1).alias("expected_share_of_actual_pct"),
@@ -138,15 +155,15 @@ def geo_incrementality(
 def two_proportion_z(groups: DataFrame, alpha: float = 0.05, by: Sequence[str] = ()) -> DataFrame:
     """Pooled two-proportion z-test, two-tailed.
 
-    z and p are NULL when the pooled rate is outside (0, 1) (conversions exceeding
-    population make the test undefined)."""
+    z and p are NULL when the pooled rate is outside (0, 1) or an arm has no
+    population (the test is undefined then)."""
     a = _arm_sums(groups, by)
     rt = safe_ratio(F.col("cv_t"), F.col("n_t"))
     rc = safe_ratio(F.col("cv_c"), F.col("n_c"))
     pooled = safe_ratio(F.col("cv_t") + F.col("cv_c"), F.col("n_t") + F.col("n_c"))
     valid = (pooled > 0) & (pooled < 1)
-    se = F.sqrt(pooled * (F.lit(1.0) - pooled) * (F.lit(1.0) / F.col("n_t") + F.lit(1.0) / F.col("n_c")))
-    z = F.when(valid, (rt - rc) / se)
+    se = F.sqrt(F.when(valid, pooled * (F.lit(1.0) - pooled) * (safe_ratio(F.lit(1.0), F.col("n_t")) + safe_ratio(F.lit(1.0), F.col("n_c")))))
+    z = safe_ratio(rt - rc, se)
     p = F.lit(2.0) * norm_tail(z)
     return a.select(
         *by,
@@ -161,12 +178,15 @@ def two_proportion_z(groups: DataFrame, alpha: float = 0.05, by: Sequence[str] =
 
 
 def lift_ci(groups: DataFrame, alpha: float = 0.05, by: Sequence[str] = ()) -> DataFrame:
-    """Wald interval of the rate difference and of the relative lift."""
+    """Wald interval of the rate difference and of the relative lift.
+
+    The bounds are NULL when an arm's rate is outside [0, 1] or undefined."""
     zc = norm_ppf_approx(1 - alpha / 2)
     a = _arm_sums(groups, by)
     rt = safe_ratio(F.col("cv_t"), F.col("n_t"))
     rc = safe_ratio(F.col("cv_c"), F.col("n_c"))
-    se = F.sqrt(rt * (F.lit(1.0) - rt) / F.col("n_t") + rc * (F.lit(1.0) - rc) / F.col("n_c"))
+    valid = rt.between(0.0, 1.0) & rc.between(0.0, 1.0)
+    se = F.sqrt(F.when(valid, safe_ratio(rt * (F.lit(1.0) - rt), F.col("n_t")) + safe_ratio(rc * (F.lit(1.0) - rc), F.col("n_c"))))
     diff = rt - rc
     return a.select(
         *by,
@@ -180,11 +200,14 @@ def lift_ci(groups: DataFrame, alpha: float = 0.05, by: Sequence[str] = ()) -> D
 
 
 def minimum_detectable_effect(groups: DataFrame, alpha: float = 0.05, power: float = 0.8, by: Sequence[str] = ()) -> DataFrame:
-    """Closed-form MDE of the rate difference at the control rate."""
+    """Closed-form MDE of the rate difference at the control rate.
+
+    NULL when the control rate is outside [0, 1] or an arm has no population."""
     k = norm_ppf_approx(1 - alpha / 2) + norm_ppf_approx(power)
     a = _arm_sums(groups, by)
     rc = safe_ratio(F.col("cv_c"), F.col("n_c"))
-    se0 = F.sqrt(rc * (F.lit(1.0) - rc) * (F.lit(1.0) / F.col("n_t") + F.lit(1.0) / F.col("n_c")))
+    per_head = safe_ratio(F.lit(1.0), F.col("n_t")) + safe_ratio(F.lit(1.0), F.col("n_c"))
+    se0 = F.sqrt(F.when(rc.between(0.0, 1.0), rc * (F.lit(1.0) - rc) * per_head))
     mde = F.lit(k) * se0
     return a.select(
         *by,
@@ -246,32 +269,33 @@ def difference_in_differences(
     )
 
 
-def rate_histogram(groups: DataFrame, bins: dict[str, int] | None = None) -> DataFrame:
+def rate_histogram(groups: DataFrame, bins: dict[str, int] | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Equal-width histogram of market conversion rates (%) per arm.
 
     Bin i covers [lo + (i-1)w, lo + iw); the last bin is closed.  A constant
     sample uses the range [x - 0.5, x + 0.5].  Empty bins are emitted with 0."""
     bins = bins or {CONTROL: 8, TREATMENT: 12}
-    x = groups.filter(F.col("conversion_rate").isNotNull()).select("arm", (F.col("conversion_rate") * 100.0).alias("x"))
+    keys = [*by, "arm"]
+    x = groups.filter(F.col("conversion_rate").isNotNull()).select(*keys, (F.col("conversion_rate") * 100.0).alias("x"))
     nb = None
     for arm, n in bins.items():
         nb = F.when(F.col("arm") == arm, F.lit(n)) if nb is None else nb.when(F.col("arm") == arm, F.lit(n))
-    stats = x.groupBy("arm").agg(F.min("x").alias("_mn"), F.max("x").alias("_mx")).withColumn("_n", nb).filter(F.col("_n").isNotNull())
+    stats = x.groupBy(*keys).agg(F.min("x").alias("_mn"), F.max("x").alias("_mx")).withColumn("_n", nb).filter(F.col("_n").isNotNull())
     stats = stats.select(
-        "arm", "_n",
+        *keys, "_n",
         F.when(F.col("_mx") == F.col("_mn"), F.col("_mn") - 0.5).otherwise(F.col("_mn")).alias("_lo"),
         F.when(F.col("_mx") == F.col("_mn"), F.col("_mx") + 0.5).otherwise(F.col("_mx")).alias("_hi"),
     )
     width = (F.col("_hi") - F.col("_lo")) / F.col("_n")
     binned = (
-        x.join(stats, "arm")
-        .select("arm", F.least(F.floor((F.col("x") - F.col("_lo")) / width).cast("int") + 1, F.col("_n")).alias("bin"))
-        .groupBy("arm", "bin")
+        x.join(stats, keys)
+        .select(*keys, F.least(F.floor((F.col("x") - F.col("_lo")) / width).cast("int") + 1, F.col("_n")).alias("bin"))
+        .groupBy(*keys, "bin")
         .agg(F.count(F.lit(1)).alias("dma_count"))
     )
-    grid = stats.select("arm", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("bin"), "_lo", "_hi", "_n")
-    return grid.join(binned, ["arm", "bin"], "left").select(
-        "arm",
+    grid = stats.select(*keys, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("bin"), "_lo", "_hi", "_n")
+    return grid.join(binned, [*keys, "bin"], "left").select(
+        *keys,
         "bin",
         F.round(F.col("_lo") + (F.col("bin") - 1) * (F.col("_hi") - F.col("_lo")) / F.col("_n"), 6).alias("bin_low_pct"),
         F.round(F.col("_lo") + F.col("bin") * (F.col("_hi") - F.col("_lo")) / F.col("_n"), 6).alias("bin_high_pct"),
@@ -279,18 +303,19 @@ def rate_histogram(groups: DataFrame, bins: dict[str, int] | None = None) -> Dat
     )
 
 
-def rate_quartiles(groups: DataFrame) -> DataFrame:
+def rate_quartiles(groups: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Box summary per arm: min, quartiles (linear interpolation), max, count.
 
     The group is the set of markets of one arm, bounded by the market count."""
     q = F.percentile(F.col("conversion_rate"), [0.25, 0.5, 0.75])
-    s = groups.filter(F.col("conversion_rate").isNotNull()).groupBy("arm").agg(
+    s = groups.filter(F.col("conversion_rate").isNotNull()).groupBy(*by, "arm").agg(
         F.count(F.lit(1)).alias("markets"),
         F.min("conversion_rate").alias("min_rate"),
         q.alias("_q"),
         F.max("conversion_rate").alias("max_rate"),
     )
     return s.select(
+        *by,
         "arm",
         F.col("markets").cast("long").alias("markets"),
         F.round("min_rate", 8).alias("min_rate"),
@@ -350,37 +375,42 @@ def bootstrap_uniform(rep: Column, idx: Column, draw: int, seed: int) -> Column:
     return (h.cast("double") + 0.5) / float(_MOD)
 
 
-# Poisson(1) inverse-CDF thresholds: P(K <= k) for k = 0..7 (derived from e^-1 / k!).
-def _poisson1_cdf(kmax: int = 7) -> list[float]:
-    import math
-
-    acc, out = 0.0, []
-    for k in range(kmax + 1):
-        acc += math.exp(-1.0) / math.factorial(k)
+def _poisson1_cdf() -> list[float]:
+    """P(K <= k) of Poisson(1), k = 0, 1, ... until it is 1 in double precision."""
+    acc, p, k, out = 0.0, math.exp(-1.0), 0, []
+    while acc + p > acc:
+        acc += p
         out.append(acc)
+        k += 1
+        p /= k
     return out
 
 
 def poisson1(u: Column) -> Column:
-    expr = None
-    for k, thr in enumerate(_poisson1_cdf()):
-        expr = F.when(u < F.lit(thr), F.lit(k)) if expr is None else expr.when(u < F.lit(thr), F.lit(k))
-    return expr.otherwise(F.lit(8))
+    """Poisson(1) draw of a uniform in (0, 1): the number of values with a CDF at or below it."""
+    out = F.lit(0)
+    for threshold in _poisson1_cdf():
+        out = out + (u >= F.lit(threshold)).cast("int")
+    return out
 
 
-def bootstrap_lift(groups: DataFrame, n_boot: int = 200, seed: int = 42, ci: float = 0.95) -> DataFrame:
+def market_index(market: Column) -> Column:
+    """Number below 2^28 from a market's code: the same in every job and partition."""
+    return F.conv(F.substring(F.md5(market.cast("binary")), 1, 7), 16, 10).cast("long")
+
+
+def bootstrap_lift(groups: DataFrame, n_boot: int = 200, seed: int = 42, ci: float = 0.95, by: Sequence[str] = ()) -> DataFrame:
     """Market-level Poisson bootstrap of the relative lift.
 
     Markets x replicates are generated with ``explode(sequence(1, B))`` (work
     grows with markets x B, spread over tasks); each replicate is one grouped
-    conditional sum; the interval is ``percentile`` over the B replicate values."""
-    idx = F.dense_rank().over(Window.orderBy("dma_code"))
-    m = groups.filter(F.col("population").isNotNull()).select("arm", "dma_code", "conversions", "population").withColumn("_idx", idx)
+    conditional sum; the interval is ``percentile`` over the B replicate values.
+    Draws depend on the market's code only, so no global numbering is needed."""
+    m = groups.filter(F.col("population").isNotNull()).select(*by, "arm", "dma_code", "conversions", "population")
     reps = m.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
-    wgt = poisson1(bootstrap_uniform(F.col("_rep"), F.col("_idx").cast("long"), 0, seed))
-    reps = reps.withColumn("_w", wgt)
+    reps = reps.withColumn("_w", poisson1(bootstrap_uniform(F.col("_rep"), market_index(F.col("dma_code")), 0, seed)))
     is_c = F.col("arm") == CONTROL
-    per = reps.groupBy("_rep").agg(
+    per = reps.groupBy(*by, "_rep").agg(
         F.sum(F.when(is_c, F.col("_w") * F.col("conversions"))).alias("cv_c"),
         F.sum(F.when(is_c, F.col("_w") * F.col("population"))).alias("n_c"),
         F.sum(F.when(~is_c, F.col("_w") * F.col("conversions"))).alias("cv_t"),
@@ -391,8 +421,8 @@ def bootstrap_lift(groups: DataFrame, n_boot: int = 200, seed: int = 42, ci: flo
         safe_ratio(F.col("cv_c"), F.col("n_c")),
     ) * 100.0
     lo, hi = (1 - ci) / 2, 1 - (1 - ci) / 2
-    return per.select(lift.alias("lift")).filter(F.col("lift").isNotNull()).agg(
-        F.count(F.lit(1)).alias("replicates"),
+    return per.select(*by, lift.alias("lift")).groupBy(*by).agg(
+        F.count("lift").alias("replicates"),
         F.round(F.avg("lift"), 4).alias("mean_lift_pct"),
         F.round(F.percentile("lift", lo), 4).alias("lift_ci_low_pct"),
         F.round(F.percentile("lift", 0.5), 4).alias("lift_median_pct"),
@@ -400,17 +430,20 @@ def bootstrap_lift(groups: DataFrame, n_boot: int = 200, seed: int = 42, ci: flo
     )
 
 
-def matched_markets(features: DataFrame, feature: str = "pre_rate") -> DataFrame:
+def matched_markets(features: DataFrame, feature: str = "pre_rate", by: Sequence[str] = ()) -> DataFrame:
     """Nearest control market for each treatment market on a pre-period feature.
 
-    Markets are sorted once by the feature; each treatment market looks at the
-    closest control market below and above it (``last``/``first`` ignoring
-    nulls) - no pairwise cross product.  Ties prefer the lower market code."""
-    w_order = Window.orderBy(F.col(feature), F.col("dma_code"))
+    Markets are sorted by the feature within each ``by`` key; each treatment market
+    looks at the closest control market below and above it (``last``/``first``
+    ignoring nulls) - no pairwise cross product.  One window holds the markets of
+    one key, a number bounded by the market list.  Ties prefer the lower code;
+    markets without a feature are not matched."""
+    x = features.filter(F.col(feature).isNotNull())
+    w_order = Window.partitionBy(*(by or [F.lit(1)])).orderBy(F.col(feature), F.col("dma_code"))
     below = w_order.rowsBetween(Window.unboundedPreceding, -1)
     above = w_order.rowsBetween(1, Window.unboundedFollowing)
     ctrl_struct = F.when(F.col("arm") == CONTROL, F.struct(F.col(feature).alias("f"), F.col("dma_code").alias("d")))
-    x = features.withColumn("_below", F.last(ctrl_struct, ignorenulls=True).over(below)).withColumn(
+    x = x.withColumn("_below", F.last(ctrl_struct, ignorenulls=True).over(below)).withColumn(
         "_above", F.first(ctrl_struct, ignorenulls=True).over(above)
     )
     t = x.filter(F.col("arm") == TREATMENT)
@@ -421,6 +454,7 @@ def matched_markets(features: DataFrame, feature: str = "pre_rate") -> DataFrame
     )
     match = F.when(pick_below, F.col("_below")).otherwise(F.col("_above"))
     return t.select(
+        *by,
         F.col("dma_code").alias("treatment_dma"),
         F.round(F.col(feature), 8).alias("treatment_feature"),
         match["d"].alias("control_dma"),
@@ -429,18 +463,51 @@ def matched_markets(features: DataFrame, feature: str = "pre_rate") -> DataFrame
     )
 
 
+def platform_vs_incremental_cac(incrementality: DataFrame, claims: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Cost per conversion as the platform claims it and per incremental conversion.
+
+    ``claims`` has platform_spend_usd and platform_conversions per ``by`` key, from
+    ``platform_claims``.  Both costs and their ratio are NULL where undefined."""
+    j = incrementality.join(claims, list(by), "left") if by else incrementality.crossJoin(claims)
+    platform = safe_ratio(F.col("platform_spend_usd"), F.col("platform_conversions"))
+    true = F.when(F.col("incremental_conversions") > 0, F.col("incremental_cac_usd"))
+    return j.select(
+        *by,
+        F.round(platform, 2).alias("platform_cac_usd"),
+        true.alias("incremental_cac_usd"),
+        F.round(safe_ratio(true, platform), 2).alias("cac_multiple"),
+        F.round(true - platform, 2).alias("hidden_cost_usd"),
+    )
+
+
+def platform_claims(
+    spend: DataFrame, control_markets: DataFrame, start: date, end: date, channel: str = "Meta_Paid_Social", by: Sequence[str] = ()
+) -> DataFrame:
+    """The tested channel's spend and claimed conversions in non-control markets inside the window."""
+    s = spend.filter(
+        (F.col("channel") == channel) & (F.col("ad_date") >= F.lit(start)) & (F.col("ad_date") <= F.lit(end))
+    ).join(control_markets.select("dma_code"), "dma_code", "left_anti")
+    return s.groupBy(*by).agg(
+        F.sum("spend_usd").cast("double").alias("platform_spend_usd"),
+        F.sum("platform_reported_conversions").cast("long").alias("platform_conversions"),
+    )
+
+
 def pre_period_features(
-    conversions: DataFrame, population: DataFrame, control_markets: DataFrame, pre_start: date, start: date
+    conversions: DataFrame, population: DataFrame, control_markets: DataFrame, pre_start: date, start: date, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Per-market pre-period conversions per capita (input of H20)."""
+    """Per-market pre-period conversions per capita (input of H20); with ``by``, one
+    row per key that has pre-period conversions and market."""
     pre = conversions.filter(
         (F.col("converted_at") >= F.lit(pre_start).cast("timestamp_ntz")) & (F.col("converted_at") < F.lit(start).cast("timestamp_ntz"))
-    ).groupBy("dma_code").agg(F.count(F.lit(1)).alias("_n"))
+    ).groupBy(*by, "dma_code").agg(F.count(F.lit(1)).alias("_n"))
     ctrl = control_markets.select("dma_code", F.lit(True).alias("_ctrl"))
+    markets = pre.select(*by).distinct().crossJoin(population) if by else population
     return (
-        population.join(pre, "dma_code", "left")
+        markets.join(pre, [*by, "dma_code"], "left")
         .join(ctrl, "dma_code", "left")
         .select(
+            *by,
             "dma_code",
             F.when(F.col("_ctrl"), F.lit(CONTROL)).otherwise(F.lit(TREATMENT)).alias("arm"),
             safe_ratio(F.coalesce(F.col("_n"), F.lit(0)), F.col("population")).alias("pre_rate"),

@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from creditline.functions.columns import LOOKBACK_DAYS
+from creditline.functions.columns import LOOKBACK_DAYS, days_between, wall_micros
 
 DEFAULT_BUCKET_DAYS = 7
 
@@ -87,8 +87,9 @@ def eligible_pairs(
 
 
 def unattributed_conversions(conversions: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Orders with no eligible touch (D8): anti join on conversion_id."""
-    return conversions.join(pairs.select("conversion_id"), "conversion_id", "left_anti")
+    """Orders with no eligible touch (D8): anti join on the distinct conversion ids
+    of the pairs, which the map-side aggregate reduces before any shuffle."""
+    return conversions.join(pairs.select("conversion_id").distinct(), "conversion_id", "left_anti")
 
 
 def near_duplicates_removed(
@@ -109,68 +110,90 @@ def near_duplicates_removed(
     if bucket_seconds < within_seconds:
         raise ValueError("bucket_seconds must be >= within_seconds")
     keys = list(keys)
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    micros = wall_micros(ts)
     b = F.floor(micros / F.lit(bucket_seconds * 1_000_000)).cast("long")
     x = df.withColumn("_b", b).withColumn("_us", micros)
     w = Window.partitionBy(*keys, "_b").orderBy("_us", order)
     x = x.withColumn("_prev_us", F.lag("_us").over(w))
-    last_in_bucket = x.groupBy(*keys, "_b").agg(F.max("_us").alias("_bucket_last_us")).withColumn("_b", F.col("_b") + 1)
-    x = x.join(last_in_bucket, [*keys, "_b"], "left")
+    last_in_bucket = x.groupBy(*keys, "_b").agg(F.max("_us").alias("_bucket_last_us"))
+    last_in_bucket = last_in_bucket.select(*[F.col(k).alias(f"_last_{k}") for k in keys], (F.col("_b") + 1).alias("_next_b"), "_bucket_last_us")
+    same = F.col("_b") == F.col("_next_b")
+    for k in keys:  # null keys are one group, in the window and here
+        same = same & F.col(k).eqNullSafe(F.col(f"_last_{k}"))
+    x = x.join(last_in_bucket, same, "left")
     prev = F.coalesce(F.col("_prev_us"), F.col("_bucket_last_us"))
     keep = prev.isNull() | ((F.col("_us") - prev) > F.lit(int(within_seconds * 1_000_000)))
     return x.filter(keep).select(*df.columns)
 
 
-def journey_steps(pairs: DataFrame, bucket_hours: int = 1) -> DataFrame:
-    """Per eligible pair: position in the order's journey, previous / next channel
-    and hours since the previous touch (F11, F6).
+def touch_timeline(touches: DataFrame, bucket_hours: int = 1) -> DataFrame:
+    """Touches with their place in the user's timeline: ``_rank`` and the previous
+    and next touch's channel and time, in (time, event_id) order.
 
-    ``lag``/``lead`` run per (conversion, time bucket); only the first and last
-    touch of each bucket (at most 2 x buckets-per-window rows per order, a bound
-    independent of traffic) go through a per-order window that links buckets and
-    accumulates position offsets.  No window ever holds a whole heavy journey."""
-    from creditline.functions.columns import days_between, order_key_for
-
-    x = pairs.select(
-        "user_id", "conversion_id", "event_id", "channel", "touchpoint_ts",
-        order_key_for(pairs, "touchpoint_ts", "event_id").alias("_k"),
-        F.floor(F.unix_micros(F.col("touchpoint_ts").cast("timestamp")) / F.lit(bucket_hours * 3_600_000_000)).cast("long").alias("_b"),
+    ``lag``/``lead`` run per (user, time bucket).  Only one row per bucket goes
+    through a per-user window that links buckets and adds up ranks; its rows are
+    bounded by the hours of the data, not by the user's traffic."""
+    x = touches.select(
+        "user_id", "event_id", "channel", "event_timestamp",
+        F.floor(wall_micros("event_timestamp") / F.lit(bucket_hours * 3_600_000_000)).cast("long").alias("_b"),
     )
-    w_in = Window.partitionBy("conversion_id", "_b").orderBy("_k")
-    w_all = Window.partitionBy("conversion_id", "_b")
-    x = (
-        x.withColumn("_rn", F.row_number().over(w_in))
-        .withColumn("_cnt", F.count(F.lit(1)).over(w_all))
-        .withColumn("_pch", F.lag("channel").over(w_in))
-        .withColumn("_pts", F.lag("touchpoint_ts").over(w_in))
-        .withColumn("_nch", F.lead("channel").over(w_in))
+    w = Window.partitionBy("user_id", "_b").orderBy("event_timestamp", "event_id")
+    ends = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    here = F.struct("channel", F.col("event_timestamp").alias("ts"))
+    x = x.select(
+        "*",
+        F.row_number().over(w).alias("_rn"),
+        F.lag(here).over(w).alias("_prev"),
+        F.lead(here).over(w).alias("_next"),
+        F.count(F.lit(1)).over(ends).alias("_cnt"),
+        F.last(here).over(ends).alias("_last"),
     )
-    edges = x.filter((F.col("_rn") == 1) | (F.col("_rn") == F.col("_cnt"))).select(
-        "conversion_id", "_b", "_k", "_rn", "_cnt", "channel", "touchpoint_ts"
+    heads = x.filter(F.col("_rn") == 1).select("user_id", "_b", "_cnt", F.struct("channel", F.col("event_timestamp").alias("ts")).alias("_first"), "_last")
+    w_user = Window.partitionBy("user_id").orderBy("_b")
+    heads = heads.select(
+        F.col("user_id").alias("_user"), F.col("_b").alias("_bucket"),
+        F.lag("_last").over(w_user).alias("_before"),
+        F.lead("_first").over(w_user).alias("_after"),
+        F.coalesce(F.sum("_cnt").over(w_user.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
     )
-    w_b = Window.partitionBy("conversion_id").orderBy("_k")
-    firsts = F.when(F.col("_rn") == 1, F.col("_cnt")).otherwise(F.lit(0))
-    edges = (
-        edges.withColumn("_bpch", F.lag("channel").over(w_b))
-        .withColumn("_bpts", F.lag("touchpoint_ts").over(w_b))
-        .withColumn("_bnch", F.lead("channel").over(w_b))
-        .withColumn("_off", F.coalesce(F.sum(firsts).over(w_b.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("_tot", F.sum(firsts).over(Window.partitionBy("conversion_id")))
+    y = x.drop("_last").join(heads, (F.col("user_id") == F.col("_user")) & (F.col("_b") == F.col("_bucket")))
+    return y.select(
+        "user_id", "event_id", "channel", "event_timestamp",
+        (F.col("_off") + F.col("_rn")).alias("_rank"),
+        F.when(F.col("_rn") == 1, F.col("_before")).otherwise(F.col("_prev")).alias("_prev"),
+        F.when(F.col("_rn") == F.col("_cnt"), F.col("_after")).otherwise(F.col("_next")).alias("_next"),
     )
-    head = edges.filter(F.col("_rn") == 1).select("conversion_id", "_b", "_bpch", "_bpts", "_off", "_tot")
-    tail = edges.filter(F.col("_rn") == F.col("_cnt")).select("conversion_id", "_b", "_bnch")
-    y = x.join(head, ["conversion_id", "_b"], "left").join(tail, ["conversion_id", "_b"], "left")
-    first_in_bucket = F.col("_rn") == 1
-    prev_ts = F.when(first_in_bucket, F.col("_bpts")).otherwise(F.col("_pts"))
+
+
+def journey_steps(
+    touches: DataFrame,
+    conversions: DataFrame,
+    lookback_days: int = LOOKBACK_DAYS,
+    bucket_days: int = DEFAULT_BUCKET_DAYS,
+    bucket_hours: int = 1,
+) -> DataFrame:
+    """Per eligible pair: position in the order's journey, previous / next channel
+    and hours since the previous touch (F11, F6).
+
+    Neighbours and ranks belong to the user's timeline, so they are computed once
+    per touch.  A pair's position is its rank less that of the first touch in the
+    order's window; a neighbour outside the window is NULL."""
+    line = touch_timeline(touches, bucket_hours)
+    pairs = eligible_pairs(line, conversions, lookback_days, bucket_days, touch_cols=("channel", "_rank", "_prev", "_next"))
+    spans = pairs.groupBy("conversion_id").agg(F.min("_rank").alias("_lo"), F.max("_rank").alias("_hi"))
+    y = pairs.join(spans, "conversion_id")
+    start = F.col("conversion_ts") - F.make_dt_interval(days=F.lit(int(lookback_days)))
+    prev = F.when(F.col("_prev.ts") >= start, F.col("_prev"))
+    following = F.when(F.col("_next.ts") <= F.col("conversion_ts"), F.col("_next"))
     return y.select(
         "conversion_id",
         "user_id",
         "event_id",
         "channel",
         "touchpoint_ts",
-        (F.col("_off") + F.col("_rn")).cast("long").alias("position"),
-        F.col("_tot").cast("long").alias("journey_touches"),
-        F.when(first_in_bucket, F.col("_bpch")).otherwise(F.col("_pch")).alias("prev_channel"),
-        F.when(F.col("_rn") == F.col("_cnt"), F.col("_bnch")).otherwise(F.col("_nch")).alias("next_channel"),
-        F.round(days_between(prev_ts, F.col("touchpoint_ts")) * 24.0, 6).alias("hours_since_prev"),
+        (F.col("_rank") - F.col("_lo") + 1).cast("long").alias("position"),
+        (F.col("_hi") - F.col("_lo") + 1).cast("long").alias("journey_touches"),
+        prev["channel"].alias("prev_channel"),
+        following["channel"].alias("next_channel"),
+        F.round(days_between(prev["ts"], F.col("touchpoint_ts")) * 24.0, 6).alias("hours_since_prev"),
     )

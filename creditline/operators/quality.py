@@ -38,11 +38,10 @@ def check_accepted(df: DataFrame, col: str, values: Sequence[str]) -> DataFrame:
     return df.filter(~F.coalesce(F.col(col).isin(*values), F.lit(False)))
 
 
-def check_causal(pairs: DataFrame) -> DataFrame:
+def check_causal(pairs: DataFrame, keys: Sequence[str] = ("user_id", "event_id")) -> DataFrame:
     """Pairs whose touch comes after the order, with the lateness in seconds."""
     return pairs.filter(F.col("touchpoint_ts") > F.col("conversion_ts")).select(
-        "user_id",
-        "event_id",
+        *keys,
         "touchpoint_ts",
         "conversion_ts",
         (days_between("conversion_ts", "touchpoint_ts") * 86400.0).alias("seconds_after_conversion"),

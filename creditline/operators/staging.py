@@ -10,18 +10,12 @@ from pyspark.sql import functions as F
 from creditline.functions.columns import (
     CHANNEL_ALIASES,
     DISPLAY_NAMES,
+    SPEND_ALIASES,
     canonical_channel,
     mapped_value,
     normalise_text,
 )
 
-_SPEND_ALIASES = {
-    "Meta_Paid_Social": ("meta_paid_social",),
-    "Google_Paid_Search": ("google_paid_search",),
-    "TikTok_Ads": ("tiktok_ads",),
-}
-
-
 def _ts(c: str):
     return F.col(c).cast("timestamp_ntz")
 
@@ -52,12 +46,14 @@ def stage_touchpoints(
 
 def stage_touchpoints_display(df: DataFrame, display_names: Mapping[str, str] = DISPLAY_NAMES) -> DataFrame:
     """Dashboard staging (B5): exact lookup of lower/strip(channel) to a display
-    label; rows whose channel is not in the map are dropped."""
+    label; rows whose channel is not in the map are dropped.  The time column is
+    named ``event_timestamp``, as the dedup and pair operators expect."""
     key = F.regexp_replace(F.lower(F.col("channel")), r"^\s+|\s+$", "")
     return (
         df.withColumn("channel", mapped_value(key, display_names))
         .filter(F.col("channel").isNotNull())
         .withColumn("timestamp", _ts("timestamp"))
+        .withColumnRenamed("timestamp", "event_timestamp")
     )
 
 
@@ -77,7 +73,7 @@ def stage_spend(df: DataFrame) -> DataFrame:
     """Typed spend with canonical paid-channel names (B1)."""
     return df.select(
         F.col("date").cast("date").alias("ad_date"),
-        canonical_channel("channel", _SPEND_ALIASES, "initcap").alias("channel"),
+        canonical_channel("channel", SPEND_ALIASES, "initcap").alias("channel"),
         F.trim(F.col("dma_code")).alias("dma_code"),
         F.col("daily_spend_usd").cast("decimal(18,2)").alias("spend_usd"),
         F.col("platform_reported_conversions").cast("int").alias("platform_reported_conversions"),

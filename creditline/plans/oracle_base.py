@@ -7,7 +7,7 @@ operators, so an equal result is a real cross-check.  Every oracle query is
 
 from __future__ import annotations
 
-from creditline.functions.columns import _HART_P, _HART_Q, CHANNEL_ALIASES, PAID_CHANNELS
+from creditline.functions.columns import CHANNEL_ALIASES, PAID_CHANNELS, SPEND_ALIASES
 from creditline.sources.adapter import (
     DUP_ID_OFFSET,
     DUP_MODULUS,
@@ -110,12 +110,6 @@ population AS (
 holdout AS (SELECT n_name AS dma_code FROM nation WHERE n_nationkey < {HOLDOUT_NATION_LIMIT})
 """
 
-_SPEND_ALIASES = {
-    "Meta_Paid_Social": ("meta_paid_social",),
-    "Google_Paid_Search": ("google_paid_search",),
-    "TikTok_Ads": ("tiktok_ads",),
-}
-
 STAGING_CTES = f"""
 stg_touchpoints AS (
   SELECT event_id, user_id, CAST("timestamp" AS TIMESTAMP) AS event_timestamp,
@@ -131,7 +125,7 @@ stg_conversions AS (
   FROM raw_conversions
 ),
 stg_spend AS (
-  SELECT CAST("date" AS DATE) AS ad_date, {canonical_channel_sql('channel', _SPEND_ALIASES)} AS channel,
+  SELECT CAST("date" AS DATE) AS ad_date, {canonical_channel_sql('channel', SPEND_ALIASES)} AS channel,
          trim(dma_code) AS dma_code, CAST(daily_spend_usd AS DECIMAL(18,2)) AS spend_usd,
          CAST(platform_reported_conversions AS INTEGER) AS platform_reported_conversions
   FROM raw_ad_spend
@@ -164,22 +158,8 @@ def with_ctes(*extra: str, lookback_days: int | None = 90) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
 
-def _horner_sql(x: str, coeffs) -> str:
-    acc = repr(coeffs[0])
-    for c in coeffs[1:]:
-        acc = f"({acc} * {x} + {c!r})"
-    return acc
-
-
 def norm_tail_sql(x: str) -> str:
-    """1 - Phi(|x|), Hart / West (2005), same constants as the Column version."""
-    a = f"abs(CAST({x} AS DOUBLE))"
-    e = f"exp(-{a} * {a} / 2.0)"
-    cf = f"({a} + 0.65)"
-    for k in (4.0, 3.0, 2.0, 1.0):
-        cf = f"({a} + {k!r} / {cf})"
-    return (
-        f"CASE WHEN {a} > 37.0 THEN 0.0 WHEN {a} < 7.07106781186547 "
-        f"THEN {e} * {_horner_sql(a, _HART_P)} / {_horner_sql(a, _HART_Q)} "
-        f"ELSE {e} / {cf} / 2.506628274631 END"
-    )
+    """1 - Phi(|x|) by Simpson's rule over [|x|, |x| + 12], 2,000 panels."""
+    weight = "(CASE WHEN i IN (0, 2000) THEN 1.0 WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END)"
+    at = f"(abs(CAST({x} AS DOUBLE)) + i * 0.006)"
+    return f"(list_sum(list_transform(range(0, 2001), lambda i: {weight} * exp(-{at} * {at} / 2.0))) * 0.002 / sqrt(2.0 * pi()))"

@@ -47,4 +47,4 @@ class Pipeline:
         return eligible_pairs(self.deduped, self.conversions, lookback_days, self.bucket_days)
 
     def credits(self, lookback_days: int | None = LOOKBACK_DAYS, **kw) -> DataFrame:
-        return attribute(self.pairs(lookback_days), **kw)
+        return attribute(self.pairs(lookback_days), max_age_days=lookback_days, **kw)

@@ -189,29 +189,28 @@ def q_meta_touch_by_market(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Standard normal quantiles, as printed in statistical tables.
+_Z975, _Z80 = "1.959963984540054", "0.8416212335729143"
+
+
 @register("lift_ci", with_ctes(GROUPS_CTES) + """
 SELECT ROUND(d * 100.0, 4) AS diff_pct, ROUND((d - {z} * se) * 100.0, 4) AS diff_ci_low_pct,
        ROUND((d + {z} * se) * 100.0, 4) AS diff_ci_high_pct,
        ROUND(d * 100.0 / NULLIF(rc, 0), 2) AS relative_lift_pct,
        ROUND((d - {z} * se) * 100.0 / NULLIF(rc, 0), 2) AS relative_lift_low_pct,
        ROUND((d + {z} * se) * 100.0 / NULLIF(rc, 0), 2) AS relative_lift_high_pct
-FROM (SELECT *, rt - rc AS d, sqrt(rt * (1.0 - rt) / n_t + rc * (1.0 - rc) / n_c) AS se
-      FROM (SELECT *, cv_t / NULLIF(n_t, 0) AS rt, cv_c / NULLIF(n_c, 0) AS rc FROM arm_sums))""".replace(
-    "{z}", repr(__import__("creditline.functions.columns", fromlist=["x"]).norm_ppf_approx(0.975))))
+FROM (SELECT *, rt - rc AS d, CASE WHEN rt BETWEEN 0 AND 1 AND rc BETWEEN 0 AND 1
+                                   THEN sqrt(rt * (1.0 - rt) / n_t + rc * (1.0 - rc) / n_c) END AS se
+      FROM (SELECT *, cv_t / NULLIF(n_t, 0) AS rt, cv_c / NULLIF(n_c, 0) AS rc FROM arm_sums))""".replace("{z}", _Z975))
 def q_lift_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geo.lift_ci(groups(Pipeline(spark, sf_dir)))
 
 
-def _mde_k() -> str:
-    from creditline.functions.columns import norm_ppf_approx
-
-    return repr(norm_ppf_approx(0.975) + norm_ppf_approx(0.8))
-
-
 @register("mde", with_ctes(GROUPS_CTES) + f"""
 SELECT ROUND(rc * 100.0, 4) AS baseline_rate_pct, ROUND(m * 100.0, 4) AS mde_abs_pct,
        ROUND(m * 100.0 / NULLIF(rc, 0), 2) AS mde_rel_pct
-FROM (SELECT *, {_mde_k()} * sqrt(rc * (1.0 - rc) * (1.0 / n_t + 1.0 / n_c)) AS m
+FROM (SELECT *, ({_Z975} + {_Z80}) * CASE WHEN rc BETWEEN 0 AND 1
+                                          THEN sqrt(rc * (1.0 - rc) * (1.0 / n_t + 1.0 / n_c)) END AS m
       FROM (SELECT *, cv_c / NULLIF(n_c, 0) AS rc FROM arm_sums))""")
 def q_mde(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geo.minimum_detectable_effect(groups(Pipeline(spark, sf_dir)))
@@ -291,39 +290,42 @@ def q_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geo.matched_markets(feats)
 
 
-def _poisson_case(u: str) -> str:
-    from creditline.operators.geo import _poisson1_cdf
-
-    return "CASE " + " ".join(f"WHEN {u} < {thr!r} THEN {k}" for k, thr in enumerate(_poisson1_cdf())) + " ELSE 8 END"
-
-
 _U = (
     "(((((((rep * 7919 + idx * 104729 + {c0}) % 2147483647) * 48271) % 2147483647 + 13) * 48271) % 2147483647"
     " + {c2}) * 69621) % 2147483647"
 ).format(c0=BOOT_SEED * 15485863, c2=BOOT_SEED % 1000 + 7)
 
 
-@register("bootstrap_lift", with_ctes(GROUPS_CTES) + f"""
-, bm AS (SELECT arm, dma_code, conversions, population, dense_rank() OVER (ORDER BY dma_code) AS idx
-         FROM groups WHERE population IS NOT NULL),
+def bootstrap_sql(groups: str, by: str = "") -> str:
+    """Poisson bootstrap of ``groups``; the draw counts the Poisson(1) CDF values at or below the uniform."""
+    key = f"{by}, " if by else ""
+    return f"""
+pois AS (SELECT k, SUM(exp(-1.0) / gamma(k + 1.0)) OVER (ORDER BY k) AS cdf FROM range(0, 25) t(k)),
+pois_all AS (SELECT list(cdf) AS cdfs FROM pois),
+bm AS (SELECT {key}arm, dma_code, conversions, population, CAST('0x' || substr(md5(dma_code), 1, 7) AS BIGINT) AS idx
+       FROM {groups} WHERE population IS NOT NULL),
 br AS (SELECT *, UNNEST(range(1, {N_BOOT + 1})) AS rep FROM bm),
-bw AS (SELECT *, {_poisson_case(f"((CAST({_U} AS DOUBLE) + 0.5) / 2147483647.0)")} AS w FROM br),
+bu AS (SELECT br.*, (CAST({_U} AS DOUBLE) + 0.5) / 2147483647.0 AS u, cdfs FROM br, pois_all),
+bw AS (SELECT *, len(list_filter(cdfs, lambda x: x <= u)) AS w FROM bu),
 bs AS (
-  SELECT rep,
+  SELECT {key}rep,
     CAST(SUM(CASE WHEN arm = 'control' THEN w * conversions END) AS DOUBLE) AS cv_c,
     CAST(SUM(CASE WHEN arm = 'control' THEN w * population END) AS DOUBLE) AS n_c,
     CAST(SUM(CASE WHEN arm <> 'control' THEN w * conversions END) AS DOUBLE) AS cv_t,
     CAST(SUM(CASE WHEN arm <> 'control' THEN w * population END) AS DOUBLE) AS n_t
-  FROM bw GROUP BY rep
+  FROM bw GROUP BY {key}rep
 ),
 bl AS (
-  SELECT ((cv_t / NULLIF(n_t, 0)) - (cv_c / NULLIF(n_c, 0))) / NULLIF(cv_c / NULLIF(n_c, 0), 0) * 100.0 AS lift FROM bs
+  SELECT {key}((cv_t / NULLIF(n_t, 0)) - (cv_c / NULLIF(n_c, 0))) / NULLIF(cv_c / NULLIF(n_c, 0), 0) * 100.0 AS lift FROM bs
 )
-SELECT COUNT(*) AS replicates, ROUND(avg(lift), 4) AS mean_lift_pct,
+SELECT {key}COUNT(lift) AS replicates, ROUND(avg(lift), 4) AS mean_lift_pct,
        ROUND(quantile_cont(lift, 0.025), 4) AS lift_ci_low_pct,
        ROUND(quantile_cont(lift, 0.5), 4) AS lift_median_pct,
        ROUND(quantile_cont(lift, 0.975), 4) AS lift_ci_high_pct
-FROM bl WHERE lift IS NOT NULL""")
+FROM bl{f' GROUP BY {by}' if by else ''}"""
+
+
+@register("bootstrap_lift", with_ctes(GROUPS_CTES).rstrip() + "," + bootstrap_sql("groups"))
 def q_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geo.bootstrap_lift(groups(Pipeline(spark, sf_dir)), N_BOOT, BOOT_SEED)
 

@@ -49,7 +49,7 @@ def q_platform_by_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("attribution_gap", with_ctes() + f"""
 SELECT claims AS platform_claimed_conversions, wc AS warehouse_conversions, uc AS unique_converters,
-       claims - wc AS attribution_gap, ROUND((claims - wc) * 100.0 / NULLIF(wc, 0), 1) AS over_reporting_pct
+       claims - uc AS attribution_gap, ROUND((claims - uc) * 100.0 / NULLIF(uc, 0), 1) AS over_reporting_pct
 FROM (SELECT CAST(SUM(platform_reported_conversions) AS BIGINT) AS claims FROM {PAID_SPEND}) a,
      (SELECT COUNT(*) AS wc, COUNT(DISTINCT user_id) AS uc FROM stg_conversions) b""")
 def q_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +167,7 @@ def q_projected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("reallocation", with_ctes(BUDGET_CTES + """,
 fixed AS (SELECT ar.*, CAST(100000.0 AS DOUBLE) AS shift_usd, CAST(0.5 AS DOUBLE) AS gs, CAST(0.5 AS DOUBLE) AS tsh FROM ar)""")
-    + _scored_sql("fixed").replace("{keys}", ""))
+    + _scored_sql("(SELECT m, g, t, rm, rg, rt, gs, tsh, m >= shift_usd AS feasible, CASE WHEN m >= shift_usd THEN shift_usd END AS shift_usd FROM fixed)").replace("{keys}", "feasible, "))
 def q_reallocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     alloc, roas = _budget_inputs(Pipeline(spark, sf_dir))
     return budget.reallocation(alloc, roas)
@@ -371,7 +371,8 @@ SELECT conversion_id, user_id, event_id, channel, touchpoint_ts,
   ROUND(date_diff('microsecond', LAG(touchpoint_ts) OVER w, touchpoint_ts) / 86400000000.0 * 24.0, 6) AS hours_since_prev
 FROM pairs WINDOW w AS (PARTITION BY conversion_id ORDER BY touchpoint_ts, event_id)""")
 def q_journey(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return journey_steps(Pipeline(spark, sf_dir).pairs(90))
+    p = Pipeline(spark, sf_dir)
+    return journey_steps(p.deduped, p.conversions, 90)
 
 
 @register("assisted_conversions", with_ctes() + """

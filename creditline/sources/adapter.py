@@ -15,6 +15,8 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from creditline.functions.columns import trunc_second
+
 # ---------------------------------------------------------------------------
 # Fixed values of the adapter (shared with the oracle SQL).
 # Raw channel spelling by k % 10 (two spellings per canonical channel).
@@ -44,23 +46,9 @@ class MarketingInputs:
     holdout_markets: DataFrame
 
 
-_READS: dict[tuple[str, str], DataFrame] = {}
-_INPUTS: dict[tuple[str, str], "MarketingInputs"] = {}
-
-
-def _session_key(spark: SparkSession) -> str:
-    return f"{spark.sparkContext.applicationId}/{id(spark._jsparkSession)}"
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Parquet scan of one driver table.  The (lazy) relation is reused per
-    session and path, so repeated plans skip file listing and footer reads."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (_session_key(spark), path)
-    df = _READS.get(key)
-    if df is None:
-        df = _READS[key] = spark.read.parquet(path)
-    return df
+    """Parquet scan of one driver table; files are listed anew on every call."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _window_filter(ts: Column) -> Column:
@@ -99,11 +87,14 @@ def _case_by(index: Column, values: tuple[str, ...]) -> Column:
 
 
 def raw_touchpoints(base: DataFrame) -> DataFrame:
+    """Non-purchase events; re-sent copies come from the same scan (no second read)."""
     kk = F.col("k") % 10
-    touches = base.filter((F.col("event_type") != "purchase") & ~_paused(base)).select(
-        "event_id",
+    event_id = F.col("event_id")
+    sent = F.when(event_id % DUP_MODULUS == 0, F.array(event_id, event_id + F.lit(DUP_ID_OFFSET))).otherwise(F.array(event_id))
+    return base.filter((F.col("event_type") != "purchase") & ~_paused(base)).select(
+        F.explode(sent).alias("event_id"),
         "user_id",
-        F.date_trunc("second", "ts").cast("timestamp_ntz").alias("timestamp"),
+        trunc_second("ts").alias("timestamp"),
         _case_by(kk, RAW_CHANNELS).alias("channel"),
         F.when(F.col("k") % 4 == 0, F.upper("event_type"))
         .when(F.col("k") % 4 == 1, F.concat(F.lit(" "), F.col("event_type"), F.lit(" ")))
@@ -119,10 +110,6 @@ def raw_touchpoints(base: DataFrame) -> DataFrame:
         .alias("campaign_name"),
         "dma_code",
     )
-    resent = touches.filter(F.col("event_id") % DUP_MODULUS == 0).withColumn(
-        "event_id", F.col("event_id") + F.lit(DUP_ID_OFFSET)
-    )
-    return touches.unionByName(resent)
 
 
 def raw_conversions(base: DataFrame) -> DataFrame:
@@ -169,14 +156,7 @@ def holdout_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def marketing_inputs(spark: SparkSession, sf_dir: str) -> MarketingInputs:
-    """Lazy input plans for one dataset directory (memoised per session; no data is cached)."""
-    key = (_session_key(spark), sf_dir.rstrip("/"))
-    if key not in _INPUTS:
-        _INPUTS[key] = _build_inputs(spark, sf_dir)
-    return _INPUTS[key]
-
-
-def _build_inputs(spark: SparkSession, sf_dir: str) -> MarketingInputs:
+    """Lazy input plans for one dataset directory (nothing is kept between calls)."""
     base = _base(spark, sf_dir)
     return MarketingInputs(
         raw_touchpoints=raw_touchpoints(base),

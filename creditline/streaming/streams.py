@@ -109,12 +109,33 @@ def campaign_monitor(
     )
 
 
+def revenue_monitor(
+    orders: DataFrame,
+    key: str = "channel",
+    window: str = "1 hour",
+    slide: str | None = None,
+    watermark: str = "2 hours",
+    ts: str = "converted_at",
+    value: str = "order_value_usd",
+) -> DataFrame:
+    """Orders and revenue per ``key`` and (tumbling or sliding) window."""
+    w = F.window(ts, window, slide) if slide else F.window(ts, window)
+    return (
+        _event_time(orders, ts).withWatermark(ts, watermark)
+        .groupBy(w.alias("window"), key)
+        .agg(F.count(F.lit(1)).alias("orders"), F.sum(value).alias("revenue_usd"))
+        .select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), key, "orders", "revenue_usd")
+    )
+
+
 def user_sessions(touches: DataFrame, gap: str = "30 minutes", watermark: str = "2 hours", ts: str = "event_timestamp") -> DataFrame:
-    """Session windows per user: touches and channels per session."""
+    """Session windows per user: touches and distinct channels per session.
+
+    The channel set of a session is bounded by the channel list."""
     return (
         _event_time(touches, ts).withWatermark(ts, watermark)
         .groupBy(F.session_window(ts, gap).alias("session"), "user_id")
-        .agg(F.count(F.lit(1)).alias("touches"), F.approx_count_distinct("channel").alias("channels"))
+        .agg(F.count(F.lit(1)).alias("touches"), F.size(F.collect_set("channel")).cast("long").alias("channels"))
         .select("user_id", F.col("session.start").alias("session_start"), F.col("session.end").alias("session_end"), "touches", "channels")
     )
 
@@ -123,24 +144,33 @@ def daily_channel_aggregate(df: DataFrame) -> DataFrame:
     return df.groupBy(F.to_date("event_timestamp").alias("day"), "channel").agg(F.count(F.lit(1)).alias("touches"))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def incremental_daily_mart(touches: DataFrame, mart_path: str):
     """``foreachBatch`` function for N4: per micro-batch, read the mart's rows of the
     affected days, add the batch, re-aggregate, and overwrite just those day
-    partitions (dynamic partition overwrite)."""
+    partitions (dynamic partition overwrite).
+
+    Every day partition carries the last epoch that changed it.  A replayed epoch
+    skips the days that already have it, so a batch that failed half-way and runs
+    again is counted once.  A read that fails fails the batch: only a mart that is
+    not there yet starts empty."""
 
     def upsert(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        fresh = daily_channel_aggregate(batch)
-        days = fresh.select("day").distinct()
-        try:
-            old = spark.read.parquet(mart_path).join(days, "day", "left_semi")
-            merged = old.unionByName(fresh).groupBy("day", "channel").agg(F.sum("touches").alias("touches"))
-        except Exception:  # first batch: the mart does not exist yet
-            merged = fresh
+        merged = daily_channel_aggregate(batch)
+        if _exists(spark, mart_path):
+            mart = spark.read.schema("channel string, touches bigint, epoch bigint, day date").parquet(mart_path)
+            old = mart.join(merged.select("day").distinct(), "day", "left_semi")
+            done = old.groupBy("day").agg(F.max("epoch").alias("last")).where(F.col("last") >= epoch_id).select("day")
+            merged = old.select("day", "channel", "touches").unionByName(merged).join(done, "day", "left_anti")
+            merged = merged.groupBy("day", "channel").agg(F.sum("touches").alias("touches"))
         # cut lineage to the old partitions before overwriting them
-        merged = merged.checkpoint(eager=True)
-        merged.write.mode("overwrite").partitionBy("day").parquet(mart_path)
+        merged = merged.select("channel", "touches", F.lit(epoch_id).cast("long").alias("epoch"), "day").checkpoint(eager=True)
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(mart_path)
 
     return upsert
 

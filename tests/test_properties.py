@@ -130,7 +130,7 @@ def test_journey_steps_match_plain_window(spark):
     cdf = spark.createDataFrame(c, "conversion_id long, user_id long, converted_at timestamp_ntz, order_value_usd decimal(18,2), dma_code string")
     pairs = eligible_pairs(tdf, cdf)
     got = {(r.conversion_id, r.event_id): (r.position, r.journey_touches, r.prev_channel, r.next_channel)
-           for r in journey_steps(pairs, bucket_hours=24).collect()}
+           for r in journey_steps(tdf, cdf, bucket_hours=24).collect()}
     by_conv = defaultdict(list)
     for r in pairs.collect():
         by_conv[r.conversion_id].append((r.touchpoint_ts, r.event_id, r.channel))
