@@ -33,7 +33,7 @@ def test_against_brute_force(spark, kw):
     centres = rng.normal(size=(4, 6)) * 3
     rows = [(i, (centres[i % 4] + rng.normal(size=6) * 0.1).tolist()) for i in range(90)]
     rows += [(200 + i, [1.0, -0.5, 0.25, 0.0, 0.0, 2.0]) for i in range(40)]  # a third are copies
-    rows += [(300, None), (301, [1.0, None, 0, 0, 0, 0]), (302, [float("nan")] * 6), (303, [float("inf")] * 6),
+    rows += [(300, None), (301, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (302, [float("nan")] * 6), (303, [float("inf")] * 6),
              (None, [1.0] * 6), (306, []), (309, [0.5, 0.5]), (312, [0.0] * 6)]
     assert run(spark, rows, **kw) == brute(rows, lambda i: i % 3 == 0, kw.get("k", 5))
 
