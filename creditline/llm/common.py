@@ -114,6 +114,7 @@ class IdFilter:
     def __init__(self, ids: DataFrame, column: str):
         h = F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS))
         places = ids.select(F.shiftright(h, 16).cast("int").alias("segment"), h.bitwiseAND(0xFFFF).cast("int").alias("place"))
+        places = places.distinct()  # an id of many rows collapses before the shuffle
 
         def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found: dict[int, np.ndarray] = {}

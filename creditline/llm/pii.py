@@ -171,8 +171,8 @@ def _person(text: Column, key: Column, attempt: Column) -> Column:
     title = F.regexp_extract(text, rf"^((?:{_TITLE})\.? )", 1)
     name = F.regexp_replace(text, rf"^(?:{_TITLE})\.? ", "")
     parts = F.split(name, " ")
-    female = title.rlike(f"^(?:{'|'.join(TITLES_F)})")
-    male = title.rlike(f"^(?:{'|'.join(TITLES_M)})")
+    female = title.rlike(rf"^(?:{'|'.join(TITLES_F)})(?!\p{{L}})")
+    male = title.rlike(rf"^(?:{'|'.join(TITLES_M)})(?!\p{{L}})")
 
     def pick(part: Column) -> Column:
         seed = F.sha2(F.concat_ws("|", key, F.lit("given"), part, attempt.cast("string")), 256)
