@@ -189,3 +189,22 @@ def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOL
     """``docs`` without the rows whose doc_id is contaminated (rows with a null id are kept)."""
     bad = contaminated(docs, items, threshold).select("doc_id").where("doc_id is not null").distinct()
     return docs.join(bad, "doc_id", "left_anti")
+
+
+_MARKS = "!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~"
+_WORDS = rf"list_filter(string_split_regex(translate(lower(coalesce(text, '')), '{_MARKS}', '{' ' * 32}'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+SQL = f"""
+WITH items AS (SELECT row_number() OVER () AS i, item_id, {_WORDS} AS w FROM benchmark),
+sized AS (SELECT i, item_id, w, least({SHINGLE}, len(w)) AS n FROM items WHERE len(w) > 0),
+item_at AS (SELECT i, item_id, n, w, UNNEST(range(1, len(w) - n + 2)) AS k FROM sized),
+item_grams AS (SELECT DISTINCT i, item_id, n, array_to_string(w[k : k + n - 1], ' ') AS gram FROM item_at),
+item_size AS (SELECT i, COUNT(*) AS size FROM item_grams GROUP BY i),
+docs AS (SELECT row_number() OVER () AS d, doc_id, {_WORDS} AS w FROM documents),
+doc_at AS (SELECT d, doc_id, n, w, UNNEST(range(1, len(w) - n + 2)) AS k
+           FROM docs, (SELECT DISTINCT n FROM sized) WHERE len(w) >= n),
+doc_grams AS (SELECT DISTINCT d, doc_id, n, array_to_string(w[k : k + n - 1], ' ') AS gram FROM doc_at),
+hits AS (SELECT d, doc_id, i, item_id, COUNT(*) AS matched
+         FROM doc_grams JOIN item_grams USING (n, gram) GROUP BY d, doc_id, i, item_id)
+SELECT doc_id, item_id, matched / CAST(size AS DOUBLE) AS containment, matched, size AS item_shingles
+FROM hits JOIN item_size USING (i) WHERE matched >= {THRESHOLD} * size
+"""

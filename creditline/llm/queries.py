@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from creditline.llm.attribution import token_counts
 from creditline.llm.common import read_table
+from creditline.llm.decontam import SQL as DECONTAM_SQL
 from creditline.llm.decontam import contaminated
 from creditline.llm.htmltext import extract
 from creditline.llm.knn import SQL as KNN_SQL
@@ -70,4 +71,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_html_text, op2_toxicity, op3_line_dedup, op4_simhash, op5_quality, op6_token_counts, op7_topk,
               op8_surrogates, op9_packing, op10_decontamination)
 }
-ORACLE: dict[str, str] = {"op7_topk": KNN_SQL}
+ORACLE: dict[str, str] = {"op7_topk": KNN_SQL, "op10_decontamination": DECONTAM_SQL}

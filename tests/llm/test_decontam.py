@@ -65,3 +65,13 @@ def test_empty_tables(spark, make):
     bench = spark.createDataFrame([(1, "a b c d e f", "x")], ITEMS)
     assert contaminated(make([]), bench).collect() == []
     assert contaminated(make([(1, "a b c d e f")]), bench.limit(0)).collect() == []
+
+
+def test_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{MEDIUM}/{t}.parquet')")
+    want = con.execute(queries.ORACLE["op10_decontamination"]).fetchall()
+    assert sorted(tuple(r) for r in queries.op10_decontamination(spark, MEDIUM).collect()) == sorted(want)
