@@ -303,10 +303,14 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     template = counts.join(hosts, "host").where(F.col("pages") >= min_share * F.col("host_pages")).select("host", "subtree")
     used = table.select("host", "row", F.explode(F.array_distinct(F.flatten("marks"))).alias("subtree"))
     gone = used.join(template, ["host", "subtree"]).groupBy("row").agg(F.collect_set("subtree").alias("gone"))
+    # only pages whose article holds subtrees that may be template are matched with their host's
+    plain = F.size(F.flatten("marks")) == 0
+    marked = table.where(~plain).join(gone, "row", "left")
     kept = F.filter(F.arrays_zip("blocks", "marks"), lambda x: ~F.arrays_overlap(x["marks"], F.col("gone")))
-    text = F.array_join(F.when(F.col("gone").isNull(), F.col("blocks")).otherwise(F.transform(kept, lambda x: x["blocks"])), " ")
-    return table.select("page_id", "url", "row", "blocks", "marks").join(gone, "row", "left").select(
-        "page_id", "url", F.coalesce(text, F.lit("")).alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))
+    cut = F.when(F.col("gone").isNull(), F.col("blocks")).otherwise(F.transform(kept, lambda x: x["blocks"]))
+    whole = table.where(plain).select("page_id", "url", F.array_join("blocks", " ").alias("text"))
+    done = whole.unionByName(marked.select("page_id", "url", F.array_join(cut, " ").alias("text")))
+    return done.withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def _signed(h: int) -> int:

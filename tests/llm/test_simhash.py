@@ -54,13 +54,8 @@ def test_long_text_fingerprint():
 
 
 def test_decoding_is_perfect():
-    # every word is within three bits of its codeword: 4,096 spheres of 2,048 words fill the space
-    words = np.random.default_rng(0).integers(0, 1 << 23, 4000)
-    code = decode(words)
-    for bit in range(23):
-        same = decode(words ^ (1 << bit)) == code
-        assert 0.13 < same.mean() <= 1
-    assert len(np.unique(decode(np.arange(1 << 16) << 7))) == 4096
+    # 4,096 spheres of 2,048 words fill the space
+    assert (np.bincount(decode(np.arange(1 << 23))) == 2048).all()
 
 
 def test_keys_meet_for_every_pattern_of_four_errors():
