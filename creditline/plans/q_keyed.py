@@ -131,7 +131,7 @@ def q_matched_by(spark: SparkSession, sf_dir: str) -> DataFrame:
   CAST(SUM(CASE WHEN channel = 'TikTok_Ads' THEN spend_usd END) AS DOUBLE) AS t FROM stg_spend GROUP BY 1),
 ro AS (SELECT week, CASE WHEN sp > 0 THEN ROUND(inc * aov / sp, 2) ELSE 0.0 END AS rm FROM wk),
 st AS (SELECT al.*, rm, UNNEST(range(0, 8)) AS step FROM al LEFT JOIN ro ON al.week = ro.week),
-sc AS (SELECT st.*, v.split, v.gs, v.ts, step / 7.0 * (m * 0.57) AS shift FROM st, (VALUES
+sc AS (SELECT st.*, v.split, v.gs, v.ts, step / 7.0 * (m * 0.5711) AS shift FROM st, (VALUES
   ('50% Google / 50% TikTok', 0.5, 0.5), ('100% Google Search', 1.0, 0.0), ('100% TikTok Ads', 0.0, 1.0)) v(split, gs, ts))
 SELECT week, ROUND(shift, 4) AS shift_usd, split, channel, ROUND(cur, 2) AS current_spend, ROUND(sim, 2) AS sim_spend,
        ROUND(sim * r - cur * r, 2) AS revenue_delta
@@ -143,7 +143,7 @@ def q_grid_by(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = Pipeline(spark, sf_dir)
     roas = budget.true_roas_row(_week_incrementality(p).select("week", "incremental_roas"), by=["week"])
     alloc = budget.current_allocation(p.spend.withColumn("week", _week("ad_date")), by=["week"])
-    grid = budget.scenario_grid(alloc, roas, max_share=0.57, n_steps=7, by=["week"])
+    grid = budget.scenario_grid(alloc, roas, max_share=0.5711, n_steps=7, by=["week"])
     return grid.join(roas.select("week"), "week", "left_semi").select(
         "week", F.round("shift_usd", 4).alias("shift_usd"), "split", "channel", "current_spend", "sim_spend", "revenue_delta")
 
