@@ -49,7 +49,7 @@ _NAME = r"\p{Lu}\p{Ll}+(?:[-'’]\p{Lu}\p{Ll}+)?"
 _TITLE = "|".join((*TITLES_M, *TITLES_F, *TITLES_N))
 #: (kind, pattern), the first that matches at a place wins.
 KINDS: tuple[tuple[str, str], ...] = (
-    ("email", r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])"),
+    ("email", r"[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])"),
     ("secret", r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?:gh[pousr]_|sk-|xox[abprs]-)[A-Za-z0-9-]{20,255}"
                r"|(?=[0-9]{0,39}[a-fA-F])[0-9a-fA-F]{32,128}(?![0-9A-Za-z])"),
     ("ip", r"(?<![0-9]\.)(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?!\.?[0-9])"),
