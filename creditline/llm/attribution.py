@@ -26,47 +26,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditline.llm.tokens import CACHE_PIECES, PieceTokenizer, pieces, tokenizer, vocabulary
+from creditline.llm.tokens import PieceTokenizer, tokenizer, vocabulary
 
 RULES = ("start", "middle", "proportional")
 RESULT = "doc_id bigint, section int, field string, start bigint, end bigint, n_tokens double"
 
 
 class Spans:
-    """Character spans of the tokens of texts, remembered per piece of text."""
+    """Character spans of the tokens of texts.
+
+    The tokens' bytes join to the text's, so their lengths alone give the spans."""
 
     def __init__(self, t: PieceTokenizer):
         self.t = t
-        self.known: dict[str, tuple[int, bytes, bytes]] = {}
-
-    def _piece(self, piece: str) -> tuple[int, bytes, bytes]:
-        ids = np.frombuffer(self.t._new(piece), np.uint16)
-        ends = np.cumsum([len(self.t.bytes_of[i]) for i in ids.tolist()])
-        starts = np.concatenate([[0], ends[:-1]])
-        # the character that holds each byte
-        char = np.repeat(np.arange(len(piece)), [len(c.encode("utf-8", "surrogatepass")) for c in piece])
-        a, b = char[starts].astype(np.int32), (char[ends - 1] + 1).astype(np.int32)
-        return len(ids), a.tobytes(), b.tobytes()
+        special = {i: a.content.encode() for i, a in t.full.get_added_tokens_decoder().items()}
+        known = t.bytes_of | special
+        self.size = np.zeros(max(known) + 1, np.int64)
+        self.size[list(known)] = [len(v) for v in known.values()]
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(starts, ends) of the text's tokens, leading spaces included."""
-        if not text:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        if any(s in text for s in self.t.special):
-            spans = np.array(self.t.full.encode(text, add_special_tokens=False).offsets, np.int64).reshape(-1, 2)
-            return spans[:, 0], spans[:, 1]
-        if len(self.known) > CACHE_PIECES // 2:
-            self.known.clear()
-        parts = pieces(text)
-        known = self.known
-        for p in parts:
-            if p not in known:
-                known[p] = self._piece(p)
-        found = [known[p] for p in parts]
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        shift = np.repeat(np.cumsum(sizes) - sizes, [f[0] for f in found])
-        return (np.frombuffer(b"".join(f[1] for f in found), np.int32) + shift,
-                np.frombuffer(b"".join(f[2] for f in found), np.int32) + shift)
+        ids = np.frombuffer(self.t.encode(text), np.uint16)
+        ends = np.cumsum(self.size[ids])
+        starts = ends - self.size[ids]
+        if text.isascii():
+            return starts, ends
+        # the character that holds each byte
+        b = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        char = np.cumsum((b & 0xC0) != 0x80) - 1
+        return char[starts], char[ends - 1] + 1
 
 
 def interval_counts(starts: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray, rule: str) -> np.ndarray:
