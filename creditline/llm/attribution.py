@@ -39,8 +39,7 @@ class Spans:
 
     def __init__(self, t: PieceTokenizer):
         self.t = t
-        special = {i: a.content.encode() for i, a in t.full.get_added_tokens_decoder().items()}
-        known = t.bytes_of | special
+        known = t.bytes_of | {i: x.encode() for i, x in t.special.items()}
         self.size = np.zeros(max(known) + 1, np.int64)
         self.size[list(known)] = [len(v) for v in known.values()]
 

@@ -17,7 +17,8 @@ from functools import lru_cache
 
 import numpy as np
 
-CACHE_PIECES = 500_000
+#: Pieces a worker remembers, about 200 bytes each.
+CACHE_PIECES = 250_000
 _TWO_SPACES = re.compile(r"\s\s")
 _PLACES = re.compile(r"(?<=\S)(?= \S)")
 
@@ -43,10 +44,9 @@ class PieceTokenizer:
     def __init__(self, path: str):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.full = Tokenizer.from_file(f"{path}.json")
-        self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
+        self.path = path
+        self.special = {i: t.content for i, t in self._full().get_added_tokens_decoder().items()}
         with open(f"{path}.tiktoken", "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bytes_of = {v: k for k, v in ranks.items()}
@@ -54,6 +54,12 @@ class PieceTokenizer:
         self.known: dict[str, bytes] = {}
         self.body: dict[str, bytes] = {}
 
+    def _full(self):
+        """The whole tokenizer; it is large and rarely needed, so it is not kept."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(f"{self.path}.json")
+
     def _new(self, piece: str) -> bytes:
         return np.array(self.quick.encode_ordinary(piece), np.uint16).tobytes()
 
@@ -61,8 +67,8 @@ class PieceTokenizer:
         """The text's ids as little-endian 16-bit integers."""
         if not text:
             return b""
-        if any(s in text for s in self.special):
-            return np.array(self.full.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
+        if any(s in text for s in self.special.values()):
+            return np.array(self._full().encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
         if len(self.known) + len(self.body) > CACHE_PIECES:
             self.known.clear()
             self.body.clear()
