@@ -16,6 +16,7 @@ the shared folder and never shuffled.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ MAX_QUEUES = 1024
 #: Partition offsets are broadcast up to this many rows (about 40 bytes each).
 MAX_OFFSETS = 400_000
 ENCODED = "part int, queue string, doc_id bigint, n bigint, place bigint, ids binary"
-PIECES = "doc_id bigint, source string, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
+PIECES = "doc_id bigint, source string, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids_crc32 bigint"
 
 
 def _served(rounds: np.ndarray, quanta: np.ndarray, totals: np.ndarray, grain: int) -> np.ndarray:
@@ -162,9 +163,10 @@ def encode(docs: DataFrame, path: str, max_queues: int = MAX_QUEUES, queue_col:
 
 
 def pack(docs: DataFrame, path: str | None = None, targets: dict[str, float] | None = None,
-         length: int = LENGTH, grain: int = GRAIN, max_queues: int = MAX_QUEUES) -> DataFrame:
+         length: int = LENGTH, grain: int = GRAIN, max_queues: int = MAX_QUEUES, with_ids: bool = True) -> DataFrame:
     """Pieces of all documents: doc_id, source, start, length, doc_tokens,
-    sequence_id, offset, ids (the piece's ids, little-endian 32-bit).
+    sequence_id, offset, ids_crc32, ids (the piece's ids, little-endian 32-bit;
+    left out by ``with_ids=False``, when only the layout is wanted).
 
     ``targets`` gives the sources' shares of every sequence; by default each
     source's share of all tokens, with which all queues run dry together.  When
@@ -174,13 +176,14 @@ def pack(docs: DataFrame, path: str | None = None, targets: dict[str, float] | N
     an empty result.  Columns other than doc_id, text and source are not read.
     """
     spark = docs.sparkSession
+    kind = PIECES + (", ids binary" if with_ids else "")
     table = encode(docs, path or vocabulary(), max_queues)
     sums = table.groupBy("queue", "part").agg(F.sum("n").alias("n"))
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = stored(sums.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))), "offsets")
     totals = {r["queue"]: r["n"] for r in offsets.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
     if not totals:
-        return spark.createDataFrame([], PIECES)
+        return spark.createDataFrame([], kind)
     plan = Plan(totals, targets, length, grain)
     starts = offsets.select("queue", "part", "before")
     if offsets.count() <= MAX_OFFSETS:
@@ -190,11 +193,12 @@ def pack(docs: DataFrame, path: str | None = None, targets: dict[str, float] | N
     shared = spark.sparkContext.broadcast(plan)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer.cache_clear()  # this worker may have encoded before; its cache is not needed any more
         plan = shared.value
         number = {q: i for i, q in enumerate(plan.names)}
         for b in batches:
-            for i in range(0, b.num_rows, 500):
-                c = b.slice(i, 500)
+            for i in range(0, b.num_rows, 200):
+                c = b.slice(i, 200)
                 queues = c.column(0).to_pylist()
                 q = np.array([number[x] for x in queues], np.int64)
                 n = c.column(2).to_numpy()
@@ -204,13 +208,13 @@ def pack(docs: DataFrame, path: str | None = None, targets: dict[str, float] | N
                 at = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
                     [c.column(1).take(at), c.column(0).take(at), pa.array(start), pa.array(size), c.column(2).take(at),
-                     pa.array(seq), pa.array(off), pa.array(out, pa.binary())],
-                    names=["doc_id", "source", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+                     pa.array(seq), pa.array(off), pa.array([zlib.crc32(x) for x in out], pa.int64()),
+                     *([pa.array(out, pa.binary())] if with_ids else [])],
+                    names=["doc_id", "source", "start", "length", "doc_tokens", "sequence_id", "offset", "ids_crc32", *(["ids"] if with_ids else [])])
 
-    return placed.mapInArrow(run, PIECES)
+    return placed.mapInArrow(run, kind)
 
 
 def digest(pieces: DataFrame) -> DataFrame:
-    """Pieces with the CRC-32 of their ids instead of the ids."""
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
-                         "sequence_id", "offset", "source")
+    """The pieces' layout with the CRC-32 of their ids, without the ids."""
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source")

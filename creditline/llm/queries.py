@@ -59,7 +59,7 @@ def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(pack(read_table(spark, sf_dir, "documents")))
+    return digest(pack(read_table(spark, sf_dir, "documents"), with_ids=False))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Pieces a worker remembers, about 200 bytes each.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 150_000
 _TWO_SPACES = re.compile(r"\s\s")
 _PLACES = re.compile(r"(?<=\S)(?= \S)")
 

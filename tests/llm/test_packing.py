@@ -65,7 +65,9 @@ def test_targets_deficits_partitions_and_edge_rows(spark, make, full):
     texts = [" ".join(rng.choice(["alpha", "beta", "Gamma.", "x\n\ny", "  z"], rng.integers(0, 400))) for _ in range(150)]
     rows = [(i, t, ("big", "big", "small", None)[i % 4]) for i, t in enumerate(texts)] + [(900, None, "small"), (901, "", "x"), (902, "word " * 9000, "big")]
     docs = make(rows, parts=7)
-    seqs = check(digest(pack(docs, length=64, grain=16)).collect(), {r[0]: r[1] for r in rows}, full, 64)
+    whole = pack(docs, length=64, grain=16)
+    assert all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in whole.limit(200).collect())
+    seqs = check(digest(whole).collect(), {r[0]: r[1] for r in rows}, full, 64)
     # every window keeps to the sources' shares of all tokens, but for carried deficits of a grain
     total = Counter()
     for ps in seqs.values():
