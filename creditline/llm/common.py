@@ -169,6 +169,13 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     return mix(h + np.uint64(size))
 
 
+def span_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the spans of words, from differences of prefix sums."""
+    up, down = _powers(len(words) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[: len(words)])])
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
 def key_runs(batches: Iterator[pa.RecordBatch], key) -> Iterator[dict[str, np.ndarray]]:
     """From batches sorted by ``key(columns)``, chunks that never cut a key in two."""
     rest: dict[str, np.ndarray] | None = None

@@ -11,8 +11,9 @@ it links every later document to the *first* one that holds it.  So a line in n
 documents makes n - 1 links, not n * n / 2, and no common line has to be
 dropped.  Each linked pair is aligned by patience diff: lines unique in both
 texts are matched along their longest increasing sequence, matches are grown
-word by word in both directions, and the gaps are aligned the same way.  Common
-blocks of at least MIN_WORDS words are deleted from the later document.
+word by word in both directions, and the gaps are aligned the same way.  What the
+alignment leaves is compared exactly, run by run.  Common blocks of at least
+MIN_WORDS words are deleted from the later document.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditline.llm.common import IdFilter, hash_words, shingles, stored
+from creditline.llm.common import IdFilter, hash_words, shingles, span_hashes, stored
 
 LINE = 8
 WINDOW = 42
@@ -139,11 +140,27 @@ def patience(a: Lines, b: Lines) -> list[tuple[int, int, int]]:
     return sorted(blocks)
 
 
+def repeated(a: np.ndarray, b: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """(start, words) of the parts of ``b`` that its runs of ``size`` words standing in ``a`` cover."""
+    if min(len(a), len(b)) < size:
+        return []
+    at = np.arange(len(b) - size + 1)
+    x = np.arange(len(a) - size + 1)
+    at = at[np.isin(span_hashes(b, at, at + size), span_hashes(a, x, x + size))]
+    cover = np.zeros(len(b) + 1, np.int64)
+    np.add.at(cover, at, 1)
+    np.add.at(cover, at + size, -1)
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(cover) > 0]).astype(np.int8)))
+    return [(i, j - i) for i, j in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
+
+
 def common_blocks(a: Lines, b: Lines, min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
     """Word ranges of ``b`` that blocks of at least ``min_words`` words aligned with ``a`` cover.
 
     What is left of ``b`` is aligned again as long as a line of it stands in ``a``,
-    so that passages in another order than in ``a`` are found as well."""
+    so that passages in another order than in ``a`` are found as well.  Where the
+    alignment finds nothing more (no line is unique in both texts, or the blocks lose
+    to shorter ones), what is left is compared exactly, run by run."""
     if np.array_equal(a.words, b.words):
         return [(0, len(b.words))] if len(b.words) >= min_words else []
     gone = np.zeros(len(b.words) + 1, bool)
@@ -151,12 +168,15 @@ def common_blocks(a: Lines, b: Lines, min_words: int = MIN_WORDS) -> list[tuple[
     rest, place = b, np.arange(len(b.words))
     while len(rest.words) >= min_words and not (gone[shared] | gone[shared + LINE - 1]).all():
         found = [(q, n) for _, q, n in patience(a, rest) if n >= min_words]
-        if not found:
-            break
+        aligned = bool(found)
+        if not aligned:
+            found = repeated(a.words, rest.words, min_words)
         keep = np.ones(len(rest.words), bool)
         for q, n in found:
             keep[q : q + n] = False
         gone[place[~keep]] = True
+        if not aligned:
+            break
         # a mark between what was apart keeps new runs from forming across a deleted block
         place = place[keep]
         words = rest.words[keep].copy()

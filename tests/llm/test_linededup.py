@@ -49,6 +49,19 @@ def test_patience_finds_blocks_in_order():
     assert common_blocks(a, Lines(hashed(prose(10, 8) + p[:50] + prose(10, 9)))) == [(10, 60)]
 
 
+def test_passages_that_stand_twice_or_are_crossed_by_short_phrases():
+    for seed in range(30):
+        p = prose(60, 1000 + seed)
+        once = prose(20, 2000 + seed) + p + prose(30, 3000 + seed)
+        twice = prose(25, 4000 + seed) + p + prose(15, 5000 + seed) + p + prose(5, 6000 + seed)
+        assert common_blocks(Lines(hashed(once)), Lines(hashed(twice))) == [(25, 85), (100, 160)]
+        assert common_blocks(Lines(hashed(twice)), Lines(hashed(once))) == [(20, 80)]
+        short = [prose(40, 7000 + 10 * seed + i) for i in range(6)]
+        a = p + [w for i, x in enumerate(short) for w in [*x, f"a{i}"]]
+        b = [w for i, x in enumerate(short) for w in [*x, f"b{i}"]] + p
+        assert common_blocks(Lines(hashed(a)), Lines(hashed(b))) == [(246, 306)]
+
+
 def test_delete_ranges_keeps_the_rest():
     assert delete_ranges("a  b\nc d", [(1, 3)]) == "a  d"
     assert delete_ranges("a b c\n", [(1, 3)]) == "a"
