@@ -6,10 +6,15 @@ WINDOW successive runs of LINE words the one with the smallest hash starts a
 line (winnowing).  Two texts that share LINE + WINDOW - 1 = 49 or more words in
 a row thus share a line hash, wherever their own line breaks are.
 
-A line hash is rare enough to link documents if it stands at most once in each;
-it links every later document to the *first* one that holds it.  So a line in n
-documents makes n - 1 links, not n * n / 2, and no common line has to be
-dropped.  Each linked pair is aligned by patience diff: lines unique in both
+A line does not yet mean a common block: it may stand in a frequent sentence.  So
+holders of a line are told apart by the words around it, as far as a run of
+MIN_WORDS words that contains the line can reach.  Documents with the same line
+and surroundings are linked to the first of them.  Of lines with more than two
+different surroundings, the first document of each gives the hashes of its runs
+of MIN_WORDS words whose smallest part is the line, and every holder of a run is
+linked to the first one.  So every run that an earlier document holds has a link
+to a document that holds it, n holders make n - 1 links, not n * n / 2, and no
+common line has to be dropped.  Each linked pair is aligned by patience diff: lines unique in both
 texts are matched along their longest increasing sequence, matches are grown
 word by word in both directions, and the gaps are aligned the same way.  What the
 alignment leaves is compared exactly, run by run.  Common blocks of at least
@@ -50,13 +55,13 @@ def line_starts(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
-def _slide(x: np.ndarray, best) -> np.ndarray:
-    """``best`` of every WINDOW successive values, by doubling."""
-    n, width = len(x) - WINDOW + 1, 1
-    while width * 2 <= WINDOW:
+def _slide(x: np.ndarray, best, window: int = WINDOW) -> np.ndarray:
+    """``best`` of every ``window`` successive values, by doubling."""
+    n, width = len(x) - window + 1, 1
+    while width * 2 <= window:
         x = best(x[:-width], x[width:])
         width *= 2
-    return best(x[:n], x[WINDOW - width : WINDOW - width + n])
+    return best(x[:n], x[window - width : window - width + n])
 
 
 def _increasing(values: list[int]) -> list[int]:
@@ -211,6 +216,61 @@ def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _contexts(words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """A text's distinct (line, hash of the words that runs of ``min_words`` words with it hold)."""
+    at, line = line_starts(words)
+    if len(words) < min_words or not len(at):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    reach = min_words - LINE
+    start, end = np.maximum(at - reach, 0), np.minimum(at + LINE + reach, len(words))
+    around = span_hashes(words, start, end) + (at - start).astype(np.uint64)
+    if len(np.unique(line)) < len(line):
+        line, around = np.unique(np.stack([line, around]), axis=1)
+    return line.view(np.int64), around.view(np.int64)
+
+
+def _links(table: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, first): for every run of ``min_words`` words of a document that an earlier one holds, such a one."""
+    lines = table.where("doc_id is not null").select("doc_id", F.explode(F.arrays_zip("lines", "around")).alias("x"))
+    lines = lines.select("doc_id", F.col("x.lines").alias("line"), F.col("x.around").alias("around"))
+    contexts = stored(lines.groupBy("line", "around").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "contexts")
+    same = lines.join(contexts.where("first < last").drop("last"), ["line", "around"]).where("doc_id > first")
+    spread = (
+        contexts.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first"), F.max("first").alias("last"))
+        .where("n > 1 and first < last")
+    )
+    two = spread.where("n = 2").select(F.col("last").alias("doc_id"), "first")
+    many = contexts.select("line", F.col("first").alias("doc_id")).join(spread.where("n > 2").select("line"), "line")
+    many = stored(many.groupBy("doc_id").agg(F.collect_set("line").alias("lines")), "many")
+    texts = IdFilter(many, "doc_id").split(table.select("doc_id", "z"), "doc_id", True)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdDecompressor()
+        for b in batches:
+            for i in range(0, b.num_rows, 500):
+                c = b.slice(i, 500)
+                words = hash_words([_text(z, press) or b"" for z in c.column(1).to_pylist()])
+                found = [_runs(w, line.values.to_numpy().view(np.uint64), min_words)
+                         for w, line in zip(words, c.column(2), strict=True)]
+                ids = np.repeat(c.column(0).to_numpy(), [len(r) for r in found])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(found).view(np.int64))],
+                                                 names=["doc_id", "run"])
+
+    runs = texts.join(many, "doc_id").mapInArrow(cut, "doc_id bigint, run bigint")
+    held = runs.groupBy("run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    apart = runs.join(held.drop("last"), "run").where("doc_id > first")
+    return same.select("doc_id", "first").unionByName(two).unionByName(apart.select("doc_id", "first")).distinct()
+
+
+def _runs(words: np.ndarray, lines: np.ndarray, size: int) -> np.ndarray:
+    """Distinct hashes of the runs of ``size`` words whose smallest run of LINE words is one of ``lines``."""
+    if len(words) < size:
+        return np.empty(0, np.uint64)
+    low = _slide(shingles(words, LINE), np.minimum, size - LINE + 1)
+    at = np.flatnonzero(np.isin(low, lines))
+    return np.unique(span_hashes(words, at, at + size))
+
+
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text",
                keep: Sequence[str] = ()) -> DataFrame:
     """One row per input row: doc_id, text (without what earlier documents hold),
@@ -239,19 +299,15 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
             for i in range(0, b.num_rows, 500):
                 c = b.slice(i, 500)
                 texts = [None if t is None else t.encode("utf-8", "surrogatepass") for t in c.column(1).to_pylist()]
-                lines = [np.unique(line_starts(w)[1]).view(np.int64) for w in hash_words([t or b"" for t in texts])]
+                lines, around = zip(*[_contexts(w, min_words) for w in hash_words([t or b"" for t in texts])], strict=True)
                 z = [None if t is None else press.compress(t) for t in texts]
                 yield pa.RecordBatch.from_arrays(
-                    [c.column(0), c.column(2), pa.array(z, pa.binary()), pa.array(lines, pa.list_(pa.int64()))],
-                    names=["doc_id", "kept", "z", "lines"])
-
-    table = stored(cols.mapInArrow(split, f"doc_id bigint, kept {kept_type}, z binary, lines array<bigint>"), "lines")
-    lines = table.where("doc_id is not null").select("doc_id", F.explode("lines").alias("line"))
-    first = (
-        lines.groupBy("line").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-        .where("first < last").drop("last")
-    )
-    pairs = stored(lines.join(first, "line").where("doc_id > first").select("doc_id", "first").distinct(), "pairs")
+                    [c.column(0), c.column(2), pa.array(z, pa.binary()), pa.array(lines, pa.list_(pa.int64())),
+                     pa.array(around, pa.list_(pa.int64()))],
+                    names=["doc_id", "kept", "z", "lines", "around"])
+
+    table = stored(cols.mapInArrow(split, f"doc_id bigint, kept {kept_type}, z binary, lines array<bigint>, around array<bigint>"), "lines")
+    pairs = stored(_links(table, min_words), "pairs")
     earlier, later = IdFilter(pairs, "first"), IdFilter(pairs, "doc_id")
     holders = earlier.split(table.select(F.col("doc_id").alias("first"), "z"), "first", True)
     partners = pairs.join(holders, "first").select(

@@ -87,6 +87,18 @@ def test_query_against_brute_force(spark):
     assert sum(r.words_removed > 0 for r in rows.values()) > 50
 
 
+def test_frequent_sentence_inside_shared_passages(spark, make):
+    common = prose(30, 1)
+    texts = {i: prose(60, 100 + i) + common + prose(60, 300 + i) for i in range(100)}
+    for t in range(20):
+        p = prose(10, 500 + t) + common + prose(10, 600 + t)
+        for i in (200 + t, 300 + t):
+            texts[i] = prose(40, 1000 + i) + p + prose(40, 2000 + i)
+    got = {r.doc_id: r for r in line_dedup(make([(i, " ".join(w)) for i, w in texts.items()])).collect()}
+    for i, r in got.items():
+        assert r.partners == ([i - 100] if i >= 300 else []) and r.words_removed == (50 if i >= 300 else 0)
+
+
 def test_hot_passage_copies_nulls_and_repeats(spark, make):
     passage = " ".join(prose(60, 1))
     rows = [(10, None), (11, ""), (None, passage), (12, "short text")]
