@@ -28,9 +28,11 @@ from pyspark.sql import functions as F
 
 from creditline.llm.common import stored
 
-#: A subtree is template on at least so many distinct pages of its host, and at least this share of them.
+#: A subtree is template on at least so many distinct pages of its host, and at least this share of them
+#: or this many pages, whichever is less.
 MIN_PAGES = 5
 MIN_SHARE = 0.01
+MANY_PAGES = 50
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -300,7 +302,8 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     seen = table.select("host", "content", F.explode("subtrees").alias("subtree")).distinct()
     counts = seen.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
     hosts = table.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
-    template = counts.join(hosts, "host").where(F.col("pages") >= min_share * F.col("host_pages")).select("host", "subtree")
+    share = F.least(min_share * F.col("host_pages"), F.lit(float(MANY_PAGES)))
+    template = counts.join(hosts, "host").where(F.col("pages") >= share).select("host", "subtree")
     used = table.select("host", "row", F.explode(F.array_distinct(F.flatten("marks"))).alias("subtree"))
     gone = used.join(template, ["host", "subtree"]).groupBy("row").agg(F.collect_set("subtree").alias("gone"))
     # only pages whose article holds subtrees that may be template are matched with their host's

@@ -74,5 +74,12 @@ def test_recurring_prose_of_articles_stays(spark):
     assert {r.text for r in extract(df).collect()} == {f"T{i} Shared words" for i in range(9)}
 
 
+def test_template_bar_does_not_grow_with_the_host(spark):
+    rows = [(i, "http://h/", f"<body><p>Page {i}</p>{'<div>Old notice</div>' if i < 55 else ''}{'<div>Rare</div>' if i >= 5960 else ''}</body>") for i in range(6000)]
+    df = spark.createDataFrame([(*r, "x", "x", "x", "x") for r in rows], PAGES)
+    got = {r.page_id: r.text for r in extract(df).collect()}
+    assert got == {i: f"Page {i}{' Rare' if i >= 5960 else ''}" for i in range(6000)}
+
+
 def test_empty_table(spark):
     assert extract(spark.createDataFrame([], PAGES)).collect() == []
