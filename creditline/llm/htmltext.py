@@ -9,9 +9,10 @@ part of the article (menus, headers, footers, asides, forms, notices, adverts,
 comments, scripts, styles) are left out on any page.
 
 The article is what <article> elements hold, else <main>, else the body.  The
-article and the elements around it are never template, and neither are
-subtrees of an article that hold prose (paragraphs, headings, quotations, code,
-table cells, list items outside menus): articles quote and repeat one another.
+article and the elements around it are never template, and neither are single
+elements of prose in an article (paragraphs, headings, quotations, code, table
+cells): articles quote and repeat one another.  Containers in an article (div,
+section, list, table) that hold prose are template only on more pages.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from creditline.llm.common import stored
 MIN_PAGES = 5
 MIN_SHARE = 0.01
 MANY_PAGES = 50
+#: A container of prose in an article is template on at least so many distinct pages.
+PROSE_PAGES = 20
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,6 +49,7 @@ DROPPED = frozenset(
     "head script style noscript template nav header footer aside form button select input textarea iframe object embed applet "
     "canvas svg audio video dialog menu search datalist title math".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre td th dd figcaption".split())
+CONTAINERS = frozenset("center details div dl fieldset ol section table ul".split())
 #: Opening one of these ends an open element of the listed kinds, up to the nearest of the last set.
 ENDS = {
     "li": (frozenset({"li"}), frozenset({"ul", "ol", "menu", "dir"})),
@@ -199,12 +203,15 @@ def page_blocks(page: str) -> tuple[list[str], list[list[int]], list[int]]:
             todo.extend(p for p in node.parts if isinstance(p, Node))
     whole = roots == [root] or (len(roots) == 1 and roots[0].tag == "body")
 
-    def may_be_template(node: Node) -> bool:
-        if node.main or node.tag in ("#page", "html", "body"):
-            return False
-        return whole or id(node) not in inside or not node.prose
+    def template_key(node: Node) -> int | None:
+        """The subtree's hash, odd for a container of prose in an article; None if it is never template."""
+        if node.main or node.tag in ("#page", "html", "body") or node.tag not in BLOCKS:
+            return None
+        if whole or id(node) not in inside or not node.prose:
+            return node.hash & ~1
+        return node.hash | 1 if node.tag in CONTAINERS else None
 
-    subtrees = {n.hash for n in order if n.tag in BLOCKS and may_be_template(n)}
+    subtrees = {k for n in order if (k := template_key(n)) is not None}
     blocks: list[str] = []
     marks: list[list[int]] = []
     text: list[str] = []
@@ -236,7 +243,8 @@ def page_blocks(page: str) -> tuple[list[str], list[list[int]], list[int]]:
             else:
                 if part.tag in BLOCKS:
                     flush(above)
-                here = above + [part.hash] if part.tag in BLOCKS and may_be_template(part) else above
+                key = template_key(part)
+                here = above if key is None else above + [key]
                 stack.append((part, 0, here))
         flush([])
     return blocks, marks, sorted(subtrees)
@@ -300,7 +308,8 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
         run, "page_id bigint, url string, row bigint, host string, content bigint, blocks array<string>, "
              "marks array<array<bigint>>, subtrees array<bigint>"), "pages")
     seen = table.select("host", "content", F.explode("subtrees").alias("subtree")).distinct()
-    counts = seen.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
+    least = F.when(F.col("subtree").bitwiseAND(1) == 1, max(min_pages, PROSE_PAGES)).otherwise(min_pages)
+    counts = seen.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= least)
     hosts = table.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
     share = F.least(min_share * F.col("host_pages"), F.lit(float(MANY_PAGES)))
     template = counts.join(hosts, "host").where(F.col("pages") >= share).select("host", "subtree")

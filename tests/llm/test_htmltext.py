@@ -74,6 +74,13 @@ def test_recurring_prose_of_articles_stays(spark):
     assert {r.text for r in extract(df).collect()} == {f"T{i} Shared words" for i in range(9)}
 
 
+def test_recurring_boxes_of_prose_in_articles_go(spark):
+    rows = [(i, "http://h/", f"<article><h1>T</h1><div><p>Story {i}</p><blockquote>Quoted</blockquote></div><p>Said</p><div><p>Write to us</p></div></article>")
+            for i in range(30)]
+    df = spark.createDataFrame([(*r, "x", "x", "x", "x") for r in rows], PAGES)
+    assert {r.page_id: r.text for r in extract(df).collect()} == {i: f"T Story {i} Quoted Said" for i in range(30)}
+
+
 def test_template_bar_does_not_grow_with_the_host(spark):
     rows = [(i, "http://h/", f"<body><p>Page {i}</p>{'<div>Old notice</div>' if i < 55 else ''}{'<div>Rare</div>' if i >= 5960 else ''}</body>") for i in range(6000)]
     df = spark.createDataFrame([(*r, "x", "x", "x", "x") for r in rows], PAGES)
