@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from creditline.llm.common import stored
@@ -31,12 +31,13 @@ from creditline.llm.tokens import tokenizer, vocabulary
 LENGTH = 1024
 GRAIN = 256
 END_ID = 0
-#: Beyond this many sources, sources share queues by hash (each row still is packed).
+#: Beyond this many sources, sources without a target and outside the largest half
+#: as many share the queues left over by hash (each row still is packed).
 MAX_QUEUES = 1024
 #: Partition offsets are broadcast up to this many rows (about 40 bytes each).
 MAX_OFFSETS = 400_000
-ENCODED = "part int, queue string, doc_id bigint, n bigint, place bigint, ids binary"
-PIECES = "doc_id bigint, source string, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids_crc32 bigint"
+ENCODED = "part int, queue string, source string, doc_id bigint, n bigint, place bigint, ids binary"
+PIECES = "doc_id bigint, source string, row_source string, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids_crc32 bigint"
 
 
 def _served(rounds: np.ndarray, quanta: np.ndarray, totals: np.ndarray, grain: int) -> np.ndarray:
@@ -134,13 +135,32 @@ class Plan:
         return seq, off, room
 
 
-def encode(docs: DataFrame, path: str, max_queues: int = MAX_QUEUES, queue_col: str = "source") -> DataFrame:
+def queues(docs: DataFrame, source: Column, max_queues: int, targets: dict[str, float] | None) -> Column:
+    """The queue of each row: its source's own, or, with more sources than queues, one shared by hash.
+
+    Every source with a target keeps a queue of its own, and so do the largest (in bytes of text)
+    up to half of the queues; the queues that the others share thus have no target."""
+    if docs.select(source).distinct().limit(max_queues + 1).count() <= max_queues:
+        return source
+    own = {q for q, share in (targets or {}).items() if share > 0}
+    sizes = docs.groupBy(source.alias("source")).agg(F.sum(F.octet_length(F.col("text").cast("string"))).alias("size"))
+    room = max(max_queues // 2 - len(own), 0)
+    largest = sizes.where(~F.col("source").isin(list(own))).orderBy(F.col("size").desc_nulls_last(), "source").limit(room)
+    own |= {r["source"] for r in largest.collect()}
+    prefix = "queue "
+    while any(q.startswith(prefix) for q in own):
+        prefix = "shared " + prefix
+    shared = F.pmod(F.xxhash64(source), F.lit(max(max_queues - len(own), 1))).cast("string")
+    return F.when(source.isin(list(own)), source).otherwise(F.concat(F.lit(prefix), shared))
+
+
+def encode(docs: DataFrame, path: str, max_queues: int = MAX_QUEUES, queue_col: str = "source",
+           targets: dict[str, float] | None = None) -> DataFrame:
     """The documents' ids and their places in the queue of their partition, in the shared folder."""
     source = F.coalesce(F.col(queue_col).cast("string"), F.lit(""))
-    if docs.select(source).distinct().limit(max_queues + 1).count() > max_queues:
-        source = F.concat(F.lit("queue "), F.pmod(F.xxhash64(source), F.lit(max_queues)).cast("string"))
-    cols = docs.select(source.alias("queue"), F.col("doc_id").cast("bigint").alias("doc_id"),
-                       F.col("text").cast("string").alias("text"))
+    queue = queues(docs, source, max_queues, targets)
+    cols = docs.select(queue.alias("queue"), F.col("doc_id").cast("bigint").alias("doc_id"),
+                       F.col("text").cast("string").alias("text"), source.alias("source"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, t = TaskContext.get().partitionId(), tokenizer(path)
@@ -155,29 +175,30 @@ def encode(docs: DataFrame, path: str, max_queues: int = MAX_QUEUES, queue_col:
                     places.append(used.get(q, 0))
                     used[q] = places[-1] + len(x) // 2
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * len(ids), pa.int32()), pa.array(queues, pa.string()), b.column(1).slice(i, 500),
+                    [pa.array([part] * len(ids), pa.int32()), pa.array(queues, pa.string()), b.column(3).slice(i, 500), b.column(1).slice(i, 500),
                      pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(places, pa.int64()), pa.array(ids, pa.binary())],
-                    names=["part", "queue", "doc_id", "n", "place", "ids"])
+                    names=["part", "queue", "source", "doc_id", "n", "place", "ids"])
 
     return stored(cols.mapInArrow(run, ENCODED), "ids")
 
 
 def pack(docs: DataFrame, path: str | None = None, targets: dict[str, float] | None = None,
          length: int = LENGTH, grain: int = GRAIN, max_queues: int = MAX_QUEUES, with_ids: bool = True) -> DataFrame:
-    """Pieces of all documents: doc_id, source, start, length, doc_tokens,
+    """Pieces of all documents: doc_id, source (the queue), row_source (the row's own), start, length, doc_tokens,
     sequence_id, offset, ids_crc32, ids (the piece's ids, little-endian 32-bit;
     left out by ``with_ids=False``, when only the layout is wanted).
 
     ``targets`` gives the sources' shares of every sequence; by default each
     source's share of all tokens, with which all queues run dry together.  When
-    a queue is empty, the others fill its room.  A null text is empty (its only
+    a queue is empty, the others fill its room.  Beyond ``max_queues`` sources
+    only those with a target and the largest have a queue of their own.  A null text is empty (its only
     token is the end token); a null source is the queue ''; a null doc_id is
     kept; repeated rows are packed as often as they come.  An empty table gives
     an empty result.  Columns other than doc_id, text and source are not read.
     """
     spark = docs.sparkSession
     kind = PIECES + (", ids binary" if with_ids else "")
-    table = encode(docs, path or vocabulary(), max_queues)
+    table = encode(docs, path or vocabulary(), max_queues, targets=targets)
     sums = table.groupBy("queue", "part").agg(F.sum("n").alias("n"))
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = stored(sums.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))), "offsets")
@@ -189,7 +210,7 @@ def pack(docs: DataFrame, path: str | None = None, targets: dict[str, float] | N
     if offsets.count() <= MAX_OFFSETS:
         starts = F.broadcast(starts)
     placed = table.join(starts, ["queue", "part"]).select(
-        "queue", "doc_id", "n", (F.col("place") + F.col("before")).alias("place"), "ids")
+        "queue", "doc_id", "n", (F.col("place") + F.col("before")).alias("place"), "ids", "source")
     shared = spark.sparkContext.broadcast(plan)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,14 +228,14 @@ def pack(docs: DataFrame, path: str | None = None, targets: dict[str, float] | N
                 out = [ids[d][4 * s : 4 * (s + z)] for d, s, z in zip(doc.tolist(), start.tolist(), size.tolist(), strict=True)]
                 at = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
-                    [c.column(1).take(at), c.column(0).take(at), pa.array(start), pa.array(size), c.column(2).take(at),
+                    [c.column(1).take(at), c.column(0).take(at), c.column(5).take(at), pa.array(start), pa.array(size), c.column(2).take(at),
                      pa.array(seq), pa.array(off), pa.array([zlib.crc32(x) for x in out], pa.int64()),
                      *([pa.array(out, pa.binary())] if with_ids else [])],
-                    names=["doc_id", "source", "start", "length", "doc_tokens", "sequence_id", "offset", "ids_crc32", *(["ids"] if with_ids else [])])
+                    names=["doc_id", "source", "row_source", "start", "length", "doc_tokens", "sequence_id", "offset", "ids_crc32", *(["ids"] if with_ids else [])])
 
     return placed.mapInArrow(run, kind)
 
 
 def digest(pieces: DataFrame) -> DataFrame:
-    """The pieces' layout with the CRC-32 of their ids, without the ids."""
-    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source")
+    """The pieces' layout with the CRC-32 of their ids, without the ids; source is the row's own."""
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", F.col("row_source").alias("source"))

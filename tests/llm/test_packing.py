@@ -95,6 +95,23 @@ def test_many_sources_share_queues(spark, make, full):
     check(digest(got).collect(), {r[0]: r[1] for r in rows}, full, 32)
 
 
+def test_targets_and_sources_hold_with_many_sources(spark, make, full):
+    rows = [(i, f"text number {i}", f"host{i}") for i in range(60)]
+    rows += [(100 + i, "word " * 40, ("big", "small")[i % 2]) for i in range(80)]
+    docs = make(rows)
+    got = pack(docs, max_queues=8, length=64, grain=16, targets={"big": 0.25, "small": 0.75})
+    seqs = check(digest(got).collect(), {r[0]: r[1] for r in rows}, full, 64)
+    source = {r[0]: r[2] for r in rows}
+    assert all(r.source == source[r.doc_id] for ps in seqs.values() for r in ps)
+    first = Counter()
+    for k in range(20):
+        for r in seqs[k]:
+            first[r.source] += r.length
+    assert abs(first["small"] / sum(first.values()) - 0.75) < 0.05
+    # without targets the large sources keep queues of their own
+    assert {"big", "small"} <= {r.source for r in pack(docs, max_queues=8, length=64, grain=16).select("source").collect()}
+
+
 def test_repeated_rows_null_ids_and_empty_table(spark, make):
     got = digest(pack(make([(1, "a b"), (1, "a b"), (None, "c")]))).collect()
     assert sorted((r.doc_id, r.doc_tokens) for r in got if r.doc_id) == [(1, 3), (1, 3)]
