@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from creditline.llm.attribution import token_counts
 from creditline.llm.common import read_table
+from creditline.llm.conversations import damage, repair
+from creditline.llm.crosstoken import alignments
 from creditline.llm.decontam import SQL as DECONTAM_SQL
 from creditline.llm.decontam import contaminated
 from creditline.llm.htmltext import extract
@@ -19,6 +21,7 @@ from creditline.llm.packing import digest, pack
 from creditline.llm.pii import pseudonymise
 from creditline.llm.quality import quality_scores
 from creditline.llm.simhash import simhash_components
+from creditline.llm.substrings import substring_dedup
 from creditline.llm.toxicity import score, train
 
 
@@ -66,9 +69,23 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup(read_table(spark, sf_dir, "documents"), min_words=20)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(damage(read_table(spark, sf_dir, "conversations"))).withColumn("conv_id", F.col("conv_id").cast("bigint"))
+
+
+def op13_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignments(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_html_text, op2_toxicity, op3_line_dedup, op4_simhash, op5_quality, op6_token_counts, op7_topk,
-              op8_surrogates, op9_packing, op10_decontamination)
+              op8_surrogates, op9_packing, op10_decontamination, op11_substring_dedup, op12_conversation_repair,
+              op13_cross_tokenizer)
 }
 ORACLE: dict[str, str] = {"op7_topk": KNN_SQL, "op10_decontamination": DECONTAM_SQL}
