@@ -14,7 +14,8 @@ Neither tokenizer ever joins what lies on both sides of a single space between t
 non-space characters (A's pre-tokenizer cuts there; no piece of B's vocabulary has
 a space after another character, which the constructor checks).  So a text is cut
 there, both tokenizers end a token at every such cut, and a piece's alignment holds
-wherever it stands: it is worked out once per worker and piece.
+wherever it stands: a worker aligns the new pieces of some texts in one go and
+remembers them.
 
 Counts of linked id pairs are summed over the corpus.  The COMMON most frequent
 pairs are broadcast, so that a pair that is in every document meets no shuffle; the
@@ -38,8 +39,8 @@ from creditline.llm.common import stored
 
 #: Pairs whose counts are broadcast (12 bytes each, 12 MB); the rest is joined.
 COMMON = 1 << 20
-#: Pieces a worker remembers, about 700 bytes each.
-CACHE_PIECES = 60_000
+#: Pieces a worker remembers before it starts anew, about 350 bytes each.
+CACHE_PIECES = 150_000
 #: Pairs a task counts before it hands its counts on.
 PAIRS_IN_TASK = 400_000
 _PLACES = re.compile(r"(?<=\S)(?= \S)")
@@ -55,16 +56,22 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-def refine(char_ends: list[int], starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def refine(char_ends: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Byte offsets of tokens' ends.  ``char_ends`` are the coarse cuts (characters before
     each token's end, counted up to the end of the character it touches), ``starts`` the byte
     offset of every character and of the text's end, ``lengths`` the bytes of each token.
 
     A coarse cut holds if the decoded bytes since the last one that holds reach it exactly;
     else the token ends inside the character, where its bytes end."""
-    coarse = starts[np.asarray(char_ends, np.int64)] if len(char_ends) else np.empty(0, np.int64)
-    fine = np.cumsum(lengths)
-    return np.where(fine == coarse, coarse, np.minimum(fine, starts[-1]))
+    coarse = starts[char_ends]
+    reached = np.cumsum(lengths)
+    return np.where(reached == coarse, coarse, reached)
+
+
+def _ragged(flat: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, sizes) of the rows ``which`` of a ragged array whose row i is flat[at[i]:at[i + 1]]."""
+    n = at[which + 1] - at[which]
+    return flat[np.repeat(at[which] - np.cumsum(n) + n, n) + np.arange(n.sum())], n
 
 
 class Aligner:
@@ -77,14 +84,18 @@ class Aligner:
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True  # their strings in a text are plain text
         alphabet = byte_alphabet()
-        self.bytes_a = {i: bytes(alphabet[c] for c in s) if all(c in alphabet for c in s) else s.encode()
-                        for s, i in self.a.get_vocab(with_added_tokens=True).items()}
+        vocabulary = self.a.get_vocab(with_added_tokens=True)
+        self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
+        for s, i in vocabulary.items():
+            self.bytes_a[i] = bytes(alphabet[c] for c in s) if all(c in alphabet for c in s) else s.encode()
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        n = self.b.get_piece_size()
-        names = [self.b.id_to_piece(i) for i in range(n)]
+        names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(s[3:5], 16)]) if self.b.is_byte(i) else s.replace("▁", " ").encode() for i, s in enumerate(names)]
+        self.length_a, self.length_b = (np.array([len(x) for x in v], np.int64) for v in (self.bytes_a, self.bytes_b))
         #: whether texts may be cut into pieces for B
         self.cuts = not any("▁" in s.lstrip("▁") for s in names)
+        #: ids as they stand before each kind of mark
+        self.shown = [f"{i}{mark}" for mark in ",|;" for i in range(max(len(self.bytes_a), len(names)))]
         self.keep_spans = keep_spans
         self.known: dict[str, int] = {}
         self.clear()
@@ -92,91 +103,109 @@ class Aligner:
     def clear(self) -> None:
         self.known.clear()
         self.texts: list[str] = []
-        self.numbers: list[tuple[int, int, int, int]] = []
-        self.links: list[np.ndarray] = []
-        self.spans: list[tuple[np.ndarray, ...]] = []
+        self.numbers = np.empty((0, 4), np.int64)  # tokens of A, of B, groups, links
+        self.flat = {k: np.empty(0, np.uint32) for k in ("links", "a_ids", "a_ends", "b_ids", "b_ends", "group_ends")}
+        self.at = {k: np.zeros(1, np.int64) for k in self.flat}
+        self.sizes = np.empty(0, np.int64)
 
-    def tokens(self, text: str) -> tuple[list[int], np.ndarray, list[int], np.ndarray] | None:
+    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
         """(A ids, their byte ends, B ids, their byte ends) of a text that begins with the space
         that B adds; None if either tokenizer's bytes are not the text's."""
         raw = text.encode()
         e = self.a.encode(text, add_special_tokens=False)
-        a_bytes = [self.bytes_a[i] for i in e.ids]
-        pieces = [(p.id, p.end) for p in self.b.encode(text[1:], return_type="proto").pieces]
-        b_bytes = [self.bytes_b[i] for i, _ in pieces]
-        if b"".join(a_bytes) != raw or b"".join(b_bytes) != raw:
+        pieces = self.b.encode(text[1:], return_type="offset_mapping", return_bytes=False)
+        ids_a, ids_b = e.ids, pieces["ids"]
+        if b"".join(map(self.bytes_a.__getitem__, ids_a)) != raw or b"".join(map(self.bytes_b.__getitem__, ids_b)) != raw:
             return None
-        starts = np.arange(len(raw) + 1)
-        lengths_a = np.fromiter(map(len, a_bytes), np.int64, len(a_bytes))
-        lengths_b = np.fromiter(map(len, b_bytes), np.int64, len(b_bytes))
-        if len(raw) == len(text):
-            by_char = starts
-        else:
-            first = np.frombuffer(raw, np.uint8) & 0xC0 != 0x80
-            by_char = np.append(np.flatnonzero(first), len(raw))
-        a_ends = refine([x[1] for x in e.offsets], by_char, lengths_a)
-        # the proto's spans count bytes of the text without the space that was added
-        b_ends = refine([min(x + 1, len(raw)) for _, x in pieces], starts, lengths_b)
-        return e.ids, a_ends, [i for i, _ in pieces], b_ends
-
-    def piece(self, text: str) -> int:
-        """Number of the piece's alignment; -1 if it has none."""
-        t = self.tokens(text)
-        if t is None:
-            self.known[text] = -1
-            return -1
-        a, a_ends, b, b_ends = t
-        cuts = np.intersect1d(a_ends, b_ends)
-        group_a, group_b = np.searchsorted(cuts, a_ends), np.searchsorted(cuts, b_ends)
-        if len(cuts) == 1:
-            shown = f"{','.join(map(str, a))}|{','.join(map(str, b))}"
-        else:
-            names = [([], []) for _ in cuts]
-            for i, g in zip(a, group_a.tolist(), strict=True):
-                names[g][0].append(str(i))
-            for i, g in zip(b, group_b.tolist(), strict=True):
-                names[g][1].append(str(i))
-            shown = ";".join(f"{','.join(x)}|{','.join(y)}" for x, y in names)
+        starts = np.append(np.flatnonzero(np.frombuffer(raw, np.uint8) & 0xC0 != 0x80), len(raw))
+        ids_a, ids_b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+        ends_a = np.fromiter((x[1] for x in e.offsets), np.int64, len(ids_a))
+        # B's spans count from after the space that it adds
+        ends_b = np.fromiter((x[1] for x in pieces["offsets"]), np.int64, len(ids_b)) + 1
+        return (ids_a, refine(ends_a, starts, self.length_a[ids_a]), ids_b, refine(np.minimum(ends_b, len(starts) - 1), starts, self.length_b[ids_b]))
+
+    def learn(self, parts: list[str]) -> None:
+        """Align new pieces: those that begin with a single space and end with another character in one
+        go, as their tokens do not change when they are joined."""
+        plain = [p for p in parts if self.cuts and len(p) > 1 and not p[1].isspace() and not p[-1].isspace()]
+        done: set[str] = set()
+        for i in range(0, len(plain), 20_000):
+            some = plain[i : i + 20_000]
+            t = self.tokens("".join(some))
+            if t is not None:
+                self.add(some, t)
+                done.update(some)
+        for p in parts:
+            if p not in done:
+                t = self.tokens(p)
+                if t is None:
+                    self.known[p] = -1
+                else:
+                    self.add([p], t)
+
+    def add(self, parts: list[str], tokens: tuple[np.ndarray, ...]) -> None:
+        a, a_ends, b, b_ends = tokens
+        sizes = np.array([len(p.encode()) for p in parts], np.int64)
+        ends = np.cumsum(sizes)
+        cuts = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        piece_of = [np.searchsorted(ends, x) for x in (a_ends, b_ends, cuts)]
         # token i of A overlaps the tokens of B from the first that ends after its start
         # to the first that ends at or after its end
         lo = np.searchsorted(b_ends, np.concatenate([[0], a_ends[:-1]]), "right")
-        hi = np.searchsorted(b_ends, a_ends, "left")
-        n = hi - lo + 1
+        n = np.searchsorted(b_ends, a_ends) - lo + 1
         at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        links = (np.repeat(np.asarray(a, np.uint32), n) << np.uint32(15)) | np.asarray(b, np.uint32)[at]
-        number = self.known[text] = len(self.texts)
-        self.texts.append(shown)
-        self.numbers.append((len(a), len(b), len(cuts), len(links)))
-        self.links.append(links)
-        if not self.keep_spans:
-            return number
-        self.spans.append((np.asarray(a, np.int32), a_ends.astype(np.int32), np.asarray(b, np.int32), b_ends.astype(np.int32),
-                           cuts.astype(np.int32), np.array([len(text.encode())], np.int32)))
-        return number
-
-    def align(self, text: str) -> list[int] | None:
-        """Numbers of the text's pieces; None if it has no tokens."""
-        if not text:
-            return None
+        links = (np.repeat(a, n).astype(np.uint32) << np.uint32(15)) | b[at].astype(np.uint32)
+        m = len(parts)
+        counts = np.stack([np.bincount(piece_of[0], minlength=m), np.bincount(piece_of[1], minlength=m),
+                           np.bincount(piece_of[2], minlength=m), np.bincount(np.repeat(piece_of[0], n), minlength=m)], axis=1)
+        # the groups' ids as text: a group's tokens of A, then those of B; | and ; after the last of each
+        group = np.concatenate([np.searchsorted(cuts, a_ends), np.searchsorted(cuts, b_ends)])
+        is_b = np.repeat([0, 1], [len(a), len(b)])
+        order = np.argsort(2 * group + is_b, kind="stable")
+        side = (2 * group + is_b)[order]
+        last = np.append(side[1:] != side[:-1], True)
+        marks = np.where(last, 1 + (side & 1), 0)
+        words = list(map(self.shown.__getitem__, (marks * (len(self.shown) // 3) + np.concatenate([a, b])[order]).tolist()))
+        length = np.cumsum([len(x) for x in words])
+        text = "".join(words)
+        stop = length[np.cumsum(counts[:, 0] + counts[:, 1]) - 1].tolist()
+        first = len(self.texts)
+        self.texts += [text[x : y - 1] for x, y in zip([0, *stop[:-1]], stop, strict=True)]
+        self.known.update(zip(parts, range(first, first + m), strict=True))
+        self.numbers = np.concatenate([self.numbers, counts])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        new = {"links": (links, counts[:, 3])}
+        if self.keep_spans:
+            base = ends - sizes
+            new |= {"a_ids": (a, counts[:, 0]), "a_ends": (a_ends - base[piece_of[0]], counts[:, 0]), "b_ids": (b, counts[:, 1]),
+                    "b_ends": (b_ends - base[piece_of[1]], counts[:, 1]), "group_ends": (cuts - base[piece_of[2]], counts[:, 2])}
+        for k, (x, c) in new.items():
+            self.flat[k] = np.concatenate([self.flat[k], x.astype(np.uint32)])
+            self.at[k] = np.concatenate([self.at[k], self.at[k][-1] + np.cumsum(c)])
+
+    def parts(self, text: str) -> list[str]:
+        """The pieces of space + text."""
+        if not self.cuts:
+            return [" " + text]
+        if text[0] == " " or _TWO_SPACES.search(text):
+            return _PLACES.split(" " + text)
+        out = [" " + p for p in text.split(" ")]
+        if out[-1] == " " and len(out) > 1:  # a space at the end stays with the word before it
+            out[-2:] = [out[-2] + " "]
+        return out
+
+    def align(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        """Numbers of the pieces of each text; None if it has no tokens."""
         if len(self.texts) > CACHE_PIECES:
             self.clear()
-        if not self.cuts:
-            parts = [" " + text]
-        elif text[0] == " " or _TWO_SPACES.search(text):
-            parts = _PLACES.split(" " + text)
-        else:
-            parts = [" " + p for p in text.split(" ")]
-            if parts[-1] == " ":  # a space at the end stays with the word before it
-                parts[-2:] = [parts[-2] + " "] if len(parts) > 1 else [" "]
-        get = self.known.get
+        parts = [self.parts(t) if t else [] for t in texts]
+        new = {p for ps in parts for p in ps if p not in self.known}
+        if new:
+            self.learn(sorted(new))
         out = []
-        for p in parts:
-            k = get(p)
-            if k is None:
-                k = self.piece(p)
-            if k < 0:
-                return None
-            out.append(k)
+        for ps in parts:
+            ks = np.fromiter(map(self.known.__getitem__, ps), np.int64, len(ps))
+            out.append(ks if len(ks) and ks.min() >= 0 else None)
         return out
 
 
@@ -208,11 +237,12 @@ def spans(docs: DataFrame, path_a: str | None = None, path_b: str | None = None)
             for i in range(0, batch.num_rows, 50):
                 c = batch.slice(i, 50)
                 out: list[list] = [[], [], [], [], []]
-                for text in c.column(1).to_pylist():
-                    parts = [t.spans[k] for k in t.align(text or "") or []]
-                    base = np.cumsum([0, *(p[5][0] for p in parts)])
-                    for j, o in enumerate(out):
-                        o.append(np.concatenate([p[j] + (0 if j in (0, 2) else x) for p, x in zip(parts, base, strict=False)] or [np.empty(0, np.int32)]).tolist())
+                for ks in t.align(c.column(1).to_pylist()):
+                    ks = np.empty(0, np.int64) if ks is None else ks
+                    base = np.cumsum(t.sizes[ks]) - t.sizes[ks]
+                    for name, o in zip(("a_ids", "a_ends", "b_ids", "b_ends", "group_ends"), out, strict=True):
+                        x, n = _ragged(t.flat[name], t.at[name], ks)
+                        o.append((x + np.repeat(base, n) if name.endswith("ends") else x).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [c.column(0), *[pa.array(o, pa.list_(pa.int32())) for o in out]],
                     names=["doc_id", "a_ids", "a_ends", "b_ids", "b_ends", "group_ends"])
@@ -225,11 +255,6 @@ ENCODED = ("pair_a int, pair_b int, count bigint, row_key bigint, doc_id bigint,
            "groups_sha256 string, links binary")
 
 
-def _unique(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    pairs, n = np.unique(links, return_counts=True)
-    return pairs, n.astype(np.uint32)
-
-
 def _encode(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """One row per document (pair_a null), its distinct linked pairs with their numbers packed in ``links``;
     and rows (pair_a, pair_b, count) that sum up to the corpus' counts of linked pairs."""
@@ -248,33 +273,29 @@ def _encode(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         t, row = aligner(path_a, path_b), TaskContext.get().partitionId() << 40
         all_pairs, all_n = np.empty(0, np.uint32), np.empty(0, np.int64)
         for b in batches:
-            for i in range(0, b.num_rows, 200):
-                c = b.slice(i, 200)
-                rows, here = [], []
-                for text in c.column(1).to_pylist():
-                    ks = t.align(text or "")
-                    if ks is None:
-                        rows.append((0, 0, 0, 0, "", b""))
-                        continue
-                    shown = ";".join([t.texts[k] for k in ks])
-                    pairs, n = _unique(np.concatenate([t.links[k] for k in ks]))
-                    here.append((pairs, n))
-                    rows.append((*np.array([t.numbers[k] for k in ks]).sum(axis=0).tolist(), hashlib.sha256(shown.encode()).hexdigest(),
-                                 pairs.tobytes() + n.tobytes()))
-                if here:
-                    p = np.concatenate([all_pairs, *[x for x, _ in here]])
-                    n = np.concatenate([all_n, *[x.astype(np.int64) for _, x in here]])
-                    all_pairs, back = np.unique(p, return_inverse=True)
-                    all_n = np.zeros(len(all_pairs), np.int64)
-                    np.add.at(all_n, back, n)
-                    if len(all_pairs) > PAIRS_IN_TASK:
-                        yield counted(all_pairs, all_n)
-                        all_pairs, all_n = all_pairs[:0], all_n[:0]
-                k = len(rows)
-                cols = list(zip(*rows, strict=True))
+            for i in range(0, b.num_rows, 500):
+                c = b.slice(i, 500)
+                found = t.align(c.column(1).to_pylist())
+                k = len(found)
+                sizes = np.array([0 if ks is None else len(ks) for ks in found])
+                pieces = np.concatenate([np.empty(0, np.int64), *[ks for ks in found if ks is not None]])
+                doc = np.repeat(np.arange(k), sizes)
+                numbers = np.zeros((k, 4), np.int64)
+                np.add.at(numbers, doc, t.numbers[pieces])
+                links, n = _ragged(t.flat["links"], t.at["links"], pieces)
+                both, n = np.unique((np.repeat(doc, n).astype(np.uint64) << np.uint64(32)) | links, return_counts=True)
+                cut = np.searchsorted(both, np.arange(1, k).astype(np.uint64) << np.uint64(32))
+                links, n = both.astype(np.uint32), n.astype(np.uint32)
+                packed = [x.tobytes() + y.tobytes() for x, y in zip(np.split(links, cut), np.split(n, cut), strict=True)]
+                sha = ["" if ks is None else hashlib.sha256(";".join(map(t.texts.__getitem__, ks.tolist())).encode()).hexdigest() for ks in found]
+                all_pairs, back = np.unique(np.concatenate([all_pairs, links]), return_inverse=True)
+                all_n = np.bincount(back, np.concatenate([all_n, n]), len(all_pairs)).astype(np.int64)
+                if len(all_pairs) > PAIRS_IN_TASK:
+                    yield counted(all_pairs, all_n)
+                    all_pairs, all_n = all_pairs[:0], all_n[:0]
                 yield pa.RecordBatch.from_arrays(
                     [pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.array(np.arange(row, row + k)), c.column(0),
-                     *[pa.array(x, pa.int64()) for x in cols[:4]], pa.array(cols[4], pa.string()), pa.array(cols[5], pa.binary())], schema=schema)
+                     *[pa.array(x) for x in numbers.T.copy()], pa.array(sha, pa.string()), pa.array(packed, pa.binary())], schema=schema)
                 row += k
         if len(all_pairs):
             yield counted(all_pairs, all_n)
