@@ -90,27 +90,27 @@ def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Block]:
 
 def _bytes(x: np.ndarray) -> bytes:
     """The values' lowest bytes, then their next, ...: like bytes compress together."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
 
 def _values(raw: bytes, kind) -> np.ndarray:
     width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).reshape(-1).view(kind)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, len(raw) // width).T).reshape(-1).view(kind)
 
 
 def packed(press: zstandard.ZstdCompressor, path: np.ndarray, ids: np.ndarray, keys: np.ndarray, row: np.ndarray, start: np.ndarray) -> bytes:
-    """Leaves sorted by path: (path, document, start); documents are named once."""
+    """Leaves sorted by path: (path, document, start); documents are named once.  Paths may be left out."""
     used, row = np.unique(row, return_inverse=True)
     step = np.diff(path, prepend=np.uint64(0))
-    head = np.array([len(used), len(path)], "<i8").tobytes()
+    head = np.array([len(used), len(row), len(path)], "<i8").tobytes()
     return press.compress(b"".join([head, ids[used].tobytes(), keys[used].tobytes(), _bytes(step), _bytes(row.astype(np.uint32)), _bytes(start.astype(np.uint32))]))
 
 
 def unpacked(press: zstandard.ZstdDecompressor, data: bytes) -> tuple[np.ndarray, ...]:
     raw = press.decompress(data)
-    m, n = np.frombuffer(raw, "<i8", 2).tolist()
-    at, out = 16, []
-    for size in (8 * m, 8 * m, 8 * n, 4 * n, 4 * n):
+    m, n, paths = np.frombuffer(raw, "<i8", 3).tolist()
+    at, out = 24, []
+    for size in (8 * m, 8 * m, 8 * paths, 4 * n, 4 * n):
         out.append(raw[at : at + size])
         at += size
     row = _values(out[3], np.uint32)
@@ -133,23 +133,39 @@ def repeats(path: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
     return (doc != doc[first]) | (start != start[first])
 
 
-def _rows(ids: np.ndarray, keys: np.ndarray, row: np.ndarray, start: np.ndarray) -> list[tuple[int, int, bytes]]:
-    """(doc_id, key, starts) of repeats, a row for each document."""
-    if not len(row):
-        return []
-    order = np.lexsort((start, row))
-    row, start = row[order], start[order].astype("<u4")
-    at = np.flatnonzero(np.diff(row, prepend=-1))
-    ends = np.append(at[1:], len(row))
-    return [(int(ids[row[a]]), int(keys[row[a]]), start[a:b].tobytes()) for a, b in zip(at.tolist(), ends.tolist(), strict=True)]
+def _spread(press: zstandard.ZstdCompressor, n_parts: int, ids: np.ndarray, keys: np.ndarray, row: np.ndarray, start: np.ndarray) -> list[tuple]:
+    """Starts of repeats, packed by the part of their documents."""
+    part = np.mod(keys, n_parts)[row]
+    order = np.lexsort((start, row, part))
+    cuts = np.flatnonzero(np.diff(part[order], prepend=-1))[1:]
+    return [(int(part[x[0]]), True, packed(press, np.empty(0, np.uint64), ids, keys, row[x], start[x])) for x in np.split(order, cuts) if len(x)]
 
 
-DEALT = "part bigint, doc_id bigint, key bigint, leaves binary"
-_DEALT = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+DEALT = "part bigint, known boolean, leaves binary"
+_DEALT = [pa.int64(), pa.bool_(), pa.binary()]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _DEALT, strict=True)], names=["part", "doc_id", "key", "leaves"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _DEALT, strict=True)], names=["part", "known", "leaves"])
+
+
+class Starts:
+    """Starts of repeated windows by document, from packed leaves without paths."""
+
+    def __init__(self, got: list[tuple[np.ndarray, ...]]):
+        empty = np.empty(0, np.int64)
+        ids = np.concatenate([empty, *[x[1][x[3]] for x in got]])
+        keys = np.concatenate([empty, *[x[2][x[3]] for x in got]])
+        start = np.concatenate([empty, *[x[4].astype(np.int64) for x in got]])
+        order = np.lexsort((start, keys, ids))
+        ids, keys, self.start = ids[order], keys[order], start[order]
+        first = np.flatnonzero(~_same(ids, keys))
+        ends = np.append(first[1:], len(ids))
+        self.places = {(d, k): x for d, k, *x in zip(ids[first].tolist(), keys[first].tolist(), first.tolist(), ends.tolist(), strict=False)}
+
+    def of(self, doc: int, key: int) -> np.ndarray:
+        a, b = self.places.get((doc, key), (0, 0))
+        return self.start[a:b]
 
 
 def plan(docs: DataFrame, size: int, group: int, sample: int) -> tuple[int, list[np.ndarray]]:
@@ -184,7 +200,7 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, group: int = GR
     repeated rows have equal results.  Rows with a null id lose nothing and take nothing away.  Texts are
     processed whole; a text with fewer words has no window.  Columns other than doc_id and text are not
     read; an empty table gives an empty result.  ``group`` and ``sample`` only place the work."""
-    cols = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("key"),
+    cols = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).alias("key"),
                        F.col("text").cast("string").cast("binary").alias("text"))
     n_groups, heavy = plan(cols, min_words, group, sample)
     levels = [*[x for x in LEVELS if x < min_words], min_words]
@@ -197,7 +213,7 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, group: int = GR
             order = np.argsort(path, kind="stable")
             path, row, start = path[order], b.row[order], b.start[order]
             gone = repeats(path, b.ids[row], start)
-            out = [(d % n_groups, d, k, s) for d, k, s in _rows(b.ids, b.keys, row[gone], start[gone])]
+            out = _spread(press, n_groups, b.ids, b.keys, row[gone], start[gone])
             stay = np.flatnonzero(~gone)
             path, row, start, at = path[stay], row[stay], start[stay], order[stay]
             part, todo = np.empty(len(path), np.int64), np.arange(len(path))
@@ -211,16 +227,17 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, group: int = GR
             cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
             for x in np.split(order, cuts[1:]):
                 if len(x):
-                    out.append((int(part[x[0]]), None, None, packed(press, path[x], b.ids, b.keys, row[x], start[x])))
-                if sum(len(r[3]) for r in out) > 4_000_000:
+                    out.append((int(part[x[0]]), False, packed(press, path[x], b.ids, b.keys, row[x], start[x])))
+                if sum(len(r[2]) for r in out) > 4_000_000:
                     yield _batch(out)
                     out.clear()
             if out:
                 yield _batch(out)
 
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows in the order of their groups: leaves of a group, or starts already known to be repeats."""
-        press = zstandard.ZstdDecompressor()
+        """Rows in the order of their groups: leaves of a group, or starts already known to be repeats of a
+        part of the documents; out come such starts."""
+        press, squeeze = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
         leaves: list[bytes] = []
         last = None
 
@@ -241,52 +258,55 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, group: int = GR
             order = order[np.lexsort((start[order], ids[row[order]], path[order]))]
             path, row, start = path[order], row[order], start[order]
             gone = repeats(path, ids[row], start)
-            # blocks name a document each by itself
-            rows = [(0, *r) for r in _rows(ids, keys, row[gone], start[gone])]
+            rows = _spread(squeeze, n_groups, ids, keys, row[gone], start[gone])
             for i in range(0, len(rows), 5000):
                 yield _batch(rows[i : i + 5000])
 
         for b in batches:
-            part, ids, keys, data = (c.to_pylist() for c in b.columns)
-            known = []
-            for p, d, k, x in zip(part, ids, keys, data, strict=True):
+            part, known, data = (c.to_pylist() for c in b.columns)
+            done = []
+            for p, k, x in zip(part, known, data, strict=True):
                 if p != last:
                     yield from solved()
                     last = p
-                if d is None:
-                    leaves.append(x)
+                if k:
+                    done.append((p, True, x))
                 else:
-                    known.append((0, d, k, x))
-            if known:
-                yield _batch(known)
+                    leaves.append(x)
+            if done:
+                yield _batch(done)
         yield from solved()
 
     dealt = cols.mapInArrow(deal, DEALT).repartition("part").sortWithinPartitions("part").mapInArrow(subtrees, DEALT)
-    found = stored(dealt.select("doc_id", "key", F.col("leaves").alias("starts")), "repeats")
-    both = cols.withColumn("starts", F.lit(None).cast("binary")).unionByName(found.withColumn("text", F.lit(None).cast("binary")).select("doc_id", "key", "text", "starts"))
+    found = stored(dealt.select("part", F.col("leaves").alias("starts")), "repeats")
+    texts = cols.select(F.pmod("key", F.lit(n_groups).cast("bigint")).alias("part"), "doc_id", "key", "text")
+    none = {c: F.lit(None).cast(t) for c, t in (("doc_id", "bigint"), ("key", "bigint"), ("text", "binary"))}
+    both = texts.withColumn("starts", F.lit(None).cast("binary")).unionByName(found.withColumns(none))
     both = both.withColumn("last", F.col("starts").isNull())
-    both = both.repartition("doc_id", "key").sortWithinPartitions("doc_id", "key", "last")
+    both = both.repartition("part").sortWithinPartitions("part", "last")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows in the order of documents, the starts of their repeated windows before them."""
-        last, starts = None, []
+        """Rows in the order of parts, the starts of the part's repeated windows before its documents."""
+        press = zstandard.ZstdDecompressor()
+        last, packs, starts = None, [], None
         for b in batches:
-            ids, keys, texts, data, final = b.columns
-            data, final = data.to_pylist(), final.to_numpy(zero_copy_only=False)
-            ids, keys = ids.to_pylist(), keys.to_pylist()
+            part, ids, keys, texts, data, final = b.columns
+            part, ids, keys, final = part.to_pylist(), ids.to_pylist(), keys.to_pylist(), final.to_pylist()
             out: list[tuple] = []
             size = 0
             for i, doc in enumerate(ids):
-                if (doc, keys[i]) != last:
-                    last, starts = (doc, keys[i]), []
+                if part[i] != last:
+                    last, packs, starts = part[i], [], None
                 if not final[i]:
-                    starts.append(np.frombuffer(data[i], "<u4"))
+                    packs.append(data[i].as_py())
                     continue
+                if starts is None:
+                    starts, packs = Starts([unpacked(press, x) for x in packs]), []
                 words = (texts[i].as_py() or b"").split()
                 spans: list[dict] = []
-                n = 0
-                if starts and doc is not None:
-                    at = np.unique(np.concatenate(starts)).astype(np.int64)
+                kept, n = words, 0
+                at = starts.of(doc, keys[i]) if doc is not None else ()
+                if len(at):
                     edge = np.flatnonzero(np.diff(at, prepend=-min_words - 1) > min_words)
                     a, z = at[edge], at[np.append(edge[1:], len(at)) - 1] + min_words
                     spans = [{"start": x, "words": y - x} for x, y in zip(a.tolist(), z.tolist(), strict=True)]
@@ -295,8 +315,6 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, group: int = GR
                         kept += words[here:x]
                         here, n = y, n + y - x
                     kept += words[here:]
-                else:
-                    kept = words
                 out.append((doc, b" ".join(kept), len(words), n, spans))
                 size += len(out[-1][1])
                 if size > 8_000_000 or len(out) >= 1000:

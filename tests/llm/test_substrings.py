@@ -58,7 +58,7 @@ def test_equals_brute_force(spark, make, monkeypatch, seed, group, block):
 
 def test_frequent_prefixes_are_extended(spark, make):
     rows = [(i, "the same start " + " ".join(f"{i}w{j}" for j in range(30))) for i in range(50)]
-    cols = make(rows).selectExpr("doc_id", "xxhash64(text) as key", "cast(text as binary) as text")
+    cols = make(rows).selectExpr("doc_id", "xxhash64(doc_id, text) as key", "cast(text as binary) as text")
     n, heavy = plan(cols, 20, 30, 1)
     assert n == -(-50 * 14 // 30)
     assert [len(x) for x in heavy] == [3, 2, 0, 0, 0]  # 'the', 'same', 'start'; then 'the same', 'same start'
