@@ -40,7 +40,7 @@ from creditline.llm.common import stored
 #: Pairs whose counts are broadcast (12 bytes each, 12 MB); the rest is joined.
 COMMON = 1 << 20
 #: Pieces a worker remembers before it starts anew, about 350 bytes each.
-CACHE_PIECES = 150_000
+CACHE_PIECES = 300_000
 #: Pairs a task counts before it hands its counts on.
 PAIRS_IN_TASK = 400_000
 _PLACES = re.compile(r"(?<=\S)(?= \S)")
