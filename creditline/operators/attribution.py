@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from creditline.functions.columns import (
     HALF_LIFE_DAYS,
+    LOOKBACK_DAYS,
     PAID_CHANNELS,
     PLATFORM_AOV,
     days_between,
@@ -35,6 +36,7 @@ from creditline.functions.columns import (
     safe_ratio,
     wall_micros,
 )
+from creditline.operators.sweep import order_credits
 
 #: Weights span at most this many half-lives in one sum of doubles.
 MAX_HALF_LIVES = 1000
@@ -147,6 +149,54 @@ def attribute(
             rows = rows.withColumn("_scale", scale).withColumns(
                 {"sw": F.col("sw") * F.col("_scale"), "svw": F.col("svw") * F.col("_scale")}).drop("_scale", "_span")
 
+    return _credits(rows, unit, by, key, position)
+
+
+def attribute_swept(
+    touches: DataFrame,
+    conversions: DataFrame,
+    lookback_days: int | None = LOOKBACK_DAYS,
+    scope: str = "conversion",
+    half_life_days: float = HALF_LIFE_DAYS,
+    anchor: str = "conversion",
+    position: tuple[float, float] = (0.4, 0.4),
+    credit_key: str = "channel",
+    bucket_hours: float = 24.0,
+) -> DataFrame:
+    """The credit table of ``attribute`` over all eligible pairs, without making them: prefix sums over each
+    user's timeline (``sweep.order_credits``).  For heavy users, long lookbacks, or none at all."""
+    if scope not in ("conversion", "user"):
+        raise ValueError("scope must be 'conversion' or 'user'")
+    if anchor not in ("conversion", "last_touch"):
+        raise ValueError("anchor must be 'conversion' or 'last_touch'")
+    g = order_credits(touches, conversions, lookback_days, half_life_days, credit_key, bucket_hours)
+    unit = ["conversion_id"] if scope == "conversion" else ["user_id"]
+    u = Window.partitionBy(*unit)
+    if scope == "user" and anchor == "conversion":
+        # every order's weights are relative to its conversion
+        g = g.withColumn("lw", F.col("lw") - wall_micros("conv_ts").cast("double") / F.lit(86_400e6 * half_life_days))
+    ends = [F.struct(F.col(k).alias("k"), F.col("conversion_id").alias("c"), F.col("value").alias("v")) for k in ("fk", "lk")]
+    if scope == "conversion":
+        sw = F.pow(F.lit(2.0), F.col("lw") - F.max("lw").over(u))
+        rows = g.withColumn("sw", sw).select(
+            "user_id", "conversion_id", credit_key, "n", "sw", (F.col("value") * F.col("n")).alias("svn"),
+            (F.col("value").cast("double") * F.col("sw")).alias("svw"), ends[0].alias("first"), ends[1].alias("last"), F.lit(1).cast("long").alias("n_conv"))
+    else:
+        # sums by blocks of half-lives, scaled to the unit's largest
+        g = g.withColumn("_block", F.floor(F.col("lw") / BLOCK_HALF_LIVES).cast("long"))
+        g = g.withColumn("sw", F.pow(F.lit(2.0), F.col("lw") - (F.col("_block") + 1) * BLOCK_HALF_LIVES))
+        rows = g.groupBy("user_id", credit_key, "_block").agg(
+            F.sum("n").alias("n"), F.sum("sw").alias("sw"), F.sum(F.col("value") * F.col("n")).alias("svn"),
+            F.sum(F.col("value").cast("double") * F.col("sw")).alias("svw"), F.min(ends[0]).alias("first"), F.max(ends[1]).alias("last"),
+            F.count(F.lit(1)).alias("n_conv"))
+        rows = rows.withColumn("_scale", F.pow(F.lit(2.0), (F.col("_block") - F.max("_block").over(u)) * BLOCK_HALF_LIVES))
+        rows = rows.withColumns({"sw": F.col("sw") * F.col("_scale"), "svw": F.col("svw") * F.col("_scale")}).drop("_scale", "_block")
+    return _credits(rows, unit, [], credit_key, position)
+
+
+def _credits(rows: DataFrame, unit: list[str], by: list[str], key: str, position: tuple[float, float]) -> DataFrame:
+    """Credits by key from rows of (unit, key, ...): totals of each unit, shares, and a two-level aggregate."""
+    u = Window.partitionBy(*unit)
     rows = rows.select(
         "*",
         F.sum("n").over(u).alias("_N"),

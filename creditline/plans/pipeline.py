@@ -11,7 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from creditline.functions.columns import LOOKBACK_DAYS
-from creditline.operators.attribution import attribute
+from creditline.operators.attribution import attribute, attribute_swept
 from creditline.operators.journeys import DEFAULT_BUCKET_DAYS, dedup_touchpoints, eligible_pairs
 from creditline.operators.staging import stage_conversions, stage_spend, stage_touchpoints
 from creditline.sources.adapter import MarketingInputs, marketing_inputs
@@ -48,3 +48,7 @@ class Pipeline:
 
     def credits(self, lookback_days: int | None = LOOKBACK_DAYS, **kw) -> DataFrame:
         return attribute(self.pairs(lookback_days), max_age_days=lookback_days, **kw)
+
+    def swept(self, lookback_days: int | None = LOOKBACK_DAYS, **kw) -> DataFrame:
+        """The same credits by prefix sums, without touch-order pairs."""
+        return attribute_swept(self.deduped, self.conversions, lookback_days, **kw)

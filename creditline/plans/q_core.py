@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from creditline.functions.columns import PAID_CHANNELS, money
 from creditline.operators.attribution import (
     FOUR_MODELS,
+    MODELS,
     attribution_comparison,
     credit_long,
     credit_wide,
@@ -168,9 +169,10 @@ SELECT channel, CAST({conv} AS BIGINT) AS attributed_conversions, CAST({users} A
 FROM {credits} WHERE {conv} > 0"""
 
 
-def _mart(model: str, lookback_days: int | None = 90, **opts):
+def _mart(model: str, lookback_days: int | None = 90, swept: bool = False, **opts):
     def fn(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return model_mart(Pipeline(spark, sf_dir).credits(lookback_days, **opts), model)
+        p = Pipeline(spark, sf_dir)
+        return model_mart((p.swept if swept else p.credits)(lookback_days, **opts), model)
 
     return fn
 
@@ -195,7 +197,14 @@ register("time_decay_7d", with_ctes(credits_sql(), lookback_days=7) + _mart_sql(
 register(
     "time_decay_no_lookback_user",
     with_ctes(credits_sql(scope="user"), lookback_days=None) + _mart_sql("time_decay"),
-)(_mart("time_decay", scope="user", lookback_days=None))
+)(_mart("time_decay", scope="user", lookback_days=None, swept=True))
+for _model in MODELS:
+    register(f"{_model}_swept", with_ctes(credits_sql()) + _mart_sql(_model))(_mart(_model, swept=True))
+register("linear_swept_7d", with_ctes(credits_sql(), lookback_days=7) + _mart_sql("linear"))(_mart("linear", lookback_days=7, swept=True))
+register("time_decay_swept_no_lookback", with_ctes(credits_sql(), lookback_days=None) + _mart_sql("time_decay"))(
+    _mart("time_decay", lookback_days=None, swept=True))
+register("time_decay_swept_last_touch_anchor", with_ctes(credits_sql(scope="user", anchor="last_touch")) + _mart_sql("time_decay"))(
+    _mart("time_decay", scope="user", anchor="last_touch", swept=True))
 register("time_decay_half_life_3", with_ctes(credits_sql(half_life=3.0)) + _mart_sql("time_decay"))(
     _mart("time_decay", half_life_days=3.0)
 )

@@ -400,5 +400,5 @@ FROM ccredits WHERE attributed_conversions > 0""")
 def q_campaign(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = Pipeline(spark, sf_dir)
     pairs = eligible_pairs(p.deduped, p.conversions, 90, p.bucket_days, ("channel", "dma_code", "utm_campaign"))
-    credits = attribute(pairs, credit_key="utm_campaign")
+    credits = attribute(pairs, credit_key="utm_campaign", max_age_days=90)
     return model_mart(credits, "time_decay", credit_key="utm_campaign")
