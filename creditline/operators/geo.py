@@ -226,7 +226,10 @@ def difference_in_differences(
     end: date,
     by: Sequence[str] = (),
 ) -> DataFrame:
-    """Pre/post x arm conversion rates per capita per day and the DiD estimate."""
+    """Pre/post x arm conversion rates per capita per day and the DiD estimate.
+
+    An arm without population has NULL rates; a market listed twice as control counts once."""
+    control_markets = control_markets.select("dma_code").distinct()
     pre_days = (start - pre_start).days
     post_days = (end - start).days + 1
     ts = F.col("converted_at")
@@ -249,8 +252,7 @@ def difference_in_differences(
     )
     rates = per.join(pop, "_arm").withColumn(
         "_rate",
-        F.col("_n").cast("double")
-        / F.col("_pop")
+        safe_ratio(F.col("_n"), F.col("_pop"))
         / F.when(F.col("_period") == "pre", F.lit(float(pre_days))).otherwise(F.lit(float(post_days))),
     )
 
@@ -328,6 +330,7 @@ def rate_quartiles(groups: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def arm_rates_long(groups: DataFrame) -> DataFrame:
     """Market rates of both arms stacked with a display label."""
+    # fixed values: the labels that reports show
     labels = {CONTROL: "Control (Meta OFF)", TREATMENT: "Treatment (Meta ON)"}
     ctrl = groups.filter(F.col("arm") == CONTROL).withColumn("group", F.lit(labels[CONTROL]))
     trt = groups.filter(F.col("arm") == TREATMENT).withColumn("group", F.lit(labels[TREATMENT]))
@@ -361,18 +364,14 @@ def cannibalization(incremental_roas: Column, platform_roas: Column) -> Column:
 
 # ----------------------------------------------------- bootstrap (H22) -----
 
-_MOD = 2147483647  # 2^31 - 1 (prime)
-
-
-def bootstrap_uniform(rep: Column, idx: Column, draw: int, seed: int) -> Column:
-    """Deterministic uniform in (0, 1) from integers: three Lehmer (MINSTD) rounds.
+def bootstrap_uniform(rep: Column, market: Column, draw: int, seed: int) -> Column:
+    """Deterministic uniform in (0, 1): the first 52 bits of the MD5 of (seed, draw, replicate, market).
 
-    Pure BIGINT arithmetic without overflow, so DuckDB computes the same numbers."""
-    x = (rep.cast("long") * F.lit(7919) + idx.cast("long") * F.lit(104729) + F.lit(seed * 15485863 + draw * 1299709)) % F.lit(_MOD)
-    h = (x * F.lit(48271)) % F.lit(_MOD)
-    h = ((h + F.lit(draw * 97 + 13)) * F.lit(48271)) % F.lit(_MOD)
-    h = ((h + F.lit(seed % 1000 + 7)) * F.lit(69621)) % F.lit(_MOD)
-    return (h.cast("double") + 0.5) / float(_MOD)
+    A counter through a cryptographic hash: draws of different markets and replicates are
+    independent for all purposes, whatever the job's partitions, and any engine computes the same."""
+    text = F.concat_ws(":", F.lit(str(seed)), F.lit(str(draw)), rep.cast("string"), market.cast("string"))
+    bits = F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long")
+    return (bits.cast("double") + 0.5) / float(1 << 52)
 
 
 def _poisson1_cdf() -> list[float]:
@@ -394,11 +393,6 @@ def poisson1(u: Column) -> Column:
     return out
 
 
-def market_index(market: Column) -> Column:
-    """Number below 2^28 from a market's code: the same in every job and partition."""
-    return F.conv(F.substring(F.md5(market.cast("binary")), 1, 7), 16, 10).cast("long")
-
-
 def bootstrap_lift(groups: DataFrame, n_boot: int = 200, seed: int = 42, ci: float = 0.95, by: Sequence[str] = ()) -> DataFrame:
     """Market-level Poisson bootstrap of the relative lift.
 
@@ -408,7 +402,7 @@ def bootstrap_lift(groups: DataFrame, n_boot: int = 200, seed: int = 42, ci: flo
     Draws depend on the market's code only, so no global numbering is needed."""
     m = groups.filter(F.col("population").isNotNull()).select(*by, "arm", "dma_code", "conversions", "population")
     reps = m.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
-    reps = reps.withColumn("_w", poisson1(bootstrap_uniform(F.col("_rep"), market_index(F.col("dma_code")), 0, seed)))
+    reps = reps.withColumn("_w", poisson1(bootstrap_uniform(F.col("_rep"), F.col("dma_code"), 0, seed)))
     is_c = F.col("arm") == CONTROL
     per = reps.groupBy(*by, "_rep").agg(
         F.sum(F.when(is_c, F.col("_w") * F.col("conversions"))).alias("cv_c"),
@@ -501,7 +495,7 @@ def pre_period_features(
     pre = conversions.filter(
         (F.col("converted_at") >= F.lit(pre_start).cast("timestamp_ntz")) & (F.col("converted_at") < F.lit(start).cast("timestamp_ntz"))
     ).groupBy(*by, "dma_code").agg(F.count(F.lit(1)).alias("_n"))
-    ctrl = control_markets.select("dma_code", F.lit(True).alias("_ctrl"))
+    ctrl = control_markets.select("dma_code", F.lit(True).alias("_ctrl")).distinct()
     markets = pre.select(*by).distinct().crossJoin(population) if by else population
     return (
         markets.join(pre, [*by, "dma_code"], "left")

@@ -290,22 +290,17 @@ def q_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geo.matched_markets(feats)
 
 
-_U = (
-    "(((((((rep * 7919 + idx * 104729 + {c0}) % 2147483647) * 48271) % 2147483647 + 13) * 48271) % 2147483647"
-    " + {c2}) * 69621) % 2147483647"
-).format(c0=BOOT_SEED * 15485863, c2=BOOT_SEED % 1000 + 7)
-
-
 def bootstrap_sql(groups: str, by: str = "") -> str:
     """Poisson bootstrap of ``groups``; the draw counts the Poisson(1) CDF values at or below the uniform."""
     key = f"{by}, " if by else ""
     return f"""
 pois AS (SELECT k, SUM(exp(-1.0) / gamma(k + 1.0)) OVER (ORDER BY k) AS cdf FROM range(0, 25) t(k)),
 pois_all AS (SELECT list(cdf) AS cdfs FROM pois),
-bm AS (SELECT {key}arm, dma_code, conversions, population, CAST('0x' || substr(md5(dma_code), 1, 7) AS BIGINT) AS idx
-       FROM {groups} WHERE population IS NOT NULL),
+bm AS (SELECT {key}arm, dma_code, conversions, population FROM {groups} WHERE population IS NOT NULL),
 br AS (SELECT *, UNNEST(range(1, {N_BOOT + 1})) AS rep FROM bm),
-bu AS (SELECT br.*, (CAST({_U} AS DOUBLE) + 0.5) / 2147483647.0 AS u, cdfs FROM br, pois_all),
+bh AS (SELECT *, md5('{BOOT_SEED}:0:' || rep || ':' || dma_code) AS h FROM br),
+bu AS (SELECT bh.*, (list_sum(list_transform(range(1, 14), lambda i: (strpos('0123456789abcdef', h[i:i]) - 1) * pow(16.0, 13 - i))) + 0.5) / pow(2.0, 52) AS u,
+              cdfs FROM bh, pois_all),
 bw AS (SELECT *, len(list_filter(cdfs, lambda x: x <= u)) AS w FROM bu),
 bs AS (
   SELECT {key}rep,

@@ -41,4 +41,4 @@ def all_oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     # importing the modules registers their queries
-    from creditline.plans import q_core, q_geo, q_keyed, q_more  # noqa: F401
+    from creditline.plans import q_core, q_extra, q_geo, q_keyed, q_more  # noqa: F401

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -144,33 +145,48 @@ def daily_channel_aggregate(df: DataFrame) -> DataFrame:
     return df.groupBy(F.to_date("event_timestamp").alias("day"), "channel").agg(F.count(F.lit(1)).alias("touches"))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+MART = "channel string, touches bigint, epochs map<string,bigint>, day date"
 
 
-def incremental_daily_mart(touches: DataFrame, mart_path: str):
+def _mart(spark: SparkSession, path: str) -> DataFrame | None:
+    """The mart so far; None if it is not there yet."""
+    try:
+        return spark.read.schema(MART).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def incremental_daily_mart(touches: DataFrame, mart_path: str, query_id: str | None = None):
     """``foreachBatch`` function for N4: per micro-batch, read the mart's rows of the
     affected days, add the batch, re-aggregate, and overwrite just those day
     partitions (dynamic partition overwrite).
 
-    Every day partition carries the last epoch that changed it.  A replayed epoch
-    skips the days that already have it, so a batch that failed half-way and runs
-    again is counted once.  A read that fails fails the batch: only a mart that is
-    not there yet starts empty."""
+    Every day partition carries a ledger: the last epoch of each query that changed it.  A replayed
+    epoch skips the days that already have it, so a batch that failed half-way and runs
+    again is counted once; a query with a new checkpoint is another query, whose epochs count from
+    0 again.  ``query_id`` defaults to the running stream's.  Touches without a time are a day of their own.
+    A read that fails fails the batch: only a mart that is not there yet starts empty."""
 
     def upsert(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        merged = daily_channel_aggregate(batch)
-        if _exists(spark, mart_path):
-            mart = spark.read.schema("channel string, touches bigint, epoch bigint, day date").parquet(mart_path)
-            old = mart.join(merged.select("day").distinct(), "day", "left_semi")
-            done = old.groupBy("day").agg(F.max("epoch").alias("last")).where(F.col("last") >= epoch_id).select("day")
-            merged = old.select("day", "channel", "touches").unionByName(merged).join(done, "day", "left_anti")
-            merged = merged.groupBy("day", "channel").agg(F.sum("touches").alias("touches"))
+        query = query_id or spark.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
+        new = daily_channel_aggregate(batch).withColumn("epochs", F.create_map(F.lit(query), F.lit(epoch_id).cast("long")))
+        mart = _mart(spark, mart_path)
+        if mart is not None:
+            days = new.select(F.col("day").alias("_day")).distinct()
+            old = mart.join(days, F.col("day").eqNullSafe(F.col("_day")), "left_semi")
+            # all rows of a day carry the same ledger
+            ledger = old.groupBy(F.col("day").alias("_day")).agg(F.any_value("epochs").alias("ledger"))
+            rows = old.unionByName(new).join(ledger, F.col("day").eqNullSafe(F.col("_day")), "left")
+            known = F.coalesce(F.element_at("ledger", F.lit(query)), F.lit(-1))
+            after = F.map_concat(F.map_filter(F.coalesce("ledger", F.expr("map()").cast("map<string,bigint>")), lambda q, e: q != F.lit(query)),
+                                 F.create_map(F.lit(query), F.lit(epoch_id).cast("long")))
+            new = rows.where(known < epoch_id).groupBy("day", "channel").agg(F.sum("touches").alias("touches"), F.any_value(after).alias("epochs"))
         # cut lineage to the old partitions before overwriting them
-        merged = merged.select("channel", "touches", F.lit(epoch_id).cast("long").alias("epoch"), "day").checkpoint(eager=True)
-        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(mart_path)
+        new = new.select("channel", "touches", "epochs", "day").checkpoint(eager=True)
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(mart_path)
 
     return upsert
 
