@@ -40,6 +40,8 @@ WINDOW = 42
 MIN_WORDS = 50
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Words of partners' texts that a worker keeps hashed (16 bytes each with their lines).
+REMEMBERED_WORDS = 1_000_000
 RESULT = "doc_id bigint, text string, words_removed bigint, blocks_removed bigint, partners array<bigint>"
 
 
@@ -216,17 +218,39 @@ def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _contexts(words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """A text's distinct (line, hash of the words that runs of ``min_words`` words with it hold)."""
-    at, line = line_starts(words)
-    if len(words) < min_words or not len(at):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+def _contexts(texts: list[np.ndarray], min_words: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Each text's distinct (line, hash of the words that runs of ``min_words`` words with it hold).
+
+    All texts at once: their runs of LINE words stand one text after the other, with WINDOW - 1 places
+    between them that no window of another text can choose from."""
+    n = np.array([len(w) if len(w) >= min_words else 0 for w in texts], np.int64)
+    words = np.concatenate([np.empty(0, np.uint64), *[w for w, m in zip(texts, n, strict=True) if m]])
+    if not len(words):
+        return [np.empty(0, np.int64)] * len(texts), [np.empty(0, np.int64)] * len(texts)
+    used = np.flatnonzero(n)
+    runs = n[used] - LINE + 1
+    first = np.cumsum(n[used]) - n[used]  # of a text among the words
+    place = np.cumsum(runs + WINDOW - 1) - (runs + WINDOW - 1)  # of its runs among the places
+    at_word = np.repeat(first - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())
+    at_place = np.repeat(place - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())
+    h = np.full(int((runs + WINDOW - 1).sum()), _TOP)
+    h[at_place] = shingles(words, LINE)[at_word]
+    low = np.zeros(len(h), np.uint64)
+    low[at_place] = _slide(np.concatenate([h, np.full(WINDOW - 1, _TOP)]), np.minimum)[at_place]
+    best = _slide(np.concatenate([np.zeros(WINDOW - 1, np.uint64), low]), np.maximum)
+    hit = np.flatnonzero(best[at_place] == h[at_place])
+    text = np.repeat(np.arange(len(used)), runs)[hit]
+    at, line = at_word[hit], h[at_place[hit]]
     reach = min_words - LINE
-    start, end = np.maximum(at - reach, 0), np.minimum(at + LINE + reach, len(words))
+    start, end = np.maximum(at - reach, first[text]), np.minimum(at + LINE + reach, (first + n[used])[text])
     around = span_hashes(words, start, end) + (at - start).astype(np.uint64)
-    if len(np.unique(line)) < len(line):
-        line, around = np.unique(np.stack([line, around]), axis=1)
-    return line.view(np.int64), around.view(np.int64)
+    order = np.lexsort((around, line, text))
+    text, line, around = text[order], line[order], around[order]
+    new = np.ones(len(text), bool)
+    new[1:] = (text[1:] != text[:-1]) | (line[1:] != line[:-1]) | (around[1:] != around[:-1])
+    text, line, around = used[text[new]], line[new].view(np.int64), around[new].view(np.int64)
+    cuts = np.searchsorted(text, np.arange(1, len(texts)))
+    return np.split(line, cuts), np.split(around, cuts)
 
 
 def _links(table: DataFrame, min_words: int) -> DataFrame:
@@ -256,7 +280,7 @@ def _links(table: DataFrame, min_words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(found).view(np.int64))],
                                                  names=["doc_id", "run"])
 
-    runs = texts.join(many, "doc_id").mapInArrow(cut, "doc_id bigint, run bigint")
+    runs = stored(texts.join(many, "doc_id").mapInArrow(cut, "doc_id bigint, run bigint"), "runs")
     held = runs.groupBy("run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     apart = runs.join(held.drop("last"), "run").where("doc_id > first")
     return same.select("doc_id", "first").unionByName(two).unionByName(apart.select("doc_id", "first")).distinct()
@@ -299,7 +323,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
             for i in range(0, b.num_rows, 500):
                 c = b.slice(i, 500)
                 texts = [None if t is None else t.encode("utf-8", "surrogatepass") for t in c.column(1).to_pylist()]
-                lines, around = zip(*[_contexts(w, min_words) for w in hash_words([t or b"" for t in texts])], strict=True)
+                lines, around = _contexts(hash_words([t or b"" for t in texts]), min_words)
                 z = [None if t is None else press.compress(t) for t in texts]
                 yield pa.RecordBatch.from_arrays(
                     [c.column(0), c.column(2), pa.array(z, pa.binary()), pa.array(lines, pa.list_(pa.int64())),
@@ -341,6 +365,8 @@ def _align(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Rec
     press = zstandard.ZstdDecompressor()
     own: list[dict] = []  # rows of the current id: one, unless rows repeat an id
     out: list[tuple] = []
+    seen: dict[bytes, Lines] = {}  # partners that several documents have, by their compressed text
+    size = 0
 
     def done() -> None:
         for d in own:
@@ -358,20 +384,26 @@ def _align(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Rec
                 if own and own[0]["doc_id"] != doc_id:
                     done()
                     own.clear()
-                own.append({"doc_id": doc_id, "text": _text(zs[i], press), "kept": kept[i], "ranges": [], "partners": [], "lines": None})
+                own.append({"doc_id": doc_id, "z": zs[i], "text": _text(zs[i], press), "kept": kept[i], "ranges": [], "partners": [], "lines": None})
                 continue
             other = None
             for d in own:
                 if d["doc_id"] != doc_id or len(d["text"] or b"") < min_words:
                     continue
-                text = _text(zs[i], press) or b""
-                if text == d["text"]:
-                    n = len(text.split())
+                if zs[i] == d["z"]:
+                    n = len(d["text"].split())
                     ranges = [(0, n)] if n >= min_words else []
                 else:
                     if d["lines"] is None:
                         d["lines"] = Lines(hash_words([d["text"]])[0])
-                    other = other or Lines(hash_words([text])[0])
+                    other = other or seen.get(zs[i])
+                    if other is None:
+                        other = Lines(hash_words([_text(zs[i], press) or b""])[0])
+                        size += len(other.words)
+                        if size > REMEMBERED_WORDS:
+                            seen.clear()
+                            size = len(other.words)
+                        seen[zs[i]] = other
                     ranges = common_blocks(other, d["lines"], min_words)
                 if ranges:
                     d["ranges"] += ranges
