@@ -3,9 +3,11 @@ tables, word hashing inside Arrow tasks, and connected components."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -18,16 +20,53 @@ from creditline.session import ensure_checkpoint_dir
 CACHE_WORDS = 400_000
 
 
+#: Rows of an Arrow batch: whole texts go to the Python workers, so batches are kept small.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let no Arrow batch of this session hold more than BATCH_ROWS rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "0")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def tidy(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run`` over a task's batches; then the worker, which the next stage uses again, gives free memory back."""
+
+    @wraps(run)
+    def wrapped(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def release() -> None:
+    _POWERS[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where none is set (tests)."""
+    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where none is set and all runs on one machine."""
     from creditline.session import checkpoint_dir
 
     if checkpoint_dir(spark):
         return ensure_checkpoint_dir(spark, "")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set; a cluster's executors need a shared folder")
     return ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="creditline-"))
 
 
@@ -51,7 +90,7 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 #: Bytes that are hashed at once.
-HASH_BYTES = 1 << 20
+HASH_BYTES = 1 << 18
 
 
 def _powers(n: int) -> list[np.ndarray]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditline.llm.common import hash_words, shingles
+from creditline.llm.common import hash_words, shingles, small_batches, tidy
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -149,11 +149,13 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     give an empty result.  Other columns are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     cols = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(doc_text).cast("string").alias("text"))
 
     def searched(block: list[tuple[int | None, str]]) -> DataFrame:
         shared = spark.sparkContext.broadcast(block)
 
+        @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = Items(shared.value)
             for b in batches:

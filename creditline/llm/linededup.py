@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditline.llm.common import IdFilter, hash_words, shingles, span_hashes, stored
+from creditline.llm.common import IdFilter, hash_words, shingles, small_batches, span_hashes, stored, tidy
 
 LINE = 8
 WINDOW = 42
@@ -268,6 +268,7 @@ def _links(table: DataFrame, min_words: int) -> DataFrame:
     many = stored(many.groupBy("doc_id").agg(F.collect_set("line").alias("lines")), "many")
     texts = IdFilter(many, "doc_id").split(table.select("doc_id", "z"), "doc_id", True)
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
         for b in batches:
@@ -313,10 +314,12 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
     """
     if min_words < LINE + WINDOW - 1:
         raise ValueError(f"min_words must be at least {LINE + WINDOW - 1}")
+    small_batches(docs.sparkSession)
     cols = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                        F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)] or [F.lit(True).alias("none")]).alias("kept"))
     kept_type = cols.schema["kept"].dataType.simpleString()
 
+    @tidy
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for b in batches:
@@ -340,8 +343,8 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
     aligned = later.split(own, "doc_id", True).unionByName(partners)
     aligned = aligned.repartition("doc_id").sortWithinPartitions("doc_id", F.col("first").asc_nulls_first())
     result = f"{RESULT}, kept {kept_type}"
-    alone = later.split(own, "doc_id", False).mapInArrow(_unchanged, result)
-    return aligned.mapInArrow(lambda it: _align(it, min_words), result).unionByName(alone)
+    alone = later.split(own, "doc_id", False).mapInArrow(tidy(_unchanged), result)
+    return aligned.mapInArrow(tidy(lambda it: _align(it, min_words)), result).unionByName(alone)
 
 
 def _text(z: bytes | None, press: zstandard.ZstdDecompressor) -> bytes | None:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from creditline.llm.common import stored
+from creditline.llm.common import small_batches, stored, tidy
 from creditline.llm.tokens import tokenizer, vocabulary
 
 LENGTH = 1024
@@ -162,6 +162,7 @@ def encode(docs: DataFrame, path: str, max_queues: int = MAX_QUEUES, queue_col:
     cols = docs.select(queue.alias("queue"), F.col("doc_id").cast("bigint").alias("doc_id"),
                        F.col("text").cast("string").alias("text"), source.alias("source"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, t = TaskContext.get().partitionId(), tokenizer(path)
         end = np.array([END_ID], np.uint16).tobytes()
@@ -197,6 +198,7 @@ def pack(docs: DataFrame, path: str | None = None, targets: dict[str, float] | N
     an empty result.  Columns other than doc_id, text and source are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     kind = PIECES + (", ids binary" if with_ids else "")
     table = encode(docs, path or vocabulary(), max_queues, targets=targets)
     sums = table.groupBy("queue", "part").agg(F.sum("n").alias("n"))
@@ -213,6 +215,7 @@ def pack(docs: DataFrame, path: str | None = None, targets: dict[str, float] | N
         "queue", "doc_id", "n", (F.col("place") + F.col("before")).alias("place"), "ids", "source")
     shared = spark.sparkContext.broadcast(plan)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer.cache_clear()  # this worker may have encoded before; its cache is not needed any more
         plan = shared.value

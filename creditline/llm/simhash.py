@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditline.llm.common import components, key_runs, stored
+from creditline.llm.common import components, key_runs, stored, small_batches, tidy
 
 #: Generator polynomial of the binary Golay code, segment sizes.
 GOLAY = 0b101011100011
@@ -183,7 +183,9 @@ def _links(batches: Iterator[pa.RecordBatch], bits: int, small: int = 6) -> Iter
 
 def fingerprints(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp BIGINT) per row; null texts are empty."""
+    small_batches(docs.sparkSession)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t or "", size) for t in b.column(1).to_pylist()], np.uint64)
@@ -208,6 +210,7 @@ def simhash_components(docs: DataFrame, size: int = 4, bits: int = MAX_BITS,
     rows = stored(fingerprints(docs, size, id_col, text_col), "fingerprints")
     distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
 
+    @tidy
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 2048):
@@ -217,7 +220,7 @@ def simhash_components(docs: DataFrame, size: int = 4, bits: int = MAX_BITS,
 
     keys = distinct.select("fp").mapInArrow(send, "key bigint, fp bigint")
     keys = keys.repartition(F.shiftright("key", 1)).sortWithinPartitions("key")
-    links = keys.mapInArrow(lambda it: _links(it, bits), "a bigint, b bigint")
+    links = keys.mapInArrow(tidy(lambda it: _links(it, bits)), "a bigint, b bigint")
     roots = components(links)
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     named = named.withColumn("root", F.coalesce("root", "fp"))

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditline.llm.common import hash_words, mix, span_hashes, stored
+from creditline.llm.common import hash_words, mix, small_batches, span_hashes, stored, tidy
 
 MIN_WORDS = 20
 #: Suffixes that one task sorts at once.
@@ -173,6 +173,7 @@ def plan(docs: DataFrame, size: int, group: int, sample: int) -> tuple[int, list
     fit a group).  The lists have at most one entry for ``group`` suffixes of a level."""
     levels = [x for x in LEVELS if x < size]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, size):
             took = mix(b.keys.view(np.uint64)[b.row] + b.start.astype(np.uint64)) % np.uint64(sample) == 0
@@ -202,10 +203,12 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, group: int = GR
     read; an empty table gives an empty result.  ``group`` and ``sample`` only place the work."""
     cols = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).alias("key"),
                        F.col("text").cast("string").cast("binary").alias("text"))
+    small_batches(docs.sparkSession)
     n_groups, heavy = plan(cols, min_words, group, sample)
     levels = [*[x for x in LEVELS if x < min_words], min_words]
     heavy = [*heavy, np.empty(0, np.uint64)]
 
+    @tidy
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for b in blocks(batches, min_words):
@@ -234,6 +237,7 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, group: int = GR
             if out:
                 yield _batch(out)
 
+    @tidy
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows in the order of their groups: leaves of a group, or starts already known to be repeats of a
         part of the documents; out come such starts."""
@@ -285,6 +289,7 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, group: int = GR
     both = both.withColumn("last", F.col("starts").isNull())
     both = both.repartition("part").sortWithinPartitions("part", "last")
 
+    @tidy
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows in the order of parts, the starts of the part's repeated windows before its documents."""
         press = zstandard.ZstdDecompressor()

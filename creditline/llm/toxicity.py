@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditline.llm.common import CACHE_WORDS, stored
+from creditline.llm.common import CACHE_WORDS, small_batches, stored, tidy
 from creditline.llm.decontam import plain, words_of
 
 MAX_LABELLED = 12_000
@@ -138,6 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     sample = stored(texts.join(F.broadcast(marked), "doc_id").select((F.col("toxic") > 0).alias("toxic"), "doc_id", "text"), "labelled")
 
+    @tidy
     def list_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for text in b.column(0).to_pylist():
@@ -148,6 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     rows = counts.where(F.col("count") >= MIN_DOCS).orderBy(F.desc("count"), "feature").limit(MAX_CANDIDATES).collect()
     candidates = {r["feature"]: i for i, r in enumerate(rows)}
 
+    @tidy
     def count_clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(len(candidates), np.int64)
         for b in batches:
@@ -167,6 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     names = [rows[c]["feature"] for c in chosen]
     number = {f: i for i, f in enumerate(names)}
 
+    @tidy
     def list_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, telling = [], []
@@ -193,9 +196,11 @@ def score(docs: DataFrame, model: Model, reject: float = REJECT, id_col: str = "
     Whole texts are scored; null and empty texts like any text without telling
     words.  Repeated rows are scored alike, a null id is kept, an empty table
     gives an empty result; columns other than id and text are not read."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     cols = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _WordScores(shared.value)
         for b in batches:
@@ -212,9 +217,11 @@ def score(docs: DataFrame, model: Model, reject: float = REJECT, id_col: str = "
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, reject: float = REJECT) -> DataFrame:
     """``docs`` without the rows that the model fitted on ``labels`` finds toxic."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     at = docs.columns.index("text")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _WordScores(shared.value)
         for b in batches:

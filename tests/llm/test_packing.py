@@ -55,6 +55,19 @@ def check(rows, docs, full, length=1024):
     return seqs
 
 
+def test_special_strings_split_a_text():
+    import random
+
+    import tokenizers
+
+    full = tokenizers.Tokenizer.from_file(f"{vocabulary()}.json")
+    rng, parts = random.Random(4), ["<|endoftext|>", "<|endoftext", "|>", " ", "  ", "\n", "a word", "é😀", " x", "<|endoftext|><|endoftext|>", "<", "'s"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 12))) for _ in range(300)]
+    want = [full.encode(t, add_special_tokens=False).ids for t in texts]
+    encoder = tokenizer(vocabulary())
+    assert [np.frombuffer(encoder.encode(t), np.uint16).tolist() for t in texts] == want
+
+
 def test_query_round_trip(spark, full):
     rows = queries.op9_packing(spark, SMALL).collect()
     check(rows, {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}, full)

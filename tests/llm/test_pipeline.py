@@ -74,7 +74,7 @@ def test_run_equals_stages(spark, stages):
 def test_registered():
     names = set(entry.queries())
     assert {"pipeline", *queries.QUERIES} <= names
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
 
 
 def test_components_of_a_long_chain_a_star_and_loops(spark):
