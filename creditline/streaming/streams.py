@@ -3,9 +3,13 @@
 * N1 ``stream_dedup``: watermark + ``dropDuplicatesWithinWatermark``.  The
   survivor is the first row to *arrive*, not the smallest event_id as in the
   batch dedup: a stream cannot wait for a smaller id that may never come.
+  ``stream_dedup_smallest`` waits instead: it gives the batch survivor once the
+  watermark has passed the touch.
 * N2 ``stream_pairs``: stream-stream inner join on user_id with the lookback
   range as the time constraint; both sides are watermarked so join state is
   bounded by the lookback (use the RocksDB state store at scale).
+  ``stream_unattributed`` is its left outer counterpart (D8): orders without an
+  eligible touch, once no touch of theirs can arrive any more.
 * N3 ``campaign_monitor`` / ``user_sessions``: tumbling/sliding windows per
   channel and session windows per user, append mode.
 * N4 ``incremental_daily_mart``: ``foreachBatch`` that re-aggregates only the
@@ -59,6 +63,51 @@ def stream_dedup(
     return out.withColumn(ts, F.col(ts).cast("timestamp_ntz"))
 
 
+def stream_dedup_smallest(
+    touches: DataFrame,
+    watermark: str = "1 hour",
+    keys: Sequence[str] = ("user_id", "event_timestamp", "channel"),
+    ts: str = "event_timestamp",
+    order: str = "event_id",
+) -> DataFrame:
+    """One touch per duplicate key, the one with the smallest ``order``, as the batch dedup keeps.
+
+    An aggregate in append mode: state holds one row per key, and a key is emitted, and its state
+    dropped, when the watermark passes its time.  Copies that arrive within the watermark may come in any order.
+    Touches without a time are never emitted."""
+    if ts not in keys:
+        raise ValueError("the event time must be one of the keys, as it ends their state")
+    rest = [c for c in touches.columns if c not in keys and c != order]
+    survivor = F.min(F.struct(F.col(order), *[F.col(c) for c in rest])).alias("_s")
+    out = _event_time(touches, ts).withWatermark(ts, watermark).groupBy(*keys).agg(survivor)
+    return out.select(*[(F.col(ts).cast("timestamp_ntz").alias(ts) if c == ts else F.col(c) if c in keys else F.col(f"_s.{c}").alias(c)) for c in touches.columns])
+
+
+def stream_unattributed(
+    touches: DataFrame,
+    conversions: DataFrame,
+    lookback_days: int = LOOKBACK_DAYS,
+    touch_watermark: str | None = None,
+    conversion_watermark: str = "1 day",
+) -> DataFrame:
+    """Orders without an eligible touch (D8 on a stream): a left outer stream-stream join whose unmatched
+    rows come out once, when both watermarks rule out any touch of theirs.
+
+    State is bounded by the lookback; at scale use the RocksDB state store
+    (``spark.sql.streaming.stateStore.providerClass``)."""
+    tw = touch_watermark or f"{lookback_days + 1} days"
+    t = touches.select(F.col("user_id").alias("_t_user"), F.col("event_timestamp").cast("timestamp").alias("touchpoint_ts")).withWatermark("touchpoint_ts", tw)
+    c = conversions.select("user_id", "conversion_id", F.col("converted_at").cast("timestamp").alias("conversion_ts"), "order_value_usd")
+    c = c.withWatermark("conversion_ts", conversion_watermark)
+    cond = (
+        (F.col("user_id") == F.col("_t_user"))
+        & (F.col("touchpoint_ts") <= F.col("conversion_ts"))
+        & (F.col("touchpoint_ts") >= F.col("conversion_ts") - F.expr(f"INTERVAL {int(lookback_days)} DAYS"))
+    )
+    return c.join(t, cond, "leftOuter").where("touchpoint_ts is null").select(
+        "user_id", "conversion_id", F.col("conversion_ts").cast("timestamp_ntz").alias("conversion_ts"), "order_value_usd")
+
+
 def stream_pairs(
     touches: DataFrame,
     conversions: DataFrame,

@@ -2,6 +2,7 @@
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from creditline.plans.pipeline import Pipeline
@@ -92,3 +93,56 @@ def test_incremental_daily_mart(spark):
     got = {(str(r.day), r.channel): r.touches for r in spark.read.parquet(mart).collect()}
     want = {(str(r.day), r.channel): r.touches for r in streams.daily_channel_aggregate(p.touches).collect()}
     assert got == want
+
+
+def test_smallest_survivor_in_any_order_of_arrival(spark):
+    """Copies arrive shuffled within the watermark; the survivors are those of the batch dedup."""
+    p = Pipeline(spark, SMALL)
+    src, out = _scratch(spark, "shuffled-src"), _scratch(spark, "smallest-out")
+    hour = F.floor(F.unix_seconds(F.col("event_timestamp").cast("timestamp")) / 86_400)
+    rows = p.touches.withColumn("_d", hour).withColumn("_part", F.ntile(3).over(Window.orderBy("_d", F.xxhash64("event_id")))).drop("_d")
+    for i in (1, 2, 3):
+        rows.where(F.col("_part") == i).drop("_part").coalesce(1).write.mode("append").parquet(src)
+    schema = spark.read.parquet(src).schema
+    q = streams.start(streams.stream_dedup_smallest(streams.touch_stream(spark, src, schema, 1), "3 days"), f"small_{uuid.uuid4().hex[:6]}", out)
+    q.awaitTermination(300)
+    got = spark.read.parquet(out)
+    last = p.touches.agg(F.max("event_timestamp")).first()[0]
+    done = p.deduped.where(F.col("event_timestamp") < F.lit(last) - F.expr("INTERVAL 3 DAYS"))
+    key = ["user_id", "event_timestamp", "channel", "event_id"]
+    assert got.count() == got.dropDuplicates(key).count() and got.count() > 100
+    assert got.select(*key).subtract(p.deduped.select(*key)).count() == 0
+    assert done.select(*key).subtract(got.select(*key)).count() == 0
+
+
+def test_unattributed_orders_come_once_across_a_restart(spark):
+    from datetime import datetime, timedelta
+    from decimal import Decimal
+
+    t0 = datetime(2024, 1, 1)
+    tsrc, csrc, out = (_scratch(spark, x) for x in ("un-touch", "un-conv", "un-out"))
+    touch, order = "user_id bigint, event_timestamp timestamp_ntz", "user_id bigint, conversion_id bigint, converted_at timestamp_ntz, order_value_usd decimal(18,2)"
+
+    def feed(day, touches, orders):
+        at = t0 + timedelta(days=day)
+        spark.createDataFrame([(u, at) for u in touches], touch).coalesce(1).write.mode("append").parquet(tsrc)
+        spark.createDataFrame([(u, i, at + timedelta(hours=1), Decimal("5.00")) for u, i in orders], order).coalesce(1).write.mode("append").parquet(csrc)
+
+    name = f"un_{uuid.uuid4().hex[:6]}"
+
+    def run():
+        t = spark.readStream.schema(touch).parquet(tsrc)
+        c = spark.readStream.schema(order).parquet(csrc)
+        streams.start(streams.stream_unattributed(t, c, 2, "3 days", "1 day"), name, out).awaitTermination(300)
+        return sorted(r.conversion_id for r in spark.read.schema("conversion_id bigint").parquet(out).collect())
+
+    feed(0, [1, 9], [(1, 10), (2, 20)])
+    feed(3, [9], [(1, 11)])
+    assert run() == []  # touches for them could still arrive
+    feed(30, [9], [(9, 90)])
+    feed(31, [9], [(9, 91)])
+    run()
+    feed(60, [9], [(9, 92)])
+    run()
+    feed(61, [9], [(9, 93)])
+    assert run() == [11, 20]  # order 11's touch lies beyond the lookback; each once, over four runs of one checkpoint
