@@ -103,18 +103,20 @@ def packed(press: zstandard.ZstdCompressor, path: np.ndarray, ids: np.ndarray, k
     used, row = np.unique(row, return_inverse=True)
     step = np.diff(path, prepend=np.uint64(0))
     head = np.array([len(used), len(row), len(path)], "<i8").tobytes()
-    return press.compress(b"".join([head, ids[used].tobytes(), keys[used].tobytes(), _bytes(step), _bytes(row.astype(np.uint32)), _bytes(start.astype(np.uint32))]))
+    names = [_bytes(np.diff(ids[used], prepend=0)), _bytes(keys[used].astype(np.int32))]
+    return press.compress(b"".join([head, *names, _bytes(step), _bytes(row.astype(np.uint32)), _bytes(start.astype(np.uint32))]))
 
 
 def unpacked(press: zstandard.ZstdDecompressor, data: bytes) -> tuple[np.ndarray, ...]:
     raw = press.decompress(data)
     m, n, paths = np.frombuffer(raw, "<i8", 3).tolist()
     at, out = 24, []
-    for size in (8 * m, 8 * m, 8 * paths, 4 * n, 4 * n):
+    for size in (8 * m, 4 * m, 8 * paths, 4 * n, 4 * n):
         out.append(raw[at : at + size])
         at += size
     row = _values(out[3], np.uint32)
-    return np.cumsum(_values(out[2], np.uint64)), np.frombuffer(out[0], np.int64), np.frombuffer(out[1], np.int64), row, _values(out[4], np.uint32)
+    ids, keys = np.cumsum(_values(out[0], np.int64)), _values(out[1], np.int32).astype(np.int64)
+    return np.cumsum(_values(out[2], np.uint64)), ids, keys, row, _values(out[4], np.uint32)
 
 
 def _same(*columns: np.ndarray) -> np.ndarray:
@@ -198,10 +200,10 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, group: int = GR
 
     Words lie between ASCII white space; a null text is empty.  Rows with equal doc_ids are one another's "same
     document": of equal windows the one that starts earlier is kept, and both are if they start alike, so
-    repeated rows have equal results.  Rows with a null id lose nothing and take nothing away.  Texts are
+    repeated rows have equal results.  (Rows of one id are told apart by 32 bits of their text's hash.)  Rows with a null id lose nothing and take nothing away.  Texts are
     processed whole; a text with fewer words has no window.  Columns other than doc_id and text are not
     read; an empty table gives an empty result.  ``group`` and ``sample`` only place the work."""
-    cols = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).alias("key"),
+    cols = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).cast("int").cast("bigint").alias("key"),
                        F.col("text").cast("string").cast("binary").alias("text"))
     small_batches(docs.sparkSession)
     n_groups, heavy = plan(cols, min_words, group, sample)
@@ -283,7 +285,16 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, group: int = GR
 
     dealt = cols.mapInArrow(deal, DEALT).repartition("part").sortWithinPartitions("part").mapInArrow(subtrees, DEALT)
     found = stored(dealt.select("part", F.col("leaves").alias("starts")), "repeats")
+
+    @tidy
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            z = [None if t is None else press.compress(t) for t in b.column(3).to_pylist()]
+            yield b.set_column(3, "text", pa.array(z, pa.binary()))
+
     texts = cols.select(F.pmod("key", F.lit(n_groups).cast("bigint")).alias("part"), "doc_id", "key", "text")
+    texts = texts.mapInArrow(squeeze, texts.schema)  # shuffled, so compressed
     none = {c: F.lit(None).cast(t) for c, t in (("doc_id", "bigint"), ("key", "bigint"), ("text", "binary"))}
     both = texts.withColumn("starts", F.lit(None).cast("binary")).unionByName(found.withColumns(none))
     both = both.withColumn("last", F.col("starts").isNull())
@@ -307,7 +318,8 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, group: int = GR
                     continue
                 if starts is None:
                     starts, packs = Starts([unpacked(press, x) for x in packs]), []
-                words = (texts[i].as_py() or b"").split()
+                z = texts[i].as_py()
+                words = press.decompress(z).split() if z else []
                 spans: list[dict] = []
                 kept, n = words, 0
                 at = starts.of(doc, keys[i]) if doc is not None else ()
