@@ -203,7 +203,7 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, group: int = GR
     repeated rows have equal results.  (Rows of one id are told apart by 32 bits of their text's hash.)  Rows with a null id lose nothing and take nothing away.  Texts are
     processed whole; a text with fewer words has no window.  Columns other than doc_id and text are not
     read; an empty table gives an empty result.  ``group`` and ``sample`` only place the work."""
-    cols = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).cast("int").cast("bigint").alias("key"),
+    cols = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.shiftright(F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string")), 32).alias("key"),
                        F.col("text").cast("string").cast("binary").alias("text"))
     small_batches(docs.sparkSession)
     n_groups, heavy = plan(cols, min_words, group, sample)
