@@ -10,8 +10,8 @@ without passing state between tasks.  The served tokens, in order of (round,
 queue), are cut into sequences of ``length`` tokens.  The last, incomplete
 window becomes sequences of lengths that are powers of two, so nothing is padded.
 
-Only per-partition totals by queue are shuffled; token ids are written once to
-the shared folder and never shuffled.
+Only per-partition totals by queue are shuffled (beyond MAX_OFFSETS rows of them, the ids too); token ids are written once to
+the shared folder.
 """
 
 from __future__ import annotations
