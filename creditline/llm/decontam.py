@@ -17,6 +17,7 @@ block is searched in all documents, so documents are never shuffled.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditline.llm.common import hash_words, shingles, small_batches, tidy
+from creditline.llm.common import hash_words, shingles, small_batches, stored, tidy
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -188,9 +189,18 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows whose doc_id is contaminated (rows with a null id are kept)."""
-    bad = contaminated(docs, items, threshold).select("doc_id").where("doc_id is not null").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    """``docs`` without the rows whose text holds an item.
+
+    Rows are judged by their text, known by a 64-bit hash of id and text: of
+    rows that share an id only those go that hold an item; rows with a null id
+    are kept.  The hashes found are written first, so that Spark knows their
+    size and moves the documents only where they are too many to send."""
+    row = F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    known = docs.where("doc_id is not null").select(row.alias("row"), F.col("text"))
+    found = contaminated(known, items, threshold, doc_id="row")
+    mark = f"row_{uuid.uuid4().hex}"
+    bad = stored(found.select(F.col("doc_id").alias(mark)).distinct(), "contaminated")
+    return docs.withColumn(mark, F.when(F.col("doc_id").isNotNull(), row)).join(bad, mark, "left_anti").select(docs.columns)
 
 
 _MARKS = "!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~"

@@ -182,17 +182,18 @@ def _links(batches: Iterator[pa.RecordBatch], bits: int, small: int = 6) -> Iter
 
 
 def fingerprints(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp BIGINT) per row; null texts are empty."""
+    """(doc_id, same, fp BIGINT) per row, ``same`` a hash of the text; null texts are empty to fp."""
     small_batches(docs.sparkSession)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t or "", size) for t in b.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(t or "", size) for t in b.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "same", "fp"])
 
-    cols = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return cols.mapInArrow(run, "doc_id bigint, fp bigint")
+    text = F.col(text_col).cast("string")
+    cols = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("same"), text.alias("text"))
+    return cols.mapInArrow(run, "doc_id bigint, same bigint, fp bigint")
 
 
 def simhash_components(docs: DataFrame, size: int = 4, bits: int = MAX_BITS,
@@ -205,6 +206,13 @@ def simhash_components(docs: DataFrame, size: int = 4, bits: int = MAX_BITS,
     has a null id).  An empty table gives an empty result.  Other columns,
     whatever their names, are not read.
     """
+    return _classes(docs, size, bits, id_col, text_col).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def _classes(docs: DataFrame, size: int, bits: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, same, fp, component_id) per row."""
     if not 0 <= bits <= MAX_BITS:
         raise ValueError(f"bits must be between 0 and {MAX_BITS}")
     rows = stored(fingerprints(docs, size, id_col, text_col), "fingerprints")
@@ -226,16 +234,21 @@ def simhash_components(docs: DataFrame, size: int = 4, bits: int = MAX_BITS,
     named = named.withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = named.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return rows.join(classes, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    return rows.join(classes, "fp")
 
 
 def near_dedup(docs: DataFrame, size: int = 4, bits: int = MAX_BITS) -> DataFrame:
-    """Keep one row of each component: the one with its smallest doc_id (of
-    rows that repeat this id, one; rows with a null id are kept)."""
-    gone = simhash_components(docs, size, bits).where("doc_id <> component_id").select("doc_id").distinct()
-    own = f"row_{uuid.uuid4().hex}"
-    kept = docs.join(gone, "doc_id", "left_anti")
+    """Keep one row of each component: the one with its smallest doc_id.
+
+    Decisions are about rows, not ids: of rows that share an id, each is judged
+    by its own text (known by a 64-bit hash beside the id).  Where several rows
+    of a component have its smallest id, the text of the smallest hash stays,
+    once; rows with a null id are kept."""
+    rows = stored(_classes(docs, size, bits).where("doc_id is not null").select("doc_id", "same", "component_id"), "classes")
+    first = rows.where("doc_id = component_id").groupBy("component_id").agg(F.min("same").alias("stays"))
+    gone = rows.join(first, "component_id").where("doc_id <> component_id or same <> stays").select("doc_id", "same").distinct()
+    same, own = f"same_{uuid.uuid4().hex}", f"row_{uuid.uuid4().hex}"
+    kept = docs.withColumn(same, F.xxhash64(F.col("text").cast("string")))
+    kept = kept.join(gone.withColumnRenamed("same", same), ["doc_id", same], "left_anti")
     kept = kept.withColumn(own, F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
-    return kept.dropDuplicates(["doc_id", own]).drop(own)
+    return kept.dropDuplicates(["doc_id", same, own]).select(docs.columns)

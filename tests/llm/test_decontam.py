@@ -61,6 +61,14 @@ def test_sizes_edits_ties_and_edge_rows(spark, make):
     assert kept == {d for d, _ in docs if d is None or d not in {g[0] for g in got}}
 
 
+def test_rows_that_share_an_id_are_judged_by_their_own_text(spark, make):
+    bench = spark.createDataFrame([(1, "a b c d e f", "x")], ITEMS)
+    docs = make([(1, "a b c d e f and more"), (1, "a clean text"), (1, None), (2, "a clean text"), (None, "a b c d e f")])
+    kept = sorted(((r.doc_id, r.text) for r in decontaminate(docs, bench).collect()), key=repr)
+    assert kept == sorted([(1, "a clean text"), (1, None), (2, "a clean text"), (None, "a b c d e f")], key=repr)
+    assert decontaminate(docs, bench).columns == docs.columns
+
+
 def test_empty_tables(spark, make):
     bench = spark.createDataFrame([(1, "a b c d e f", "x")], ITEMS)
     assert contaminated(make([]), bench).collect() == []

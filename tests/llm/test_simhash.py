@@ -117,3 +117,10 @@ def test_one_document_of_a_group_stays(spark, make):
 def test_empty_table(spark, make):
     assert simhash_components(make([])).collect() == []
     assert near_dedup(make([])).collect() == []
+
+
+def test_rows_that_share_an_id_are_judged_by_their_own_text(spark, make):
+    a, b, c = "the first text of all words here", "something else entirely, kept for good", "a third one that nobody repeats at all"
+    docs = make([(1, a), (2, a), (2, b), (2, b), (3, c), (3, b), (None, a), (None, a)])
+    kept = sorted(((r.doc_id, r.text) for r in near_dedup(docs).collect()), key=repr)
+    assert kept == sorted([(1, a), (2, b), (3, c), (None, a), (None, a)], key=repr)
