@@ -1,7 +1,7 @@
 """Main text of web pages by site template removal.
 
-A page is parsed once into blocks of text, each with the hashes of the element
-subtrees that enclose it.  Spark counts each subtree per host, once per distinct
+A page is parsed once into blocks of text and the hashes of its element
+subtrees, each with the run of blocks it encloses.  Spark counts each subtree per host, once per distinct
 page content, so that copies of one page do not make a template of its article.
 Subtrees that stand on many pages of their host are template and are deleted
 with all they hold.  Regions that HTML itself or their class names mark as no
@@ -22,6 +22,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -60,6 +61,7 @@ ENDS = {
     "tfoot": (frozenset({"thead", "tbody", "tfoot"}), frozenset({"table"})),
     "option": (frozenset({"option"}), frozenset({"select", "datalist"})), "body": (frozenset({"head"}), frozenset()),
 }
+SPANS = pa.list_(pa.struct([("subtree", pa.int64()), ("first", pa.int32()), ("until", pa.int32())]))
 #: Words of class and id attributes that mark what is no part of the article.
 MARKS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar footer header masthead banner cookie cookies consent notice gdpr "
@@ -188,9 +190,12 @@ def host_of(url: str | None) -> str:
     return (m[1] or m[2] or "").lower().rstrip(".") if m else ""
 
 
-def page_blocks(page: str) -> tuple[list[str], list[list[int]], list[int]]:
-    """The article's text blocks, for each the hashes of the subtrees around it that may
-    be template, and the hashes of all subtrees of the page that may be."""
+def page_blocks(page: str) -> tuple[list[str], list[tuple[int, int, int]], list[int]]:
+    """The article's text blocks; the subtrees of the article that may be template, as
+    (hash, first block, end of blocks); and the hashes of all subtrees of the page that may be.
+
+    Blocks come in page order, so those of a subtree stand together: a page
+    takes memory in proportion to its elements, however deep they are nested."""
     root = parse(page)
     order = _annotate(root)
     roots = _article(root)
@@ -213,25 +218,27 @@ def page_blocks(page: str) -> tuple[list[str], list[list[int]], list[int]]:
 
     subtrees = {k for n in order if (k := template_key(n)) is not None}
     blocks: list[str] = []
-    marks: list[list[int]] = []
+    spans: list[tuple[int, int, int]] = []
     text: list[str] = []
 
-    def flush(above: list[int]) -> None:
+    def flush() -> None:
         block = " ".join("".join(text).split())
         text.clear()
         if block:
             blocks.append(block)
-            marks.append(list(above))
 
     for r in roots:
-        stack: list[tuple[Node, int, list[int]]] = [(r, 0, [])]
+        # (element, its next part, the hash if it may be template, blocks before it)
+        stack: list[tuple[Node, int, int | None, int]] = [(r, 0, None, len(blocks))]
         while stack:
-            node, i, above = stack.pop()
+            node, i, key, first = stack.pop()
             if i == len(node.parts):
                 if node.tag in BLOCKS or node.tag == "#page":
-                    flush(above)
+                    flush()
+                if key is not None and len(blocks) > first:
+                    spans.append((key, first, len(blocks)))
                 continue
-            stack.append((node, i + 1, above))
+            stack.append((node, i + 1, key, first))
             part = node.parts[i]
             if isinstance(part, str):
                 text.append(html.unescape(part))
@@ -239,15 +246,21 @@ def page_blocks(page: str) -> tuple[list[str], list[list[int]], list[int]]:
                 text.append(" ")
             elif dropped(part) and not (part.main and part.tag not in ("article", "main")) :
                 if part.tag in BLOCKS:
-                    flush(above)
+                    flush()
             else:
                 if part.tag in BLOCKS:
-                    flush(above)
-                key = template_key(part)
-                here = above if key is None else above + [key]
-                stack.append((part, 0, here))
-        flush([])
-    return blocks, marks, sorted(subtrees)
+                    flush()
+                stack.append((part, 0, template_key(part), len(blocks)))
+        flush()
+    return blocks, spans, sorted(subtrees)
+
+
+def outside(blocks: int, first: list[int], end: list[int]) -> np.ndarray:
+    """Which of so many blocks no span [first, end) covers."""
+    step = np.zeros(blocks + 1, np.int64)
+    np.add.at(step, first, 1)
+    np.add.at(step, end, -1)
+    return np.cumsum(step)[:-1] == 0
 
 
 def _article(root: Node) -> list[Node]:
@@ -285,8 +298,9 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     repeated ids are kept, repeated pages each give their row.  Character
     references are decoded, white space inside a block becomes one space,
     blocks are joined in page order by one space.  Markup that ends early is
-    closed at the end.  An empty table gives an empty result; other columns
-    are not read."""
+    closed at the end.  Long pages are read whole, and deep ones take memory in
+    proportion to their length.  An empty table gives an empty result; other
+    columns are not read."""
     cols = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"),
                         F.col(html_col).cast("string").alias("html"), F.monotonically_increasing_id().alias("row"))
 
@@ -295,34 +309,43 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
             for i in range(0, b.num_rows, 500):
                 c = b.slice(i, 500)
                 found = [page_blocks(h or "") for h in c.column(2).to_pylist()]
-                signed = [[[_signed(h) for h in m] for m in f[1]] for f in found]
+                spans = [[{"subtree": _signed(h), "first": a, "until": e} for h, a, e in f[1]] for f in found]
                 yield pa.RecordBatch.from_arrays(
                     [c.column(0), c.column(1), c.column(3), pa.array([host_of(u) for u in c.column(1).to_pylist()], pa.string()),
                      pa.array([_signed(xxhash.xxh64_intdigest(" ".join(f[0]).encode("utf-8", "surrogatepass"))) for f in found], pa.int64()),
                      pa.array([f[0] for f in found], pa.list_(pa.string())),
-                     pa.array(signed, pa.list_(pa.list_(pa.int64()))),
+                     pa.array(spans, SPANS),
                      pa.array([[_signed(h) for h in f[2]] for f in found], pa.list_(pa.int64()))],
-                    names=["page_id", "url", "row", "host", "content", "blocks", "marks", "subtrees"])
+                    names=["page_id", "url", "row", "host", "content", "blocks", "spans", "subtrees"])
 
     table = stored(cols.mapInArrow(
         run, "page_id bigint, url string, row bigint, host string, content bigint, blocks array<string>, "
-             "marks array<array<bigint>>, subtrees array<bigint>"), "pages")
+             "spans array<struct<subtree:bigint,first:int,until:int>>, subtrees array<bigint>"), "pages")
     seen = table.select("host", "content", F.explode("subtrees").alias("subtree")).distinct()
     least = F.when(F.col("subtree").bitwiseAND(1) == 1, max(min_pages, PROSE_PAGES)).otherwise(min_pages)
     counts = seen.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= least)
     hosts = table.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
     share = F.least(min_share * F.col("host_pages"), F.lit(float(MANY_PAGES)))
     template = counts.join(hosts, "host").where(F.col("pages") >= share).select("host", "subtree")
-    used = table.select("host", "row", F.explode(F.array_distinct(F.flatten("marks"))).alias("subtree"))
-    gone = used.join(template, ["host", "subtree"]).groupBy("row").agg(F.collect_set("subtree").alias("gone"))
+    used = table.select("host", "row", F.explode("spans").alias("span")).select("host", "row", "span.*")
+    gone = used.join(template, ["host", "subtree"]).groupBy("row").agg(F.collect_list(F.struct("first", "until")).alias("gone"))
     # only pages whose article holds subtrees that may be template are matched with their host's
-    plain = F.size(F.flatten("marks")) == 0
-    marked = table.where(~plain).join(gone, "row", "left")
-    kept = F.filter(F.arrays_zip("blocks", "marks"), lambda x: ~F.arrays_overlap(x["marks"], F.col("gone")))
-    cut = F.when(F.col("gone").isNull(), F.col("blocks")).otherwise(F.transform(kept, lambda x: x["blocks"]))
+    plain = F.size("spans") == 0
     whole = table.where(plain).select("page_id", "url", F.array_join("blocks", " ").alias("text"))
-    done = whole.unionByName(marked.select("page_id", "url", F.array_join(cut, " ").alias("text")))
-    return done.withColumn("n_chars", F.length("text").cast("bigint"))
+    marked = table.where(~plain).select("page_id", "url", "row", "blocks").join(gone, "row", "left")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = []
+            for blocks, spans in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if spans:
+                    stays = outside(len(blocks), [x["first"] for x in spans], [x["until"] for x in spans])
+                    blocks = [t for t, k in zip(blocks, stays.tolist(), strict=True) if k]
+                texts.append(" ".join(blocks))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+    marked = marked.select("page_id", "url", "blocks", "gone").mapInArrow(cut, "page_id bigint, url string, text string")
+    return whole.unionByName(marked).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def _signed(h: int) -> int:

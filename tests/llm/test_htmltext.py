@@ -1,8 +1,10 @@
 import html
+import random
 import re
+from collections import Counter
 
 from creditline.llm import queries
-from creditline.llm.htmltext import extract, host_of, page_blocks
+from creditline.llm.htmltext import extract, host_of, outside, page_blocks
 from tests.conftest import MEDIUM
 
 PAGES = "page_id bigint, url string, html string, row string, blocks string, gone string, host string"
@@ -90,3 +92,65 @@ def test_template_bar_does_not_grow_with_the_host(spark):
 
 def test_empty_table(spark):
     assert extract(spark.createDataFrame([], PAGES)).collect() == []
+
+
+def test_templates_against_a_recount_of_all_pages(spark):
+    """Random trees from few pieces, so that subtrees of all sizes recur: counted and cut on the trees themselves."""
+    rng = random.Random(8)
+
+    def tree(depth):
+        tag = rng.choice(("div", "section", "ul")) if depth else "p"
+        parts = [rng.choice(("sun", "sea", "sky", "salt", "sand", f"own {rng.random()}")) if not depth or rng.random() < 0.3 else tree(depth - 1)
+                 for _ in range(rng.randint(1, 3))]
+        return tag, tuple(parts)
+
+    def markup(node):
+        return node if isinstance(node, str) else f"<{node[0]}>{' '.join(map(markup, node[1]))}</{node[0]}>"
+
+    def subtrees(node):
+        return set() if isinstance(node, str) else {canon(node)}.union(*map(subtrees, node[1]))
+
+    def canon(node):  # neighbouring pieces of text are one
+        out = []
+        for p in node[1]:
+            if isinstance(p, str) and out and isinstance(out[-1], str):
+                out[-1] += " " + p
+            else:
+                out.append(p if isinstance(p, str) else canon(p))
+        return node[0], tuple(out)
+
+    def words(node, gone):
+        if isinstance(node, str):
+            return [node]
+        return [] if canon(node) in gone else [w for p in node[1] for w in words(p, gone)]
+
+    pool = [tree(rng.randint(0, 3)) for _ in range(40)]
+    pages = [(i, f"h{rng.choice('aab')}.example", [rng.choice(pool) if rng.random() < 0.6 else tree(2) for _ in range(4)]) for i in range(300)]
+    pages += [(1000 + i, host, body) for i, (_, host, body) in enumerate(pages[:30])]
+    df = spark.createDataFrame(
+        [(i, f"http://{h}/{i}", f"<html><body>{' '.join(map(markup, b))}</body></html>", "x", "x", "x", "x") for i, h, b in pages], PAGES)
+    got = {r.page_id: r.text for r in extract(df.repartition(5), min_pages=3, min_share=0.02).collect()}
+    cut = 0
+    for host in ("ha.example", "hb.example"):
+        distinct = {" ".join(w for n in b for w in words(n, ())): b for _, h, b in pages if h == host}
+        count = Counter(s for b in distinct.values() for s in set().union(*map(subtrees, b)))
+        gone = {s for s, n in count.items() if n >= 3 and n >= 0.02 * len(distinct)}
+        for i, h, b in pages:
+            if h == host:
+                assert got[i] == " ".join(w for n in b for w in words(n, gone)), i
+                cut += got[i] != " ".join(w for n in b for w in words(n, ()))
+    assert len(got) == len(pages) and 100 < cut
+
+
+def test_pages_of_deep_elements_take_linear_memory(spark):
+    deep = "<div>" * 100_000
+    blocks, spans, subtrees = page_blocks(f"<body>{deep}a</div>b{'</div>' * 99_999}<p>c</body>")
+    assert blocks == ["a", "b", "c"] and len(spans) == 100_001 == len(subtrees)
+    assert {(a, e) for _, a, e in spans} == {(0, 1), (0, 2), (2, 3)}
+    rows = [(i, "http://h/", f"<body>{deep}same{'</div>' * 100_000}<p>page {i}", "x", "x", "x", "x") for i in range(6)]
+    assert {r.page_id: r.text for r in extract(spark.createDataFrame(rows, PAGES)).collect()} == {i: f"page {i}" for i in range(6)}
+
+
+def test_blocks_outside_spans():
+    assert outside(5, [1, 1, 3], [2, 3, 4]).tolist() == [True, False, False, False, True]
+    assert outside(2, [], []).tolist() == [True, True] and outside(0, [], []).tolist() == []
