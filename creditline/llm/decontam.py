@@ -10,9 +10,10 @@ item is there), and is missed by all of the 40 one-row MinHash bands with a
 probability of 0.75^40 = 1e-5 (0.67^40 = 1e-7) at most.  Candidates are verified by
 exact containment of the item's shingles in the document's.
 
-The items are the query set: they are broadcast in blocks of a stated size
-(BLOCK_ITEMS items of together at most BLOCK_SHINGLES shingles) and every
-block is searched in all documents, so documents are never shuffled.
+The items are the query set: they are hashed once into a written table (shingle
+set and MinHash values), and broadcast in blocks of a stated size (BLOCK_ITEMS
+items of together at most BLOCK_SHINGLES shingles, 32 MB).  Every block is
+searched in all documents, so documents are never shuffled.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from creditline.llm.common import hash_words, shingles, small_batches, stored, t
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 40
-BLOCK_ITEMS = 4096
+BLOCK_ITEMS = 65_536
 BLOCK_SHINGLES = 4_000_000
 #: Documents of a batch are searched together up to this many bytes.
 GROUP_BYTES = 2_000_000
@@ -52,30 +53,48 @@ def words_of(text: str) -> list[str]:
     return [w.decode("utf-8", "surrogatepass") for w in plain(text).split()]
 
 
+def hashed(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(item_id, words per shingle, distinct shingles and their BANDS smallest products, 64-bit each) of the
+    items that hold words, in the shared folder."""
+    small_batches(items.sparkSession)
+    cols = items.select(F.col(id_col).cast("bigint").alias("item_id"), F.col(text_col).cast("string").alias("text"))
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = hash_words([plain(t.as_py() or "") for t in b.column(1)])
+            at = [i for i, w in enumerate(words) if len(w)]
+            sets = [np.unique(shingles(words[i], SHINGLE)) for i in at]
+            low = [np.array([(s * a).min() for a in _ODD], np.uint64) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(at, pa.int64())), pa.array([min(SHINGLE, len(words[i])) for i in at], pa.int32()),
+                 pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([x.tobytes() for x in low], pa.binary())],
+                names=["item_id", "size", "grams", "low"])
+
+    return stored(cols.mapInArrow(run, "item_id bigint, size int, grams binary, low binary"), "items")
+
+
 class Items:
-    """A block of benchmark items: shingle sets, and their MinHash values by shingle length and size class."""
+    """A block of hashed items, by shingle length and size class."""
 
-    def __init__(self, items: list[tuple[int | None, str]]):
-        self.ids, self.sets, index = [], [], {}
-        for item_id, text in items:
-            w = hash_words([plain(text)])[0]
-            if not len(w):
-                continue
-            s = np.unique(shingles(w, SHINGLE))
+    def __init__(self, items: list[tuple[int | None, int, bytes, bytes]]):
+        self.ids, index = [i[0] for i in items], {}
+        self.sets = [np.frombuffer(i[2], np.uint64) for i in items]
+        for at, (_, size, _, _) in enumerate(items):
             u = 1
-            while u < len(s):
+            while u < len(self.sets[at]):
                 u *= 2
-            index.setdefault((min(SHINGLE, len(w)), u), []).append(len(self.ids))
-            self.ids.append(item_id)
-            self.sets.append(s)
+            index.setdefault((size, u), []).append(at)
         self.classes = []
         for (size, u), members in sorted(index.items()):
-            sig = np.array([[(self.sets[i] * a).min() for a in _ODD] for i in members], np.uint64)
+            sig = np.array([np.frombuffer(items[i][3], np.uint64) for i in members])
+            # low bits of the values seen: 16 to 32 places for each member
+            mask = np.uint64((1 << max(16, len(members).bit_length() + 4)) - 1)
             bands = []
             for k in range(BANDS):
                 order = np.argsort(sig[:, k], kind="stable")
-                seen = np.zeros(1 << 16, bool)
-                seen[(sig[:, k] & np.uint64(0xFFFF)).astype(np.int64)] = True
+                seen = np.zeros(int(mask) + 1, bool)
+                seen[(sig[:, k] & mask).astype(np.int64)] = True
                 bands.append((sig[order, k], np.array(members)[order], seen))
             self.classes.append((size, u, bands))
 
@@ -102,7 +121,7 @@ class Items:
             for s in range(1, n_blocks):
                 np.minimum(window, low[s : len(low) - n_blocks + 1 + s], out=window)
             window = window[slots]
-            hit = np.flatnonzero(seen[(window & np.uint64(0xFFFF)).astype(np.int64)])
+            hit = np.flatnonzero(seen[(window & np.uint64(len(seen) - 1)).astype(np.int64)])
             if not len(hit):
                 continue
             a = np.searchsorted(sig, window[hit], "left")
@@ -126,15 +145,15 @@ class Items:
                     yield d, i, matched
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int | None, str]]]:
+def _blocks(items: DataFrame) -> Iterator[list[tuple[int | None, int, bytes, bytes]]]:
     block, size = [], 0
-    rows = items.select(F.col(id_col).cast("bigint"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    for item_id, text in rows.toLocalIterator():
-        if block and (len(block) >= BLOCK_ITEMS or size + len(text) // 2 > BLOCK_SHINGLES):
+    for row in items.toLocalIterator():
+        n = len(row["grams"]) // 8
+        if block and (len(block) >= BLOCK_ITEMS or size + n > BLOCK_SHINGLES):
             yield block
             block, size = [], 0
-        block.append((item_id, text))
-        size += len(text) // 2 + 1
+        block.append((row["item_id"], row["size"], bytes(row["grams"]), bytes(row["low"])))
+        size += n
     if block:
         yield block
 
@@ -146,14 +165,14 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
     An item of fewer words counts as one shingle of all its words; items and
     documents without words (null, empty) match nothing.  Repeated documents
-    or items each give rows of their own; null ids stay null.  Empty tables
-    give an empty result.  Other columns are not read.
+    or items each give rows of their own; null ids stay null.  Long texts are
+    searched whole.  Empty tables give an empty result.  Other columns are not read.
     """
     spark = docs.sparkSession
     small_batches(spark)
     cols = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(doc_text).cast("string").alias("text"))
 
-    def searched(block: list[tuple[int | None, str]]) -> DataFrame:
+    def searched(block: list[tuple[int | None, int, bytes, bytes]]) -> DataFrame:
         shared = spark.sparkContext.broadcast(block)
 
         @tidy
@@ -182,7 +201,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
         return cols.mapInArrow(run, RESULT)
 
-    parts = [searched(block) for block in _blocks(items, item_id, item_text)]
+    parts = [searched(block) for block in _blocks(hashed(items, item_id, item_text))]
     if not parts:
         return spark.createDataFrame([], RESULT)
     return reduce(DataFrame.unionAll, parts)

@@ -1,6 +1,6 @@
 import numpy as np
 
-from creditline.llm import queries
+from creditline.llm import decontam, queries
 from creditline.llm.decontam import contaminated, decontaminate, words_of
 from tests.conftest import MEDIUM
 
@@ -69,6 +69,19 @@ def test_rows_that_share_an_id_are_judged_by_their_own_text(spark, make):
     assert decontaminate(docs, bench).columns == docs.columns
 
 
+def test_blocks_change_nothing(spark, make, monkeypatch):
+    rng = np.random.default_rng(4)
+    items = [(i, " ".join(rng.choice(list("abcdefgh"), rng.integers(1, 9)))) for i in range(60)]
+    docs = [(i, " ".join(rng.choice(list("abcdefgh"), 300))) for i in range(12)]
+    bench = spark.createDataFrame([(i, t, "x") for i, t in items], ITEMS)
+    want = rows_of(contaminated(make(docs), bench))
+    assert want == brute(docs, items) and len(want) > 60
+    monkeypatch.setattr(decontam, "BLOCK_ITEMS", 25)
+    assert rows_of(contaminated(make(docs), bench)) == want
+    monkeypatch.setattr(decontam, "BLOCK_SHINGLES", 40)
+    assert rows_of(contaminated(make(docs), bench)) == want
+
+
 def test_empty_tables(spark, make):
     bench = spark.createDataFrame([(1, "a b c d e f", "x")], ITEMS)
     assert contaminated(make([]), bench).collect() == []
