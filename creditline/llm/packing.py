@@ -63,7 +63,9 @@ class Plan:
         self.names = sorted(totals)
         self.totals = np.array([totals[q] for q in self.names], np.int64)
         share = self.totals if targets is None else np.array([targets.get(q, 0.0) for q in self.names])
-        share = share / share.sum() if share.sum() else np.full(len(share), 1 / max(len(share), 1))
+        if not np.isfinite(share).all() or (share < 0).any() or not share.sum() > 0:
+            raise ValueError("targets must be shares of 0 or more, and name at least one of the sources")
+        share = share / share.sum()
         # a queue without a target is still drained, last and slowly
         self.quanta = np.maximum(share, 1e-9) * length
         self.length, self.grain = length, grain
@@ -191,7 +193,8 @@ def pack(docs: DataFrame, path: str | None = None, targets: dict[str, float] | N
 
     ``targets`` gives the sources' shares of every sequence; by default each
     source's share of all tokens, with which all queues run dry together.  When
-    a queue is empty, the others fill its room.  Beyond ``max_queues`` sources
+    a queue is empty, the others fill its room.  Targets that are negative, or
+    name none of the sources, are an error.  Beyond ``max_queues`` sources
     only those with a target and the largest have a queue of their own.  A null text is empty (its only
     token is the end token); a null source is the queue ''; a null doc_id is
     kept; repeated rows are packed as often as they come.  An empty table gives

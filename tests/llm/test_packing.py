@@ -142,3 +142,11 @@ def test_encoded_places_are_gapless(spark, make):
         for place, n in sorted(spans):
             assert place == at
             at += n
+
+
+def test_targets_must_name_a_source(spark, make):
+    docs = make([(1, "a b c", "web"), (2, "d e f", "code")])
+    for targets in ({"wbe": 1.0}, {"web": 0.0}, {"web": -1.0, "code": 2.0}, {}):
+        with pytest.raises(ValueError):
+            pack(docs, targets=targets)
+    assert pack(docs, targets={"web": 1.0, "absent": 1.0}).count() > 0
