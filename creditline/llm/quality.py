@@ -194,7 +194,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, train_on: Column, max_lab
 
     The network is fitted on labels(doc_id, quality) of the ids for which
     ``train_on`` (an expression of doc_id) holds.  Rows with a null id or label
-    are not used; of an id's several labels their majority counts (ties: 1).
+    are not used; of an id's several labels their majority counts (ties: 1),
+    and an id of several texts is one example.
     Null texts are empty; empty texts get the score of no tokens.  With labels
     of one value, or none, all scores are the labels' smoothed share of ones.
     Repeated rows are scored alike, null ids are kept, an empty table gives an
@@ -213,7 +214,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, train_on: Column, max_lab
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & train_on)
     marked = marked.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
     marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    rows = table.join(F.broadcast(marked), "doc_id").toArrow().sort_by([("doc_id", "ascending")])
+    examples = table.join(F.broadcast(marked), "doc_id").groupBy("doc_id", "quality").agg(F.min("x").alias("x"))
+    rows = examples.toArrow().sort_by([("doc_id", "ascending")])
     x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(-1, FEATURES).astype(np.float64)
     y = rows["quality"].to_numpy()
     fold = np.array([xxhash.xxh64_intdigest(str(i)) % 5 for i in rows["doc_id"].to_pylist()], np.int64)

@@ -132,11 +132,12 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     """Fit on at most ``max_labelled`` rows of labels(doc_id, toxic) that have a document.
 
     Rows with a null id or label are not used; of an id's several labels the
-    largest counts.  Without toxic or without clean examples nothing is toxic."""
+    largest counts, of its several texts the least.  Without toxic or without clean examples nothing is toxic."""
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marked = marked.select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sample = stored(texts.join(F.broadcast(marked), "doc_id").select((F.col("toxic") > 0).alias("toxic"), "doc_id", "text"), "labelled")
+    texts = texts.join(F.broadcast(marked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    sample = stored(texts.select((F.col("toxic") > 0).alias("toxic"), "doc_id", "text"), "labelled")
 
     @tidy
     def list_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -61,3 +61,12 @@ def test_without_labels_or_rows(spark, make):
     one = spark.createDataFrame([(1, 1, 1, "")], LABELS)
     assert reject_toxic(docs, one).count() == 2
     assert reject_toxic(make([]), one).collect() == []
+
+
+def test_an_id_of_many_texts_is_one_example(spark, make):
+    rows, toxic = corpus(300)
+    labels = spark.createDataFrame([(i, t, None, "x") for i, t in toxic.items()], LABELS)
+    texts = dict(rows)
+    more = [(i, "zz " + texts[i]) for i in range(3) for _ in range(400)]  # later in order than the texts themselves
+    a, b = train(make(rows), labels), train(make(rows + more), labels)
+    assert a.weights == b.weights and (a.thresholds == b.thresholds).all()
