@@ -101,13 +101,17 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
+def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) in bytes of the words between ASCII white space."""
+    space = np.concatenate([[True], _SPACE[np.frombuffer(data, np.uint8)], [True]])
+    return np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
+
+
 def _hash_block(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(start, hash) of the words of a piece of text: differences of prefix sums
     of a polynomial in the bytes, modulo 2^64."""
     b = np.frombuffer(data, np.uint8)
-    space = np.concatenate([[True], _SPACE[b], [True]])
-    starts = np.flatnonzero(space[:-1] & ~space[1:])
-    ends = np.flatnonzero(~space[:-1] & space[1:])
+    starts, ends = word_bounds(data)
     up, down = _powers(len(b) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)])])
     return starts, mix((sums[ends] - sums[starts]) * down[starts])

@@ -23,7 +23,6 @@ MIN_WORDS words are deleted from the later document.
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 
@@ -33,15 +32,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditline.llm.common import IdFilter, hash_words, shingles, small_batches, span_hashes, stored, tidy
+from creditline.llm.common import IdFilter, hash_words, shingles, small_batches, span_hashes, stored, tidy, word_bounds
 
 LINE = 8
 WINDOW = 42
 MIN_WORDS = 50
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Words of partners' texts that a worker keeps hashed (16 bytes each with their lines).
 REMEMBERED_WORDS = 1_000_000
+#: Bytes of texts that are hashed in one go.
+HASHED_BYTES = 1 << 18
 RESULT = "doc_id bigint, text string, words_removed bigint, blocks_removed bigint, partners array<bigint>"
 
 
@@ -101,12 +101,24 @@ class Lines:
 
     def __init__(self, words: np.ndarray):
         self.words = words
-        self.at, self.hash = line_starts(words)
-
-    def between(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-        i, j = np.searchsorted(self.at, [lo, hi - LINE + 1])
-        j = max(i, j)
-        return self.at[i:j], self.hash[i:j]
+        self.at, self.hash = (x.tolist() for x in line_starts(words))
+        self.known = set(self.hash)
+        self._runs: tuple[int, np.ndarray] | None = None
+
+    def once(self, lo: int, hi: int) -> dict[int, int]:
+        """Places of the lines of words lo to hi, in order; -1 for a line that stands there more than once."""
+        i, j = bisect_left(self.at, lo), bisect_left(self.at, hi - LINE + 1)
+        places: dict[int, int] = {}
+        for p, h in zip(self.at[i:j], self.hash[i:j], strict=True):
+            places[h] = -1 if h in places else p
+        return places
+
+    def runs(self, size: int) -> np.ndarray:
+        """Hashes of all runs of ``size`` words, ascending."""
+        if self._runs is None or self._runs[0] != size:
+            x = np.arange(max(len(self.words) - size + 1, 0))
+            self._runs = size, np.sort(span_hashes(self.words, x, x + size))
+        return self._runs[1]
 
 
 def patience(a: Lines, b: Lines) -> list[tuple[int, int, int]]:
@@ -116,17 +128,12 @@ def patience(a: Lines, b: Lines) -> list[tuple[int, int, int]]:
         a0, a1, b0, b1 = todo.pop()
         if a1 - a0 < LINE or b1 - b0 < LINE:
             continue
-        pa_, ha = a.between(a0, a1)
-        pb_, hb = b.between(b0, b1)
-        ua, ia, ca = np.unique(ha, return_index=True, return_counts=True)
-        ub, ib, cb = np.unique(hb, return_index=True, return_counts=True)
-        ua, ia, ub, ib = ua[ca == 1], ia[ca == 1], ub[cb == 1], ib[cb == 1]
-        _, x, y = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
-        if not len(x):
+        in_b = b.once(b0, b1)
+        in_a = a.once(a0, a1) if in_b else in_b
+        both = [(in_a[h], q) for h, q in in_b.items() if q >= 0 and in_a.get(h, -1) >= 0]
+        if not both:
             continue
-        at_a, at_b = pa_[ia[x]], pb_[ib[y]]
-        order = np.argsort(at_b)
-        at_a, at_b = at_a[order].tolist(), at_b[order].tolist()
+        at_a, at_b = [p for p, _ in both], [q for _, q in both]
         low_a, low_b, here = a0, b0, []
         for i in _increasing(at_a):
             p, q = at_a[i], at_b[i]
@@ -147,17 +154,22 @@ def patience(a: Lines, b: Lines) -> list[tuple[int, int, int]]:
     return sorted(blocks)
 
 
-def repeated(a: np.ndarray, b: np.ndarray, size: int) -> list[tuple[int, int]]:
+def repeated(a: Lines, b: np.ndarray, size: int) -> list[tuple[int, int]]:
     """(start, words) of the parts of ``b`` that its runs of ``size`` words standing in ``a`` cover."""
-    if min(len(a), len(b)) < size:
+    if min(len(a.words), len(b)) < size:
         return []
-    at = np.arange(len(b) - size + 1)
-    x = np.arange(len(a) - size + 1)
-    at = at[np.isin(span_hashes(b, at, at + size), span_hashes(a, x, x + size))]
+    at, held = np.arange(len(b) - size + 1), a.runs(size)
+    run = span_hashes(b, at, at + size)
+    at = at[held[np.minimum(np.searchsorted(held, run), len(held) - 1)] == run]
     cover = np.zeros(len(b) + 1, np.int64)
-    np.add.at(cover, at, 1)
-    np.add.at(cover, at + size, -1)
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(cover) > 0]).astype(np.int8)))
+    cover[at] += 1
+    cover[at + size] -= 1
+    return _covered(np.cumsum(cover) > 0)
+
+
+def _covered(mark: np.ndarray) -> list[tuple[int, int]]:
+    """(start, length) of the stretches of marked words; the last mark is unset."""
+    edges = np.flatnonzero(np.concatenate([mark[:1], mark[1:] != mark[:-1]]))
     return [(i, j - i) for i, j in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
 
 
@@ -171,13 +183,13 @@ def common_blocks(a: Lines, b: Lines, min_words: int = MIN_WORDS) -> list[tuple[
     if np.array_equal(a.words, b.words):
         return [(0, len(b.words))] if len(b.words) >= min_words else []
     gone = np.zeros(len(b.words) + 1, bool)
-    shared = b.at[np.isin(b.hash, a.hash)]
+    shared = np.array([p for p, h in zip(b.at, b.hash, strict=True) if h in a.known], np.int64)
     rest, place = b, np.arange(len(b.words))
     while len(rest.words) >= min_words and not (gone[shared] | gone[shared + LINE - 1]).all():
         found = [(q, n) for _, q, n in patience(a, rest) if n >= min_words]
         aligned = bool(found)
         if not aligned:
-            found = repeated(a.words, rest.words, min_words)
+            found = repeated(a, rest.words, min_words)
         keep = np.ones(len(rest.words), bool)
         for q, n in found:
             keep[q : q + n] = False
@@ -192,20 +204,23 @@ def common_blocks(a: Lines, b: Lines, min_words: int = MIN_WORDS) -> list[tuple[
             words = np.insert(words, joint + 1, _TOP - joint.astype(np.uint64))
             place = np.insert(place, joint + 1, place[joint])
         rest = Lines(words)
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], gone]).astype(np.int8)))
-    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+    return [(i, i + n) for i, n in _covered(gone)]
 
 
 def delete_ranges(text: str, ranges: list[tuple[int, int]]) -> str:
     """The text without these ranges of its words; each takes the white space after it along."""
-    spans = [m.span() for m in _WORD.finditer(text)]
+    return _without(text.encode("utf-8", "surrogatepass"), ranges)
+
+
+def _without(data: bytes, ranges: list[tuple[int, int]]) -> str:
+    starts, _ = word_bounds(data)
     out, at = [], 0
     for a, b in ranges:
-        out.append(text[at : spans[a][0]])
-        at = spans[b][0] if b < len(spans) else len(text)
-    out.append(text[at:])
-    kept = "".join(out)
-    return kept.rstrip() if ranges and ranges[-1][1] == len(spans) else kept
+        out.append(data[at : starts[a]])
+        at = int(starts[b]) if b < len(starts) else len(data)
+    out.append(data[at:])
+    kept = b"".join(out).decode("utf-8", "surrogatepass")
+    return kept.rstrip() if ranges and ranges[-1][1] == len(starts) else kept
 
 
 def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -374,15 +389,21 @@ def _align(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Rec
     def done() -> None:
         for d in own:
             ranges = _merged(d["ranges"])
-            text = delete_ranges(d["text"].decode("utf-8", "surrogatepass"), ranges) if ranges else d["text"]
-            out.append((d["doc_id"], text.decode("utf-8", "surrogatepass") if isinstance(text, bytes) else text,
+            text = d["text"]
+            if text is not None:
+                text = _without(text, ranges) if ranges else text.decode("utf-8", "surrogatepass")
+            out.append((d["doc_id"], text,
                         sum(b - a for a, b in ranges), len(ranges), d["partners"], d["kept"]))
 
     kind = pa.null()
+    hashed: dict[bytes, np.ndarray] = {}  # words of the texts at hand
     for batch in batches:
         kind = batch.column(3).type
         ids, firsts, zs, kept = (c.to_pylist() for c in batch.columns)
+        ready = 0
         for i, doc_id in enumerate(ids):
+            if i == ready:
+                ready, hashed = _hashed(zs, i, seen, press)
             if firsts[i] is None:
                 if own and own[0]["doc_id"] != doc_id:
                     done()
@@ -398,10 +419,10 @@ def _align(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Rec
                     ranges = [(0, n)] if n >= min_words else []
                 else:
                     if d["lines"] is None:
-                        d["lines"] = Lines(hash_words([d["text"]])[0])
+                        d["lines"] = seen.get(d["z"]) or Lines(hashed[d["z"]] if d["z"] in hashed else hash_words([d["text"]])[0])
                     other = other or seen.get(zs[i])
                     if other is None:
-                        other = Lines(hash_words([_text(zs[i], press) or b""])[0])
+                        other = Lines(hashed[zs[i]] if zs[i] in hashed else hash_words([_text(zs[i], press) or b""])[0])
                         size += len(other.words)
                         if size > REMEMBERED_WORDS:
                             seen.clear()
@@ -420,6 +441,20 @@ def _align(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Rec
         yield _batch(out, kind)
 
 
+def _hashed(zs: list[bytes | None], at: int, seen: dict[bytes, Lines],
+            press: zstandard.ZstdDecompressor) -> tuple[int, dict[bytes, np.ndarray]]:
+    """Hashed words of the next texts that are not known yet, HASHED_BYTES of them at once, and where these texts end."""
+    texts: dict[bytes, bytes] = {}
+    size, end = 0, at
+    while end < len(zs) and size < HASHED_BYTES:
+        z = zs[end]
+        if z is not None and z not in texts and z not in seen:
+            texts[z] = press.decompress(z)
+            size += len(texts[z])
+        end += 1
+    return end, dict(zip(texts, hash_words(list(texts.values())), strict=True))
+
+
 def _batch(rows: list[tuple], kept: pa.DataType) -> pa.RecordBatch:
     types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), kept)
     names = ["doc_id", "text", "words_removed", "blocks_removed", "partners", "kept"]
