@@ -29,7 +29,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from creditline.llm.common import IdFilter, hash_words, shingles, small_batches, span_hashes, stored, tidy, word_bounds
@@ -233,15 +233,15 @@ def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _contexts(texts: list[np.ndarray], min_words: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Each text's distinct (line, hash of the words that runs of ``min_words`` words with it hold).
+def _contexts(texts: list[np.ndarray], min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, line, hash of the words that runs of ``min_words`` words with it hold), distinct, by text.
 
     All texts at once: their runs of LINE words stand one text after the other, with WINDOW - 1 places
     between them that no window of another text can choose from."""
     n = np.array([len(w) if len(w) >= min_words else 0 for w in texts], np.int64)
     words = np.concatenate([np.empty(0, np.uint64), *[w for w, m in zip(texts, n, strict=True) if m]])
     if not len(words):
-        return [np.empty(0, np.int64)] * len(texts), [np.empty(0, np.int64)] * len(texts)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     used = np.flatnonzero(n)
     runs = n[used] - LINE + 1
     first = np.cumsum(n[used]) - n[used]  # of a text among the words
@@ -263,23 +263,46 @@ def _contexts(texts: list[np.ndarray], min_words: int) -> tuple[list[np.ndarray]
     text, line, around = text[order], line[order], around[order]
     new = np.ones(len(text), bool)
     new[1:] = (text[1:] != text[:-1]) | (line[1:] != line[:-1]) | (around[1:] != around[:-1])
-    text, line, around = used[text[new]], line[new].view(np.int64), around[new].view(np.int64)
-    cuts = np.searchsorted(text, np.arange(1, len(texts)))
-    return np.split(line, cuts), np.split(around, cuts)
+    return used[text[new]], line[new].view(np.int64), around[new].view(np.int64)
+
+
+def _heads(ids: np.ndarray, text: np.ndarray, line: np.ndarray, around: np.ndarray) -> list[pa.Array]:
+    """Lists by text: (lines, surroundings) that no smaller id of these texts has, and (surroundings, smallest id) of the others."""
+    order = np.lexsort((ids[text], around))
+    new = np.ones(len(order), bool)
+    new[1:] = np.diff(around[order]) != 0
+    head = np.empty(len(order), np.int64)
+    head[order] = ids[text[order[new]]][np.cumsum(new) - 1]
+    first = np.zeros(len(order), bool)
+    first[order[new]] = True
+    again = ids[text] > head
+
+    def lists(which: np.ndarray, values: np.ndarray) -> pa.Array:
+        ends = np.searchsorted(text[which], np.arange(len(ids) + 1))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values[which], pa.int64()))
+
+    return [lists(first, line), lists(first, around), lists(again, around), lists(again, head)]
 
 
 def _links(table: DataFrame, min_words: int) -> DataFrame:
     """(doc_id, first): for every run of ``min_words`` words of a document that an earlier one holds, such a one."""
-    lines = table.where("doc_id is not null").select("doc_id", F.explode(F.arrays_zip("lines", "around")).alias("x"))
-    lines = lines.select("doc_id", F.col("x.lines").alias("line"), F.col("x.around").alias("around"))
-    contexts = stored(lines.groupBy("line", "around").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "contexts")
-    same = lines.join(contexts.where("first < last").drop("last"), ["line", "around"]).where("doc_id > first")
-    spread = (
-        contexts.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first"), F.max("first").alias("last"))
-        .where("n > 1 and first < last")
-    )
+    heads = table.select("doc_id", F.explode(F.arrays_zip("lines", "around")).alias("x"))
+    by_around = Window.partitionBy("around").orderBy("doc_id")
+    heads = heads.select("doc_id", F.col("x.lines").alias("line"), F.col("x.around").alias("around"))
+    heads = heads.withColumn("first", F.min("doc_id").over(by_around)).withColumn("n", F.row_number().over(by_around))
+    key = F.when(F.col("n") == 1, F.col("line")).otherwise(F.col("around"))
+    heads = stored(heads.where("n = 1 or doc_id > first").select("doc_id", "first", key.alias("key")), "heads")
+    contexts = heads.where("doc_id = first").select("doc_id", F.col("key").alias("line"))
+    later = heads.where("doc_id > first").withColumnRenamed("key", "around")
+    # a document that a smaller id of its own block stands for has the links of that one
+    again = table.select("doc_id", F.explode(F.arrays_zip("again", "head")).alias("x"))
+    again = again.select("doc_id", F.col("x.again").alias("around"), F.col("x.head").alias("head"))
+    again = again.join(later.withColumnRenamed("doc_id", "head").distinct(), ["head", "around"], "left")
+    same = later.select("doc_id", "first").unionByName(again.select("doc_id", F.coalesce("first", "head").alias("first")))
+    spread = contexts.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    spread = stored(spread.where("n > 1 and first < last"), "spread")
     two = spread.where("n = 2").select(F.col("last").alias("doc_id"), "first")
-    many = contexts.select("line", F.col("first").alias("doc_id")).join(spread.where("n > 2").select("line"), "line")
+    many = contexts.join(spread.where("n > 2").select("line"), "line")
     many = stored(many.groupBy("doc_id").agg(F.collect_set("line").alias("lines")), "many")
     texts = IdFilter(many, "doc_id").split(table.select("doc_id", "z"), "doc_id", True)
 
@@ -299,7 +322,7 @@ def _links(table: DataFrame, min_words: int) -> DataFrame:
     runs = stored(texts.join(many, "doc_id").mapInArrow(cut, "doc_id bigint, run bigint"), "runs")
     held = runs.groupBy("run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     apart = runs.join(held.drop("last"), "run").where("doc_id > first")
-    return same.select("doc_id", "first").unionByName(two).unionByName(apart.select("doc_id", "first")).distinct()
+    return same.unionByName(two).unionByName(apart.select("doc_id", "first")).distinct()
 
 
 def _runs(words: np.ndarray, lines: np.ndarray, size: int) -> np.ndarray:
@@ -341,14 +364,16 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
             for i in range(0, b.num_rows, 500):
                 c = b.slice(i, 500)
                 texts = [None if t is None else t.encode("utf-8", "surrogatepass") for t in c.column(1).to_pylist()]
-                lines, around = _contexts(hash_words([t or b"" for t in texts]), min_words)
+                # a null id has no links
+                words = hash_words([t if t and known else b"" for t, known in zip(texts, c.column(0).is_valid().to_pylist(), strict=True)])
+                heads = _heads(c.column(0).fill_null(0).to_numpy(), *_contexts(words, min_words))
                 z = [None if t is None else press.compress(t) for t in texts]
                 yield pa.RecordBatch.from_arrays(
-                    [c.column(0), c.column(2), pa.array(z, pa.binary()), pa.array(lines, pa.list_(pa.int64())),
-                     pa.array(around, pa.list_(pa.int64()))],
-                    names=["doc_id", "kept", "z", "lines", "around"])
+                    [c.column(0), c.column(2), pa.array(z, pa.binary()), *heads],
+                    names=["doc_id", "kept", "z", "lines", "around", "again", "head"])
 
-    table = stored(cols.mapInArrow(split, f"doc_id bigint, kept {kept_type}, z binary, lines array<bigint>, around array<bigint>"), "lines")
+    lists = "lines array<bigint>, around array<bigint>, again array<bigint>, head array<bigint>"
+    table = stored(cols.mapInArrow(split, f"doc_id bigint, kept {kept_type}, z binary, {lists}"), "lines")
     pairs = stored(_links(table, min_words), "pairs")
     earlier, later = IdFilter(pairs, "first"), IdFilter(pairs, "doc_id")
     holders = earlier.split(table.select(F.col("doc_id").alias("first"), "z"), "first", True)
