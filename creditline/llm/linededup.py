@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 from creditline.llm.common import IdFilter, hash_words, shingles, small_batches, span_hashes, stored, tidy, word_bounds
 
-LINE = 8
-WINDOW = 42
+LINE = 16
+WINDOW = 34
 MIN_WORDS = 50
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Words of partners' texts that a worker keeps hashed (16 bytes each with their lines).
