@@ -85,3 +85,35 @@ def test_heavy_user_makes_no_pairs(spark):
     plan = attribute_swept(t, o, None)._jdf.queryExecution().optimizedPlan().toString()
     joins = [x for x in plan.splitlines() if "Join" in x]
     assert joins and not any("event_timestamp" in x or "touchpoint_ts" in x for x in joins)
+
+
+def _held_by_stage(df):
+    """Sorts and aggregates of each stage of the plan, which one task holds."""
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    held, open_ = [0], []  # (depth, stage) of the operators above
+    for x in plan.splitlines():
+        name = x.lstrip(" :+-*(0123456789)")
+        depth = len(x) - len(x.lstrip(" :+-"))
+        while open_ and open_[-1][0] >= depth:
+            open_.pop()
+        stage = open_[-1][1] if open_ else 0
+        if name.startswith("Exchange"):
+            held.append(0)
+            stage = len(held) - 1
+        elif name.startswith(("Sort ", "HashAggregate", "SortAggregate", "ObjectHashAggregate")):
+            held[stage] += 1
+        open_.append((depth, stage))
+    return held
+
+
+@pytest.mark.parametrize("lookback", [None, 7, 90])
+def test_no_task_holds_all_steps(spark, lookback):
+    """Touches that come partitioned by user don't put all steps into one stage."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        t, o = _data(spark, 5)
+        t = t.repartition(6, "user_id").dropDuplicates(["user_id", "event_timestamp", "channel"])
+        held = _held_by_stage(attribute_swept(t, o, lookback))
+        assert len(held) > 5 and 1 <= max(held) <= 7
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
