@@ -117,3 +117,23 @@ def test_no_task_holds_all_steps(spark, lookback):
         assert len(held) > 5 and 1 <= max(held) <= 7
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_start_before_the_first_bucket(spark):
+    """Starts in the bucket of the first touch, in the one before it and long before; touches at both ends count."""
+    from decimal import Decimal
+
+    t = spark.createDataFrame([(i, 1, T0 + timedelta(days=10, hours=h), "Email", "x") for i, h in enumerate((1, 5, 30))]
+                              + [(9, 1, T0 + timedelta(days=12), None, "x")], TOUCH)
+    ends = [T0 + timedelta(days=10, hours=h) for h in (0, 1, 5, 23, 24, 30, 167, 168, 169, 173, 198, 199)]
+    o = spark.createDataFrame([(i, 1, e, Decimal("10.00")) for i, e in enumerate(ends)], ORDER)
+    got = {(r["conversion_id"], r["channel"]): r["n"] for r in order_credits(t, o, 7).collect()}
+    at = [(r["event_timestamp"], r["channel"]) for r in t.collect()]
+    want = {}
+    for i, e in enumerate(ends):
+        for when, channel in at:
+            if e - timedelta(days=7) <= when <= e:
+                want[i, channel] = want.get((i, channel), 0) + 1
+    assert got == want
+    for half_life in (7.0, 0.01):
+        _same(_table(attribute(eligible_pairs(t, o, 7), half_life_days=half_life)), _table(attribute_swept(t, o, 7, half_life_days=half_life)))
