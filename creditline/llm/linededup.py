@@ -284,27 +284,29 @@ def _heads(ids: np.ndarray, text: np.ndarray, line: np.ndarray, around: np.ndarr
     return [lists(first, line), lists(first, around), lists(again, around), lists(again, head)]
 
 
-def _links(table: DataFrame, min_words: int) -> DataFrame:
+def _links(docs: DataFrame, table: DataFrame, min_words: int) -> DataFrame:
     """(doc_id, first): for every run of ``min_words`` words of a document that an earlier one holds, such a one."""
     heads = table.select("doc_id", F.explode(F.arrays_zip("lines", "around")).alias("x"))
-    by_around = Window.partitionBy("around").orderBy("doc_id")
-    heads = heads.select("doc_id", F.col("x.lines").alias("line"), F.col("x.around").alias("around"))
+    heads = heads.select("doc_id", F.col("x.lines").alias("line"), F.col("x.around").alias("around")).repartition("line")
+    # surroundings hold their line, so one shuffle and one sort serve both windows
+    by_around, by_line = Window.partitionBy("line", "around").orderBy("doc_id"), Window.partitionBy("line")
     heads = heads.withColumn("first", F.min("doc_id").over(by_around)).withColumn("n", F.row_number().over(by_around))
-    key = F.when(F.col("n") == 1, F.col("line")).otherwise(F.col("around"))
-    heads = stored(heads.where("n = 1 or doc_id > first").select("doc_id", "first", key.alias("key")), "heads")
-    contexts = heads.where("doc_id = first").select("doc_id", F.col("key").alias("line"))
-    later = heads.where("doc_id > first").withColumnRenamed("key", "around")
+    context = F.when(F.col("n") == 1, F.col("doc_id"))
+    heads = heads.withColumns({"spread": F.count(context).over(by_line), "least": F.min(context).over(by_line), "most": F.max(context).over(by_line)})
+    heads = stored(heads.where("(n = 1 and least < most) or doc_id > first").select(
+        "doc_id", "line", "around", "first", "spread", "least", "most"), "heads")
+    contexts = heads.where("doc_id = first")
+    later = heads.where("doc_id > first").select("doc_id", "around", "first")
     # a document that a smaller id of its own block stands for has the links of that one
     again = table.select("doc_id", F.explode(F.arrays_zip("again", "head")).alias("x"))
     again = again.select("doc_id", F.col("x.again").alias("around"), F.col("x.head").alias("head"))
-    again = again.join(later.withColumnRenamed("doc_id", "head").distinct(), ["head", "around"], "left")
+    links = IdFilter(again, "around").split(later, "around", True).groupBy(F.col("doc_id").alias("head"), "around").agg(F.min("first").alias("first"))
+    again = again.join(links, ["head", "around"], "left")
     same = later.select("doc_id", "first").unionByName(again.select("doc_id", F.coalesce("first", "head").alias("first")))
-    spread = contexts.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    spread = stored(spread.where("n > 1 and first < last"), "spread")
-    two = spread.where("n = 2").select(F.col("last").alias("doc_id"), "first")
-    many = contexts.join(spread.where("n > 2").select("line"), "line")
+    two = contexts.where("spread = 2 and doc_id = most").select("doc_id", F.col("least").alias("first"))
+    many = contexts.where("spread > 2")
     many = stored(many.groupBy("doc_id").agg(F.collect_set("line").alias("lines")), "many")
-    texts = IdFilter(many, "doc_id").split(table.select("doc_id", "z"), "doc_id", True)
+    texts = _pressed(IdFilter(many, "doc_id").split(docs.select("doc_id", "text"), "doc_id", True))
 
     @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,8 +322,7 @@ def _links(table: DataFrame, min_words: int) -> DataFrame:
                                                  names=["doc_id", "run"])
 
     runs = stored(texts.join(many, "doc_id").mapInArrow(cut, "doc_id bigint, run bigint"), "runs")
-    held = runs.groupBy("run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    apart = runs.join(held.drop("last"), "run").where("doc_id > first")
+    apart = runs.withColumn("first", F.min("doc_id").over(Window.partitionBy("run"))).where("doc_id > first")
     return same.unionByName(two).unionByName(apart.select("doc_id", "first")).distinct()
 
 
@@ -348,7 +349,9 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
     gives an empty result; columns other than id and text are not read.
 
     Only documents that may have a partner, and texts that may be one, are
-    shuffled; bitmaps of a fixed size tell them apart from the rest.
+    shuffled; bitmaps of a fixed size tell them apart from the rest.  ``docs`` is
+    read anew by each of these steps rather than copied, so it has to give the same
+    rows every time.
     """
     if min_words < LINE + WINDOW - 1:
         raise ValueError(f"min_words must be at least {LINE + WINDOW - 1}")
@@ -359,48 +362,49 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
 
     @tidy
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3)
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 c = b.slice(i, 500)
-                texts = [None if t is None else t.encode("utf-8", "surrogatepass") for t in c.column(1).to_pylist()]
                 # a null id has no links
-                words = hash_words([t if t and known else b"" for t, known in zip(texts, c.column(0).is_valid().to_pylist(), strict=True)])
+                words = hash_words([t.encode("utf-8", "surrogatepass") if t and known else b""
+                                    for t, known in zip(c.column(1).to_pylist(), c.column(0).is_valid().to_pylist(), strict=True)])
                 heads = _heads(c.column(0).fill_null(0).to_numpy(), *_contexts(words, min_words))
-                z = [None if t is None else press.compress(t) for t in texts]
-                yield pa.RecordBatch.from_arrays(
-                    [c.column(0), c.column(2), pa.array(z, pa.binary()), *heads],
-                    names=["doc_id", "kept", "z", "lines", "around", "again", "head"])
+                yield pa.RecordBatch.from_arrays([c.column(0), *heads], names=["doc_id", "lines", "around", "again", "head"])
 
     lists = "lines array<bigint>, around array<bigint>, again array<bigint>, head array<bigint>"
-    table = stored(cols.mapInArrow(split, f"doc_id bigint, kept {kept_type}, z binary, {lists}"), "lines")
-    pairs = stored(_links(table, min_words), "pairs")
+    table = stored(cols.select("doc_id", "text").mapInArrow(split, f"doc_id bigint, {lists}"), "lines")
+    pairs = stored(_links(cols, table, min_words), "pairs")
     earlier, later = IdFilter(pairs, "first"), IdFilter(pairs, "doc_id")
-    holders = earlier.split(table.select(F.col("doc_id").alias("first"), "z"), "first", True)
+    holders = _pressed(earlier.split(cols.select("doc_id", "text"), "doc_id", True)).withColumnRenamed("doc_id", "first")
     partners = pairs.join(holders, "first").select(
         "doc_id", "first", "z", F.lit(None).cast(kept_type).alias("kept"))
-    own = table.select("doc_id", F.lit(None).cast("bigint").alias("first"), "z", "kept")
-    aligned = later.split(own, "doc_id", True).unionByName(partners)
+    own = _pressed(later.split(cols, "doc_id", True)).select("doc_id", F.lit(None).cast("bigint").alias("first"), "z", "kept")
+    aligned = own.unionByName(partners)
     aligned = aligned.repartition("doc_id").sortWithinPartitions("doc_id", F.col("first").asc_nulls_first())
-    result = f"{RESULT}, kept {kept_type}"
-    alone = later.split(own, "doc_id", False).mapInArrow(tidy(_unchanged), result)
-    return aligned.mapInArrow(tidy(lambda it: _align(it, min_words)), result).unionByName(alone)
+    none = F.lit(0).cast("bigint")
+    alone = later.split(cols, "doc_id", False).select(
+        "doc_id", "text", none.alias("words_removed"), none.alias("blocks_removed"),
+        F.array().cast("array<bigint>").alias("partners"), "kept")
+    return aligned.mapInArrow(tidy(lambda it: _align(it, min_words)), f"{RESULT}, kept {kept_type}").unionByName(alone)
 
 
-def _text(z: bytes | None, press: zstandard.ZstdDecompressor) -> bytes | None:
-    return None if z is None else press.decompress(z)
+def _pressed(docs: DataFrame) -> DataFrame:
+    """The rows with z, their compressed text, instead of the text."""
+    kept = [f for f in docs.schema if f.name not in ("doc_id", "text")]
 
+    @tidy
+    def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            z = [None if t is None else press.compress(t.encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(z, pa.binary()), *b.columns[2:]],
+                                             names=["doc_id", "z", *[f.name for f in kept]])
 
-def _unchanged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    press = zstandard.ZstdDecompressor()
-    for b in batches:
-        for i in range(0, b.num_rows, 1000):
-            c = b.slice(i, 1000)
-            texts = pa.array([_text(z, press) for z in c.column(2).to_pylist()], pa.binary())
-            none = pa.array(np.zeros(c.num_rows, np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [c.column(0), texts.cast(pa.string()), none, none, pa.array([[]] * c.num_rows, pa.list_(pa.int64())), c.column(3)],
-                names=["doc_id", "text", "words_removed", "blocks_removed", "partners", "kept"])
+    return docs.mapInArrow(press, ", ".join(["doc_id bigint", "z binary", *[f"{f.name} {f.dataType.simpleString()}" for f in kept]]))
+
+
+def _text(z: bytes | None, press: zstandard.ZstdDecompressor) -> bytes | None:
+    return None if z is None else press.decompress(z)
 
 
 def _align(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:

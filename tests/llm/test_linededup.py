@@ -1,6 +1,6 @@
 import numpy as np
 
-from creditline.llm import queries
+from creditline.llm import linededup, queries
 from creditline.llm.common import IdFilter, hash_words
 from creditline.llm.linededup import LINE, WINDOW, Lines, common_blocks, delete_ranges, line_dedup, line_starts, patience
 from tests.conftest import MEDIUM
@@ -139,3 +139,21 @@ def test_id_filter_never_loses_an_id(spark):
     assert {i * 7919 for i in range(5000) if i * 7919 < 40_000} <= hit and len(hit) < 20
     assert f.split(rows, "doc_id", False).count() == 40_001 - len(hit)
     assert f.split(rows.where("doc_id is not null"), "doc_id", True).count() == len(hit)
+
+
+def test_no_text_is_written_and_lines_are_shuffled_once(spark, make, monkeypatch):
+    written, real = {}, linededup.stored
+
+    def stored(df, name):
+        written[name] = df.schema, df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+        return real(df, name)
+
+    monkeypatch.setattr(linededup, "stored", stored)
+    p = prose(60, 1)
+    texts = [" ".join(prose(40, 10 + i) + p + prose(40 + i, 50 + i)) for i in range(4)] + [" ".join(prose(90, 99)), None]
+    got = {r.doc_id: r for r in line_dedup(make(list(enumerate(texts)))).collect()}
+    assert [got[i].words_removed for i in range(6)] == [0, 60, 60, 60, 0, 0] and got[4].text == texts[4] and got[5].text is None
+    for schema, _ in written.values():
+        assert not {"string", "binary"} & {f.dataType.simpleString() for f in schema}
+    by_line = [n for n, (_, plan) in written.items() if "Exchange hashpartitioning(line" in plan or "Exchange hashpartitioning(around" in plan]
+    assert by_line == ["heads"] and written["heads"][1].count("Exchange hashpartitioning") == 1
